@@ -27,6 +27,11 @@ def with_cte(names: str, body: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({CTE[n]})" for n in names.split()) + "\n" + body
 
 
+def sql_round(x: str, digits: int) -> str:
+    """Half-up rounding of a DOUBLE by its printed digits, as Spark rounds."""
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)), {digits}) AS DOUBLE)"
+
+
 def text(prefix: str, column: Column | str) -> Column:
     column = F.col(column) if isinstance(column, str) else column
     return F.concat(F.lit(prefix), column.cast("string"))
@@ -127,13 +132,13 @@ def venue_events(src: Source) -> DataFrame:
     )
 
 
-CTE["venue_events"] = """
+CTE["venue_events"] = f"""
     SELECT 'EVT-' || event_id AS event_id, 'Venue ' || (user_id % 40) AS venue,
            event_type || ' ' || user_id AS event_name, event_type, 'Z' || (user_id % 25) AS zone,
            CAST(floor(value * 200) AS INT) AS expected_attendance, CAST(ts AS DATE) AS event_date,
            lpad(hour(ts)::VARCHAR, 2, '0') || ':' || lpad(minute(ts)::VARCHAR, 2, '0') AS start_time,
            lpad(least(hour(ts) + 3, 23)::VARCHAR, 2, '0') || ':' || lpad(minute(ts)::VARCHAR, 2, '0') AS end_time,
-           round(least(4.0::DOUBLE, greatest(1.5::DOUBLE, floor(value * 200) / 10000.0::DOUBLE)), 2) AS demand_multiplier
+           {sql_round("least(4.0::DOUBLE, greatest(1.5::DOUBLE, floor(value * 200) / 10000.0::DOUBLE))", 2)} AS demand_multiplier
     FROM events"""
 
 
@@ -148,9 +153,9 @@ def telemetry(src: Source) -> DataFrame:
     )
 
 
-CTE["telemetry"] = """
+CTE["telemetry"] = f"""
     SELECT 'V-' || user_id AS vehicle_id, ts AS "timestamp",
-           CAST(least(100, floor(value)) AS INT) AS battery_pct, round(value / 10, 1) AS speed_mph,
+           CAST(least(100, floor(value)) AS INT) AS battery_pct, {sql_round("value / 10", 1)} AS speed_mph,
            CAST(event_id % 4 AS INT) AS passenger_count, 'Z' || (user_id % 25) AS zone
     FROM events"""
 

@@ -1 +1,110 @@
-"""To follow."""
+"""Streams over the events table, run to the end of what is there, and their batch twins."""
+
+from pyspark.sql import functions as F
+
+from motorpool.bindings import domain
+from motorpool.bindings.domain import with_cte
+from motorpool.bindings.registry import Source, query
+from motorpool.functions.batches import map_batches
+from motorpool.operators import changes as C
+from motorpool.schemas import SOURCE_TABLES, struct
+from motorpool.session import scratch_path
+from motorpool.sources.tables import load_table
+from motorpool.streaming import telemetry as S
+
+EVENTS = SOURCE_TABLES["events"]
+
+
+def _stream(src: Source):
+    # The glob takes the table whether it is one file or a folder of files.
+    return S.telemetry_stream(src.spark, f"{src.directory}/events.parquet*", EVENTS)
+
+
+@query("k01_ingest_telemetry", "SELECT * FROM events")
+def _(src: Source):
+    path = scratch_path(src.spark, "ingest")
+    S.ingest_telemetry(_stream(src), f"{path}/rows.parquet", f"{path}/checkpoint")
+    return load_table(src.spark, path, "rows", EVENTS)
+
+
+@query(
+    "k02_latest_positions",
+    "SELECT user_id, max(ts) AS ts, arg_max(event_id, ts) AS event_id, arg_max(value, ts) AS value FROM events GROUP BY user_id",
+)
+def _(src: Source):
+    path = scratch_path(src.spark, "positions")
+    latest = S.latest_positions_stream(_stream(src).select("user_id", "ts", "event_id", "value"), "user_id", "ts")
+    S.keep_positions(latest, f"{path}/rows", f"{path}/checkpoint")
+    schema = struct("user_id:long ts:ts event_id:long value:double")
+    return S.read_positions(src.spark, f"{path}/rows", schema, "user_id", "ts")
+
+
+def _rules():
+    return {
+        "type": C.in_enum("event_type", ["click", "view", "signup", "purchase"]),
+        "value": C.not_null("value") & (F.col("value") < 300),
+        "props": C.required("props"),
+    }
+
+
+def _checked(src: Source):
+    path = scratch_path(src.spark, "checked")
+    S.ingest_checked(_stream(src), _rules(), f"{path}/rows", f"{path}/checkpoint")
+    return S.read_checked(src.spark, f"{path}/rows", EVENTS)
+
+
+@query(
+    "k03_stream_stats",
+    """SELECT event_type, count(*) FILTER (WHERE event_type <> 'error' AND value < 300) AS rows_inserted,
+              count(*) FILTER (WHERE event_type = 'error' OR value >= 300) AS errors FROM events GROUP BY 1""",
+)
+def _(src: Source):
+    return S.ingest_stats(_checked(src), ["event_type"])
+
+
+@query(
+    "k05_skip_and_count_errors",
+    """SELECT event_id, concat_ws(',', CASE WHEN event_type = 'error' THEN 'type' END, CASE WHEN value >= 300 THEN 'value' END) AS broken
+       FROM events WHERE event_type = 'error' OR value >= 300""",
+)
+def _(src: Source):
+    return _checked(src).filter(~F.col("accepted")).select("event_id", F.array_join("broken_rules", ",").alias("broken"))
+
+
+_CHARGING = """
+    SELECT event_id, coalesce(last_value(CASE WHEN value < 10 THEN true WHEN value >= 90 THEN false END IGNORE NULLS)
+             OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS charging FROM events"""
+
+
+@query("k04_charging_state", _CHARGING)
+def _(src: Source):
+    return S.charging_state(src.events, "user_id", "ts", "value").select("event_id", "charging")
+
+
+@query("k04_charging_stream", _CHARGING)
+def _(src: Source):
+    path = scratch_path(src.spark, "charging")
+    S.charging_state_stream(_stream(src), path, f"{path}/checkpoint", "user_id", "ts", "value")
+    return S.read_charging(src.spark, path, EVENTS).select("event_id", "charging")
+
+
+def _low_battery(batch):
+    """A generator over readings: none for errors, and the battery sinks as the value grows."""
+    kept = batch[batch["event_type"] != "error"]
+    progress = (kept["value"] / 500.0).clip(upper=1.0)
+    level = (80 - 75 * progress).astype("int32").clip(lower=5)
+    return kept[["event_id"]].assign(battery_pct=level, battery_range_mi=(level * 1.2).round(1))
+
+
+@query(
+    "l01_map_batches",
+    """SELECT event_id, b AS battery_pct, round(b * 1.2::DOUBLE, 1) AS battery_range_mi
+       FROM (SELECT event_id, greatest(5, CAST(trunc(80 - 75 * least(1.0::DOUBLE, value / 500.0::DOUBLE)) AS INT)) AS b
+             FROM events WHERE event_type <> 'error')""",
+)
+def _(src: Source):
+    return map_batches(
+        src.events.select("event_id", "event_type", "value"),
+        _low_battery,
+        struct("event_id:long battery_pct:int battery_range_mi:double"),
+    )
