@@ -275,8 +275,8 @@ def _briefing(src: Source):
     "d14_briefing_summary",
     with_cte(
         "vehicles rides surge_alerts fleet_actions venue_events",
-        """SELECT count(*) AS total_rides, round(avg(wait_time_min), 1) AS avg_wait_min,
-                  round(CAST(sum(CAST(fare_usd AS DECIMAL(18, 2))) AS DOUBLE), 2) AS total_revenue,
+        """SELECT count(*) AS total_rides, coalesce(round(avg(wait_time_min), 1), 0) AS avg_wait_min,
+                  coalesce(round(CAST(sum(CAST(fare_usd AS DECIMAL(18, 2))) AS DOUBLE), 2), 0) AS total_revenue,
                   (SELECT count(*) FROM fleet_actions WHERE status = 'pending') AS pending_actions,
                   (SELECT count(*) FROM surge_alerts WHERE status IN ('open', 'acknowledged')) AS open_alerts,
                   (SELECT count(*) FROM venue_events WHERE event_date BETWEEN DATE '2024-01-16' AND DATE '2024-01-17') AS events_today_tomorrow,

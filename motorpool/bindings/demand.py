@@ -319,7 +319,8 @@ def _(src: Source):
     with_cte(
         "zones vehicles venue_events",
         """, supply AS (SELECT city, current_zone AS zone_id, count(*) AS vehicles FROM vehicles WHERE battery_pct >= 20 GROUP BY 1, 2),
-        demand AS (SELECT z.city, z.zone_id, count(*) // 100 AS needed FROM venue_events e JOIN zones z ON z.zone_id = e.zone GROUP BY 1, 2),
+        demand AS (SELECT z.city, z.zone_id, count(*) * (SELECT sum(vehicles)::BIGINT FROM supply) // (SELECT count(*) FROM venue_events) AS needed
+                   FROM venue_events e JOIN zones z ON z.zone_id = e.zone GROUP BY 1, 2),
         balance AS (SELECT city, zone_id, coalesce(vehicles, 0) - coalesce(needed, 0) AS spare FROM supply FULL JOIN demand USING (city, zone_id)),
         line AS (SELECT city, zone_id, spare > 0 AS gives, abs(spare) AS n,
                         sum(abs(spare)) OVER (PARTITION BY city, spare > 0 ORDER BY abs(spare) DESC, zone_id) AS reach
@@ -332,8 +333,16 @@ def _(src: Source):
 )
 def _(src: Source):
     events = domain.venue_events(src).join(domain.zones(src).select("zone_id", "city"), F.col("zone") == F.col("zone_id"))
-    needed = events.groupBy("city", "zone_id").agg(F.floor(F.count(F.lit(1)) / 100).alias("needed"))
-    return rebalance.optimize_rebalancing(rebalance.zone_supply(domain.vehicles(src), 20), needed)
+    # The fleet is to be spread over the zones as their events are.
+    supply = rebalance.zone_supply(domain.vehicles(src), 20)
+    fleet_size = supply.agg(F.sum("vehicles")).scalar()
+    all_events = src.events.agg(F.count(F.lit(1))).scalar()
+    needed = (
+        events.groupBy("city", "zone_id")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("city", "zone_id", F.floor(F.col("n") * fleet_size / all_events).alias("needed"))
+    )
+    return rebalance.optimize_rebalancing(supply, needed)
 
 
 @query(

@@ -1,7 +1,6 @@
 """Scans, generated rows, writes, inventories and previews."""
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
 
 from motorpool.bindings import domain
 from motorpool.bindings.registry import Source, query
@@ -209,8 +208,7 @@ def _(src: Source):
         F.col("o_totalprice").cast("string"),
         F.when(F.col("o_orderstatus") == "O", "True").otherwise("0").alias("is_open"),
     )
-    schema = StructType([*struct("o_orderkey:long o_totalprice:double").fields, StructField("is_open", BooleanType())])
-    return T.parse_cells(cells, schema)
+    return T.parse_cells(cells, struct("o_orderkey:long o_totalprice:double is_open:bool"))
 
 
 @query("a14_read_ops_table", "SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_acctbal > 0")

@@ -68,15 +68,17 @@ def hash_date(seed: Column | str, start, end, mode: str = "modulo") -> Column:
     return F.date_add(start, hash_int(seed, F.lit(0), span, mode))
 
 
-def hash_weighted(seed: Column | str, options: Sequence, weights: Sequence[int], mode: str = "modulo") -> Column:
+def hash_weighted(
+    seed: Column | str, options: Sequence, weights: Sequence[int], mode: str = "modulo", modulus: int | None = None
+) -> Column:
     """Weighted pick.
 
-    ``modulo``: the remainder by the total weight against integer running totals, the same
-    as an array with every option repeated by its weight. ``scaled``: the fraction against
-    cumulative shares.
+    ``modulo``: the remainder by the total weight, or by a given ``modulus``, against integer
+    running totals, the same as an array with every option repeated by its weight; a remainder
+    past the total takes the last option. ``scaled``: the fraction against cumulative shares.
     """
     if mode == "modulo":
-        position = hash32(seed) % sum(weights)
+        position = hash32(seed) % (modulus or sum(weights))
         hits = [position < total for total in accumulate(weights)]
     elif mode == "scaled":
         total = sum(weights)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motorpool import values
-from motorpool.functions.scalars import ellipsis, headline_words, parse_steps
+from motorpool.functions.scalars import case_map, ellipsis, headline_words, parse_steps
 from motorpool.operators.filters import filter_since
 from motorpool.operators.joins import top_n_per_key
 from motorpool.schemas import STEPS
@@ -40,21 +40,22 @@ def default_chain() -> Column:
 
 def enrich_workflows(df: DataFrame, headlines: Mapping[str, str] = values.WORKFLOW_HEADLINES) -> DataFrame:
     """Fill headline and summary where empty, and parse the reasoning chain or build one."""
-    kind = F.col("workflow_type")
     entity = F.btrim(F.concat_ws(" ", F.coalesce("entity_type", F.lit("")), F.coalesce("entity_id", F.lit(""))))
-    named = F.when(entity != "", F.concat(headline_words(kind), F.lit(": "), entity)).otherwise(headline_words(kind))
-    built = named
-    for code, lead in headlines.items():
-        subject = F.when(entity != "", entity).otherwise(F.lit(values.HEADLINE_FALLBACK_ENTITY))
-        built = F.when(kind == code, F.concat(F.lit(lead), subject)).otherwise(built)
-    chain = parse_steps("reasoning_chain")
-    return df.withColumns(
+    prepared = df.withColumns({"__entity": F.nullif(entity, F.lit("")), "__chain": parse_steps("reasoning_chain")})
+    lead = case_map("workflow_type", headlines)
+    words = headline_words("workflow_type")
+    built = F.coalesce(
+        F.concat(lead, F.coalesce("__entity", F.lit(values.HEADLINE_FALLBACK_ENTITY))),
+        F.concat(words, F.lit(": "), "__entity"),
+        words,
+    )
+    return prepared.withColumns(
         {
             "headline": F.coalesce(F.nullif("headline", F.lit("")), built),
             "enriched_summary": F.coalesce(F.nullif("enriched_summary", F.lit("")), F.col("summary")),
-            "reasoning_chain": F.when(F.size(chain) > 0, chain).otherwise(default_chain()),
+            "reasoning_chain": F.when(F.size("__chain") > 0, F.col("__chain")).otherwise(default_chain()),
         }
-    )
+    ).drop("__entity", "__chain")
 
 
 def entity_notes(notes: DataFrame, entity_type: str, entity_id: str) -> DataFrame:

@@ -106,11 +106,16 @@ def kpi_row(spark: SparkSession, parts: Sequence[tuple[DataFrame, Mapping[str, o
     """KPIs of several tables in one row.
 
     Each part is a one-row frame and its columns with the value to show when there is none.
-    The parts run as scalar subqueries, one per table, side by side.
+    The parts run as scalar subqueries, one per part, side by side.
     """
-    columns = []
-    for frame, defaults in parts:
-        packed = frame.select(F.struct(*[F.col(c) for c in defaults]).alias("kpis")).scalar()
-        for name, default in defaults.items():
-            columns.append(F.coalesce(packed[name], F.lit(default)).alias(name))
-    return spark.range(1).select(*columns)
+    packed = [
+        frame.select(F.struct(*[F.col(c) for c in defaults]).alias("kpis")).scalar().alias(f"__part{i}")
+        for i, (frame, defaults) in enumerate(parts)
+    ]
+    return spark.range(1).select(*packed).select(
+        *[
+            F.coalesce(F.col(f"__part{i}")[name], F.lit(default)).alias(name)
+            for i, (_, defaults) in enumerate(parts)
+            for name, default in defaults.items()
+        ]
+    )

@@ -86,6 +86,19 @@ def apply_inserts(
 # --- status changes ------------------------------------------------------------
 
 
+def _unknown_key(commands: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Commands for keys the table lacks. Keys are folded before they meet the table, so the
+    many commands of a known key stay where they are."""
+    missing = (
+        commands.select(F.col(key).alias("__key"))
+        .distinct()
+        .join(table.select(F.col(key).alias("__known")), F.col("__key") == F.col("__known"), "left_anti")
+    )
+    return commands.join(missing, F.col(key) == F.col("__key"), "left_semi").withColumn(
+        "reason", F.lit("unknown key")
+    )
+
+
 def transition_status(
     table: DataFrame,
     commands: DataFrame,
@@ -121,9 +134,7 @@ def transition_status(
     updated = joined.withColumns(changes).select(*table.columns)
 
     refused = commands.filter(~permitted).withColumn("reason", F.lit("status not allowed"))
-    known = table.select(F.col(key).alias("__key"))
-    unknown = valid.join(known, F.col(key) == F.col("__key"), "left_anti").withColumn("reason", F.lit("unknown key"))
-    return updated, refused.unionByName(unknown)
+    return updated, refused.unionByName(_unknown_key(valid, table, key))
 
 
 def patch_rows(
@@ -163,9 +174,7 @@ def patch_rows(
     updated = joined.withColumns(changes).select(*table.columns)
 
     empty = commands.filter(~sets_any).withColumn("reason", F.lit("nothing to update"))
-    known = table.select(F.col(key).alias("__key"))
-    unknown = valid.join(known, F.col(key) == F.col("__key"), "left_anti").withColumn("reason", F.lit("unknown key"))
-    return updated, empty.unionByName(unknown)
+    return updated, empty.unionByName(_unknown_key(valid, table, key))
 
 
 def replace_placeholder(current: Column | str, placeholder: str, new: Column | str) -> Column:

@@ -94,15 +94,16 @@ def range_stats(
     window_id: str,
     keys: Sequence[str] = (),
     scale: int = 2,
-    bucket_minutes: int = 60,
+    levels: int = 8,
 ) -> DataFrame:
     """Per window and ``by``: count of points inside and their mean, without the point pairs.
 
-    Bounds fall on whole minutes (others raise an error), so points first fold into one cell
-    per minute, ``by`` and ``keys``; windows fold to their distinct spans. What is joined is
-    bounded by minutes, not by points, and a crowded hour or window costs no more than a
-    quiet one. ``measure`` is summed as a decimal of ``scale`` digits, so the mean does not
-    depend on task order.
+    Bounds fall on whole minutes (others raise an error), so points fold into one cell per
+    minute, ``by`` and ``keys``, and cells into blocks of 1, 2, 4, ... ``2**levels`` minutes.
+    A window is the sum of a few aligned blocks, about two per level, so the join is a plain
+    equi join on the block; equal windows are folded first. Neither a crowded minute nor many
+    overlapping windows make pairs. ``measure`` is summed as a decimal of ``scale`` digits,
+    so the mean does not depend on task order.
     """
     cells = (
         points.withColumn("__minute", minute_number(ts))
@@ -112,7 +113,13 @@ def range_stats(
             F.count(measure).alias("__m"),
             F.sum(F.col(measure).cast(f"decimal(18,{scale})")).alias("__s"),
         )
-        .withColumn("__bucket", F.floor(F.col("__minute") / bucket_minutes))
+    )
+    sums = [F.sum(c).alias(c) for c in ("__n", "__m", "__s")]
+    blocks = (
+        cells.withColumn("__level", F.explode(F.array(*[F.lit(i) for i in range(levels + 1)])))
+        .withColumn("__block", F.expr("shiftright(__minute, __level)"))
+        .groupBy(*keys, *by, "__level", "__block")
+        .agg(*sums)
     )
 
     def minute_bound(name: str) -> Column:
@@ -128,27 +135,43 @@ def range_stats(
         bounded.select(*keys, "__from", "__to")
         .distinct()
         .filter(F.col("__from") < F.col("__to"))
-        .withColumn(
-            "__bucket",
-            F.explode(
-                F.sequence(
-                    F.floor(F.col("__from") / bucket_minutes), F.floor((F.col("__to") - 1) / bucket_minutes)
-                )
-            ),
-        )
+        .withColumn("__piece", F.explode(_aligned_blocks(F.col("__from"), F.col("__to"), levels)))
+        .select(*keys, "__from", "__to", "__piece.*")
     )
-    inside = (F.col("__minute") >= F.col("__from")) & (F.col("__minute") < F.col("__to"))
     per_span = (
-        cells.join(spans, [*keys, "__bucket"])
-        .filter(inside)
+        spans.join(blocks, [*keys, "__level", "__block"])
         .groupBy(*keys, "__from", "__to", *by)
-        .agg(F.sum("__n").alias("n"), F.sum("__m").alias("__m"), F.sum("__s").alias("__s"))
+        .agg(*sums)
         .withColumn("mean", F.col("__s").cast("double") / F.nullif(F.col("__m"), F.lit(0)))
-        .drop("__m", "__s")
+        .select(*keys, "__from", "__to", *by, F.col("__n").alias("n"), "mean")
     )
     return bounded.join(per_span, [*keys, "__from", "__to"]).select(window_id, *by, "n", "mean")
 
 
+def _aligned_blocks(lo: Column, hi: Column, levels: int) -> Column:
+    """``[lo, hi)`` as disjoint blocks (level, block), a block covering ``2**level`` minutes.
+
+    At each level the whole blocks inside run from ``first`` to before ``last``; those whose
+    parent block is inside too are left to the next level, so at most one at each end is
+    taken. The top level takes all it has.
+    """
+
+    def block(level: int, number: Column) -> Column:
+        return F.struct(F.lit(level).alias("__level"), number.alias("__block"))
+
+    taken = []
+    for level in range(levels):
+        first = F.shiftright(lo + (2**level - 1), level)
+        last = F.shiftright(hi, level)
+        taken.append(F.when((first < last) & (first % 2 == 1), block(level, first)))
+        taken.append(F.when((first < last) & (last % 2 == 1), block(level, last - 1)))
+    first = F.shiftright(lo + (2**levels - 1), levels)
+    last = F.shiftright(hi, levels)
+    top = F.when(first < last, F.transform(F.sequence(first, last - 1), lambda b: block(levels, b)))
+    ends = F.array_compact(F.array(*taken))
+    return F.when(top.isNotNull(), F.concat(ends, top)).otherwise(ends)
+
+
 def grid(dim: DataFrame, **series: Column) -> DataFrame:
     """Every dimension row with every member of each series.
 
@@ -243,20 +266,28 @@ def _items_type(child: DataFrame, cols: Sequence[str]) -> str:
 
 
 def insert_if_absent(target: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Add the rows whose key the target does not hold; one row per new key."""
+    """Add the rows whose key the target does not hold; of several with one key, the smallest.
+
+    New rows are folded per key before they meet the target.
+    """
     key = list(key)
-    fresh = new.join(target.select(*key), key, "left_anti").dropDuplicates(key)
-    return target.unionByName(fresh)
+    others = [c for c in new.columns if c not in key]
+    if others:
+        folded = new.groupBy(*key).agg(F.min(F.struct(*others)).alias("__row")).select(*key, "__row.*")
+    else:
+        folded = new.select(*key).distinct()
+    return target.unionByName(folded.join(target.select(*key), key, "left_anti"))
 
 
 def orphans(child: DataFrame, parent: DataFrame, on: tuple[str, str]) -> DataFrame:
     """Child rows whose parent does not exist."""
-    return child.join(parent.select(F.col(on[1]).alias("__key")), F.col(on[0]) == F.col("__key"), "left_anti")
+    known = parent.select(F.col(on[1]).alias("__key")).distinct()
+    return child.join(known, F.col(on[0]) == F.col("__key"), "left_anti")
 
 
 def delete_cascade(parent: DataFrame, child: DataFrame, on: tuple[str, str], doomed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parents and children left after the parents named in ``doomed`` go; ``on`` is (child column, parent key)."""
-    gone = doomed.select(F.col(on[1]).alias("__gone"))
+    gone = doomed.select(F.col(on[1]).alias("__gone")).distinct()
     parents = parent.join(gone, F.col(on[1]) == F.col("__gone"), "left_anti")
     children = child.join(gone, F.col(on[0]) == F.col("__gone"), "left_anti")
     return parents, children

@@ -15,18 +15,14 @@ def row_number_over(df: DataFrame, order: Sequence[str | Column], name: str = "r
     """Consecutive numbers from 1 over the whole table, without one task seeing all of it.
 
     Rows are range-partitioned and sorted by ``order``, which must be unique for the numbers
-    to be repeatable, and checkpointed, so that the count per partition and the numbered rows
-    come from the same layout. A partition's start is the running total of the counts before
-    it: one row per partition.
+    to be repeatable, and written to the shared folder, so that the count per partition and
+    the numbered rows come from the same layout. A partition's start is the running total of
+    the counts before it: one row per partition, so that side is safe to broadcast.
     """
-    spark = df.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid_out = (
-        df.repartitionByRange(partitions, *order)
-        .sortWithinPartitions(*order)
-        .withColumn("__at", F.monotonically_increasing_id())
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    laid_out = materialise(
+        ranged.sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "numbered"
     )
-    laid_out = materialise(laid_out)
     part = F.shiftrightunsigned(F.col("__at"), 33)
     numbered = laid_out.withColumn("__part", part)
     ends = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"))

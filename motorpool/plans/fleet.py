@@ -36,10 +36,20 @@ from motorpool.sources.tables import inline_table
 # --- row expansion ---------------------------------------------------------------
 
 
-def expand_by_count(df: DataFrame, n: Column | str, index: str = "idx") -> DataFrame:
-    """One row per unit, indexed from 1; a count of 0 or less gives no row."""
+def expand_by_count(df: DataFrame, n: Column | str, index: str = "idx", piece: int = 100_000) -> DataFrame:
+    """One row per unit, indexed from 1; a count of 0 or less gives no row.
+
+    A count is first cut into pieces and the pieces are spread over all cores, so one very
+    large count neither builds one long array nor keeps one task busy.
+    """
     n = col(n)
-    return df.withColumn(index, F.explode(F.when(n > 0, F.sequence(F.lit(1), n))))
+    pieces = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / piece).cast("int")))
+    spread = df.withColumn("__piece", F.explode(pieces)).repartition(
+        df.sparkSession.sparkContext.defaultParallelism
+    )
+    first = F.col("__piece") * F.lit(piece) + 1
+    units = F.sequence(first, F.least(n, first + (piece - 1)).cast("int"))
+    return spread.withColumn(index, F.explode(units)).drop("__piece")
 
 
 def numbered_expand(df: DataFrame, n: str, major: str, minor: Sequence[str], index: str = "idx", number: str = "rn") -> DataFrame:
@@ -193,7 +203,12 @@ def daily_volume(base: Column | str, multiplier: Column | str, cap: Column | str
 
 def request_time(date: Column | str, seed: Column) -> Column:
     """A moment of the day, weighted to the evening."""
-    hour = hash_weighted(F.concat(F.lit("ride-hr-"), seed), list(range(24)), values.HOUR_REQUEST_WEIGHTS)
+    hour = hash_weighted(
+        F.concat(F.lit("ride-hr-"), seed),
+        list(range(24)),
+        values.HOUR_REQUEST_WEIGHTS,
+        modulus=values.HOUR_REQUEST_MODULUS,
+    )
     minute = hash_int(F.concat(F.lit("ride-min-"), seed), 0, 59)
     second = hash_int(F.concat(F.lit("ride-sec-"), seed), 0, 59)
     return col(date).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hour, minute, second.cast("decimal(18,6)"))

@@ -7,6 +7,7 @@ _TYPES = {
     "int": T.IntegerType(),
     "long": T.LongType(),
     "double": T.DoubleType(),
+    "bool": T.BooleanType(),
     "date": T.DateType(),
     "ts": T.TimestampNTZType(),
     "floats": T.ArrayType(T.FloatType()),

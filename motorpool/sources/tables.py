@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from motorpool import schemas
 from motorpool.functions.scalars import day, iso_text
@@ -19,9 +21,17 @@ def load_table(spark: SparkSession, directory: str, name: str, schema: T.StructT
     return spark.read.schema(schema).parquet(f"{directory}/{name}.parquet")
 
 
-def inline_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType | str) -> DataFrame:
+def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:
+    """Rows of the program as a local relation, so the optimizer knows their size."""
+    columns = list(zip(*rows)) if rows else [()] * len(schema.fields)
+    return spark.createDataFrame(pa.Table.from_arrays(
+        [pa.array(c, f.type) for c, f in zip(columns, to_arrow_schema(schema))], schema=to_arrow_schema(schema)
+    ), schema)
+
+
+def inline_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:
     """A literal reference table: the rows sit in the program, so it is safe to broadcast."""
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    return F.broadcast(literal_rows(spark, rows, schema))
 
 
 def number_rows(spark: SparkSession, start: int, stop: int, step: int = 1, name: str = "n") -> DataFrame:
@@ -89,8 +99,8 @@ def describe_columns(tables: Mapping[str, DataFrame]) -> DataFrame:
         for name, df in tables.items()
         for i, f in enumerate(df.schema.fields, start=1)
     ]
-    return spark.createDataFrame(
-        rows, "table_name string, ordinal int, column_name string, data_type string, nullable boolean"
+    return literal_rows(
+        spark, rows, schemas.struct("table_name:str ordinal:int column_name:str data_type:str nullable:bool")
     )
 
 

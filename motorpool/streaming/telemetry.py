@@ -17,6 +17,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 from motorpool.functions.scalars import minute_number
 from motorpool.operators.changes import flag_rows
 from motorpool.operators.joins import latest_per_key
+from motorpool.schemas import struct
+from motorpool.sources.tables import literal_rows
 
 
 def telemetry_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -28,8 +30,12 @@ def telemetry_stream(spark: SparkSession, path: str, schema: T.StructType, files
 
 
 def without_replays(sdf: DataFrame, keys: Sequence[str], ts: str, delay: str = "10 minutes") -> DataFrame:
-    """Drop rows already seen within the delay, such as a source sending a batch again."""
-    return sdf.withWatermark(ts, delay).dropDuplicatesWithinWatermark([*keys, ts])
+    """Drop rows already seen within the delay, such as a source sending a batch again.
+
+    A watermark needs a TIMESTAMP; a zone-free time is cast for it in a helper column.
+    """
+    timed = sdf.withColumn("__event_time", F.col(ts).cast("timestamp")).withWatermark("__event_time", delay)
+    return timed.dropDuplicatesWithinWatermark([*keys, ts]).drop("__event_time")
 
 
 def _run(writer, checkpoint: str, trigger: Mapping[str, object] | None) -> StreamingQuery:
@@ -51,9 +57,8 @@ def stream_stats(query: StreamingQuery, name: str) -> DataFrame:
         (name, int(p.batchId), int(p.numInputRows), str(p.timestamp), int(p.batchDuration))
         for p in query.recentProgress
     ]
-    return SparkSession.active().createDataFrame(
-        rows, "stream string, batch_id long, rows long, started_at string, duration_ms long"
-    )
+    schema = struct("stream:str batch_id:long rows:long started_at:str duration_ms:long")
+    return literal_rows(SparkSession.active(), rows, schema)
 
 
 # --- checked ingest ----------------------------------------------------------------

@@ -69,6 +69,8 @@ HOUR_DEMAND = [
     0.70, 0.75, 0.80, 0.85, 0.90, 1.00, 1.00, 0.95, 0.85, 0.70, 0.50, 0.30,
 ]
 HOUR_REQUEST_WEIGHTS = [1, 1, 1, 1, 1, 2, 3, 4, 5, 5, 5, 5, 5, 5, 6, 7, 8, 9, 10, 10, 9, 7, 4, 2]
+# The modulus is two more than the weights add up to; those two draws take hour 23.
+HOUR_REQUEST_MODULUS = 118
 
 # --- Fixed values: rides per day: (weekday, weekend), daily cap ------------------
 CITY_BASE_RIDES = {"Las Vegas": (150, 180), "San Francisco": (100, 130)}
