@@ -183,9 +183,9 @@ def _(src: Source):
     "b13_base_rate",
     """
     SELECT o_orderkey, CAST(CASE WHEN o_orderstatus = 'O' THEN CASE WHEN dayofweek(o_orderdate) IN (0, 6) THEN 180 ELSE 150 END
-                                 WHEN o_orderstatus = 'F' THEN CASE WHEN dayofweek(o_orderdate) IN (0, 6) THEN 130 ELSE 100 END END AS INT) AS rides
+                                 ELSE CASE WHEN dayofweek(o_orderdate) IN (0, 6) THEN 130 ELSE 100 END END AS INT) AS rides
     FROM orders""",
 )
 def _(src: Source):
     (_, first), (_, second) = values.CITY_BASE_RIDES.items()
-    return src.orders.select("o_orderkey", base_rate("o_orderstatus", "o_orderdate", {"O": first, "F": second}).alias("rides"))
+    return src.orders.select("o_orderkey", base_rate("o_orderstatus", "o_orderdate", {"O": first, "F": second, "P": second}).alias("rides"))

@@ -123,7 +123,7 @@ _SQL_TYPES = (
     "WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE 'array<float>' END"
 )
 _DESCRIBED = "\nUNION ALL ".join(
-    f"SELECT '{t}' AS table_name, column_name, {_SQL_TYPES} AS data_type, (SELECT count(*) FROM {t}) AS row_count "
+    f"SELECT '{t}' AS table_name, CAST(row_number() OVER () AS INT) AS ordinal, column_name, {_SQL_TYPES} AS data_type, (SELECT count(*) FROM {t}) AS row_count "
     f"FROM (DESCRIBE {t})"
     for t in SOURCE_TABLES
 )
@@ -135,7 +135,7 @@ def _(src: Source):
     return (
         T.describe_columns(frames)
         .join(T.table_inventory(frames), "table_name")
-        .select("table_name", "column_name", "data_type", "row_count")
+        .select("table_name", "ordinal", "column_name", "data_type", "row_count")
     )
 
 

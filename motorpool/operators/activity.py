@@ -16,26 +16,31 @@ from motorpool.schemas import STEPS
 from motorpool.sources.tables import union_all
 
 
-def _step(number: int, tool: str, label: Column, output: Column) -> Column:
-    return F.struct(
-        F.lit(number).alias("step"),
-        F.lit(tool).alias("tool"),
-        label.alias("label"),
-        output.alias("output"),
-        F.lit("completed").alias("status"),
-    )
+TITLE_WIDTH = 100
 
 
 def default_chain() -> Column:
-    """Two steps, and a third when the workflow names an entity type."""
-    two = F.array(
-        _step(1, "monitor", F.lit("Trigger detected"), F.coalesce("trigger_source", F.lit("monitor"))),
-        _step(2, "analyze", F.lit("Analyzing situation"), F.left(F.coalesce("summary", F.lit("")), F.lit(100))),
-    ).cast(STEPS)
-    third = F.array(
-        _step(3, "action", F.concat(F.lit("Action on "), "entity_type"), F.coalesce("entity_id", F.lit("")))
+    """The steps told by the workflow's own columns; the last only when it names an entity type."""
+    kind = F.coalesce("entity_type", F.lit(""))
+    outputs = [
+        F.coalesce("trigger_source", F.lit("monitor")),
+        F.left(F.coalesce("summary", F.lit("")), F.lit(100)),
+        F.coalesce("entity_id", F.lit("")),
+    ]
+    names = [F.lit(""), F.lit(""), kind]
+    steps = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("step"),
+                F.lit(tool).alias("tool"),
+                F.concat(F.lit(label), name).alias("label"),
+                output.alias("output"),
+                F.lit("completed").alias("status"),
+            )
+            for i, ((tool, label), name, output) in enumerate(zip(values.CHAIN_STEPS, names, outputs), start=1)
+        ]
     ).cast(STEPS)
-    return F.when(F.coalesce("entity_type", F.lit("")) != "", F.concat(two, third)).otherwise(two)
+    return F.slice(steps, F.lit(1), F.when(kind != "", 3).otherwise(2))
 
 
 def enrich_workflows(df: DataFrame, headlines: Mapping[str, str] = values.WORKFLOW_HEADLINES) -> DataFrame:
@@ -100,13 +105,15 @@ def recent_cards(tables: Mapping[str, DataFrame], sources: Sequence[CardSource],
 
 def session_index(messages: DataFrame, session: str, order: str, role: str, content: str, n: int | None = 50) -> DataFrame:
     """Per session its title, from the first user text, and its last activity; newest first."""
-    first = F.min_by(F.col(content), F.when(F.col(role) == "user", F.col(order)))
+    # One character past the cut is enough to tell whether the title was cut.
+    start = F.left(F.col(content), F.lit(TITLE_WIDTH + 1))
+    first = F.min_by(start, F.when(F.col(role) == "user", F.col(order)))
     index = messages.groupBy(session).agg(
         first.alias("__first"), F.max(order).alias("last_activity"), F.count(F.lit(1)).alias("messages")
     )
     titled = index.select(
         session,
-        F.coalesce(ellipsis("__first"), F.lit(values.NEW_SESSION_TITLE)).alias("title"),
+        F.coalesce(ellipsis("__first", TITLE_WIDTH), F.lit(values.NEW_SESSION_TITLE)).alias("title"),
         "last_activity",
         "messages",
     )

@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motorpool import values
 from motorpool.functions.scalars import col, moment
 from motorpool.operators.ordering import row_number_over
 
@@ -223,7 +224,7 @@ def workflow_cascade(
         F.coalesce("entity_id", F.lit("unknown")).alias("to_zone"),
         F.lit(1).alias("vehicle_count"),
         F.lit(city).alias("city"),
-        F.concat(F.lit("Approved from workflow #"), F.col("workflow_id").cast("string")).alias("reason"),
+        F.concat(F.lit(values.APPROVED_REASON), F.col("workflow_id").cast("string")).alias("reason"),
         F.coalesce("severity", F.lit("medium")).alias("priority"),
         F.lit("approved").alias("status"),
         F.col("workflow_id"),

@@ -8,6 +8,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from motorpool.functions.scalars import before, col, day, moment
 
@@ -41,13 +42,23 @@ def filter_equals(df: DataFrame, **wanted) -> DataFrame:
     return df.filter(reduce(and_, tests)) if tests else df
 
 
+def _edge(df: DataFrame, name: str, bound: Column) -> Column:
+    """A day or moment in the type of the column it is compared with.
+
+    The column itself stays bare, so the test reaches the scan and prunes date partitions.
+    Text times compare as text: a bare day sorts before all its moments.
+    """
+    kind = df.schema[name].dataType
+    return bound.cast(kind if isinstance(kind, T.DatetimeType | T.StringType) else "timestamp_ntz")
+
+
 def filter_since(df: DataFrame, ts: str, as_of, days: int = 0, hours: int = 0, minutes: int = 0) -> DataFrame:
     """A lookback. With days alone the whole first day counts, as a comparison of dates does."""
     if days and not (hours or minutes):
-        start = F.date_sub(day(as_of), days).cast("timestamp_ntz")
+        start = F.date_sub(day(as_of), days)
     else:
         start = before(as_of, days, hours, minutes)
-    return df.filter(F.col(ts) >= start)
+    return df.filter(F.col(ts) >= _edge(df, ts, start))
 
 
 def filter_next_days(df: DataFrame, date: str, as_of, n: int | None = None) -> DataFrame:
@@ -61,16 +72,16 @@ def filter_day(df: DataFrame, ts: str, on) -> DataFrame:
     """One calendar day, half-open."""
     start = day(on)
     return df.filter(
-        (F.col(ts) >= start.cast("timestamp_ntz")) & (F.col(ts) < F.date_add(start, 1).cast("timestamp_ntz"))
+        (F.col(ts) >= _edge(df, ts, start)) & (F.col(ts) < _edge(df, ts, F.date_add(start, 1)))
     )
 
 
 def filter_between(df: DataFrame, ts: str, date_from=None, date_to=None) -> DataFrame:
     """Optional day bounds; the end day counts to its last instant."""
     if date_from is not None:
-        df = df.filter(F.col(ts) >= day(date_from).cast("timestamp_ntz"))
+        df = df.filter(F.col(ts) >= _edge(df, ts, day(date_from)))
     if date_to is not None:
-        df = df.filter(F.col(ts) < F.date_add(day(date_to), 1).cast("timestamp_ntz"))
+        df = df.filter(F.col(ts) < _edge(df, ts, F.date_add(day(date_to), 1)))
     return df
 
 

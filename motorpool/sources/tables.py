@@ -45,16 +45,22 @@ def date_series(spark: SparkSession, as_of, back: int, forward: int, name: str =
     return spark.range(1).select(F.explode(span).alias(name))
 
 
-def replace_table(df: DataFrame, path: str) -> DataFrame:
-    """Rebuild a table from scratch and hand back the written rows."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Rebuild a table from scratch and hand back the written rows.
+
+    Large tables pass ``partition_by`` (a date), so that day filters skip folders.
+    """
+    return _write(df, path, "overwrite", partition_by)
 
 
-def append_table(df: DataFrame, path: str) -> DataFrame:
+def append_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Add a batch to a table and hand back the whole of it."""
-    df.write.mode("append").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _write(df, path, "append", partition_by)
+
+
+def _write(df: DataFrame, path: str, mode: str, partition_by: Sequence[str]) -> DataFrame:
+    df.write.mode(mode).partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def insert_select(df: DataFrame, path: str, schema: T.StructType) -> DataFrame:

@@ -61,6 +61,15 @@ def stream_stats(query: StreamingQuery, name: str) -> DataFrame:
     return literal_rows(SparkSession.active(), rows, schema)
 
 
+def stream_status(stats: DataFrame) -> DataFrame:
+    """Per stream its batches, rows and last insert time, from :func:`stream_stats`."""
+    return stats.groupBy("stream").agg(
+        F.count(F.lit(1)).alias("batches"),
+        F.sum("rows").alias("rows_inserted"),
+        F.max(F.when(F.col("rows") > 0, F.col("started_at"))).alias("last_insert"),
+    )
+
+
 # --- checked ingest ----------------------------------------------------------------
 
 

@@ -104,13 +104,19 @@ WORKFLOW_TARGETS = ["approved", "dismissed"]
 EXCEPTION_TARGETS = ["acknowledged", "resolved", "escalated", "cancelled"]
 EXCEPTION_CLOSED = ["resolved", "cancelled"]
 
-# --- Fixed values: workflow headlines, session placeholder -----------------------
+# --- Fixed values: workflow headlines, reason of an approved action ---------------
 WORKFLOW_HEADLINES = {
     "rebalancing_request": "Fleet Rebalancing: ",
     "surge_response": "Surge Response: ",
     "dispatch_override": "Dispatch Override: ",
 }
 HEADLINE_FALLBACK_ENTITY = "Fleet"
+APPROVED_REASON = "Approved from workflow #"
+
+# --- Fixed values: steps of a workflow without a chain of its own: tool, label ----
+CHAIN_STEPS = [("monitor", "Trigger detected"), ("analyze", "Analyzing situation"), ("action", "Action on ")]
+
+# --- Fixed values: title of a session without a user message ----------------------
 NEW_SESSION_TITLE = "New conversation"
 
 # --- Fixed values: follow-up suggestions: keywords, label, prompt ----------------

@@ -173,6 +173,22 @@ def test_filters_refuse_unsafe_values(src):
     assert filters.filter_equals(src.part, p_name=None, p_type="").count() == src.part.count()
 
 
+def test_time_filters_follow_the_column_type(spark, src):
+    times = src.events.select(
+        "ts",
+        F.col("ts").cast("date").alias("on_day"),
+        F.left(F.col("ts").cast("string"), F.lit(19)).alias("clock"),
+        F.col("ts").cast("timestamp").alias("zoned"),
+    )
+    for select in (
+        lambda c: filters.filter_since(times, c, "2024-01-31", days=7),
+        lambda c: filters.filter_day(times, c, "2024-01-16"),
+        lambda c: filters.filter_between(times, c, "2024-01-03", "2024-01-05"),
+    ):
+        counts = {c: select(c).count() for c in times.columns}
+        assert len(set(counts.values())) == 1 and counts["ts"] > 0
+
+
 def test_unknown_horizon_means_a_day(spark):
     df = literal_rows(spark, [(dt.date(2024, 1, 2), h) for h in range(24)], struct("d:date h:int"))
     assert filters.filter_horizon(df, "d", "h", "2024-01-02", "1h").count() == 2
@@ -321,6 +337,8 @@ def test_written_tables(spark, src):
     T.append_table(src.nation, path)
     assert T.append_table(src.nation, path).count() == 50
     assert T.replace_table(src.nation, path).count() == 25
+    split = T.replace_table(src.nation, f"{path}-split", ["n_regionkey"])
+    assert split.columns == src.nation.columns and split.filter("n_regionkey = 1").count() == 5
     T.register_view(src.nation, "places")
     assert spark.table("places").count() == 25
     assert T.drop_view(spark, "places") and not T.drop_view(spark, "places")

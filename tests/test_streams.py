@@ -33,6 +33,8 @@ def test_ingest_resumes_from_its_checkpoint(spark, src, parts):
     assert load_table(spark, path, "rows", EVENTS).count() == src.events.count()
     stats = S.stream_stats(query, "telemetry").collect()
     assert sum(r.rows for r in stats) == src.events.count() and len(stats) >= 4
+    status = S.stream_status(S.stream_stats(query, "telemetry")).first()
+    assert status.rows_inserted == src.events.count() and status.last_insert is not None
     src.events.limit(7).coalesce(1).write.mode("append").parquet(parts)
     S.ingest_telemetry(stream(spark, parts), f"{path}/rows.parquet", f"{path}/checkpoint")
     assert load_table(spark, path, "rows", EVENTS).count() == src.events.count() + 7
