@@ -7,6 +7,8 @@ from motorpool.bindings import (  # noqa: F401
     demand,
     filters,
     joins,
+    listings,
+    operations,
     ordering,
     scalars,
     sources,

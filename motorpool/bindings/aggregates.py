@@ -265,9 +265,8 @@ def _briefing(src: Source):
     rides = domain.rides(src).withColumn(
         "request_ts", F.col("request_time").cast("timestamp_ntz") + F.make_dt_interval(shift)
     )
-    events = domain.venue_events(src).withColumn("city", F.col("zone"))
     return dashboard.daily_briefing(
-        events, domain.surge_alerts(src), domain.vehicles(src), rides, domain.fleet_actions(src), domain.EVENTS_MIDDLE
+        domain.venue_events(src), domain.surge_alerts(src), domain.vehicles(src), rides, domain.fleet_actions(src), domain.EVENTS_MIDDLE
     )
 
 
@@ -295,7 +294,7 @@ def _(src: Source):
     "d14_briefing_events",
     with_cte(
         "venue_events",
-        """SELECT event_name, venue, zone AS city, strftime(event_date, '%Y-%m-%d') AS event_day, start_time,
+        """SELECT event_name, venue, city, strftime(event_date, '%Y-%m-%d') AS event_day, start_time,
                   expected_attendance, demand_multiplier
            FROM venue_events WHERE event_date BETWEEN DATE '2024-01-16' AND DATE '2024-01-17'""",
     ),

@@ -332,7 +332,7 @@ def _(src: Source):
     ).replace("\n, supply", ", supply"),
 )
 def _(src: Source):
-    events = domain.venue_events(src).join(domain.zones(src).select("zone_id", "city"), F.col("zone") == F.col("zone_id"))
+    events = domain.venue_events(src).drop("city").join(domain.zones(src).select("zone_id", "city"), F.col("zone") == F.col("zone_id"))
     # The fleet is to be spread over the zones as their events are.
     supply = rebalance.zone_supply(domain.vehicles(src), 20)
     fleet_size = supply.agg(F.sum("vehicles")).scalar()

@@ -93,6 +93,7 @@ def rides(src: Source) -> DataFrame:
     return src.lineitem.select(
         F.concat_ws("-", F.lit("RD"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("ride_id"),
         text("V-", "l_suppkey").alias("vehicle_id"),
+        text("City ", F.col("l_suppkey") % 5).alias("city"),
         text("Z", F.col("l_suppkey") % 25).alias("pickup_zone"),
         text("Z", F.col("l_partkey") % 25).alias("dropoff_zone"),
         text_time(request).alias("request_time"),
@@ -105,7 +106,7 @@ def rides(src: Source) -> DataFrame:
 
 CTE["rides"] = """
     SELECT 'RD-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS ride_id,
-           'V-' || l_suppkey AS vehicle_id, 'Z' || (l_suppkey % 25) AS pickup_zone,
+           'V-' || l_suppkey AS vehicle_id, 'City ' || (l_suppkey % 5) AS city, 'Z' || (l_suppkey % 25) AS pickup_zone,
            'Z' || (l_partkey % 25) AS dropoff_zone,
            strftime(l_shipdate + to_minutes(l_orderkey * 7 % 1440), '%Y-%m-%d %H:%M:%S') AS request_time,
            round(2.0::DOUBLE + l_tax * 100, 1) AS wait_time_min, l_quantity AS distance_miles,
@@ -123,6 +124,7 @@ def venue_events(src: Source) -> DataFrame:
         text("Venue ", F.col("user_id") % 40).alias("venue"),
         F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("event_name"),
         "event_type",
+        text("City ", F.col("user_id") % 5).alias("city"),
         zone.alias("zone"),
         attendance.alias("expected_attendance"),
         F.col("ts").cast("date").alias("event_date"),
@@ -134,7 +136,7 @@ def venue_events(src: Source) -> DataFrame:
 
 CTE["venue_events"] = f"""
     SELECT 'EVT-' || event_id AS event_id, 'Venue ' || (user_id % 40) AS venue,
-           event_type || ' ' || user_id AS event_name, event_type, 'Z' || (user_id % 25) AS zone,
+           event_type || ' ' || user_id AS event_name, event_type, 'City ' || (user_id % 5) AS city, 'Z' || (user_id % 25) AS zone,
            CAST(floor(value * 200) AS INT) AS expected_attendance, CAST(ts AS DATE) AS event_date,
            lpad(hour(ts)::VARCHAR, 2, '0') || ':' || lpad(minute(ts)::VARCHAR, 2, '0') AS start_time,
            lpad(least(hour(ts) + 3, 23)::VARCHAR, 2, '0') || ':' || lpad(minute(ts)::VARCHAR, 2, '0') AS end_time,
@@ -319,6 +321,11 @@ def shipments(src: Source) -> DataFrame:
         case_map("l_returnflag", {"A": "delivered", "R": "delayed"}, "in_transit").alias("status"),
         F.date_add(shipped, F.col("l_linenumber") % 3 + 3).alias("expected_delivery_date"),
         F.date_add(shipped, (F.col("l_partkey") % 5 + 1).cast("int")).alias("actual_delivery_date"),
+        F.col("l_suppkey").alias("origin_facility_id"),
+        (F.col("l_partkey") % 10).alias("destination_facility_id"),
+        F.col("l_partkey").alias("product_id"),
+        pick(F.col("l_orderkey") % 3, ["road", "rail", "air"]).alias("transport_mode"),
+        F.when(F.col("l_tax") > 0.04, F.col("l_discount") * 100).alias("temp_min_f"),
     )
 
 
@@ -327,7 +334,10 @@ CTE["shipments"] = """
            CAST(l_shipdate AS DATE) AS ship_date, l_extendedprice AS cost_usd, l_quantity AS distance_miles,
            CASE l_returnflag WHEN 'A' THEN 'delivered' WHEN 'R' THEN 'delayed' ELSE 'in_transit' END AS status,
            CAST(l_shipdate AS DATE) + CAST(l_linenumber % 3 + 3 AS INT) AS expected_delivery_date,
-           CAST(l_shipdate AS DATE) + CAST(l_partkey % 5 + 1 AS INT) AS actual_delivery_date
+           CAST(l_shipdate AS DATE) + CAST(l_partkey % 5 + 1 AS INT) AS actual_delivery_date,
+           l_suppkey AS origin_facility_id, l_partkey % 10 AS destination_facility_id, l_partkey AS product_id,
+           (['road', 'rail', 'air'])[(l_orderkey % 3 + 1)::INT] AS transport_mode,
+           CASE WHEN l_tax > 0.04 THEN l_discount * 100 END AS temp_min_f
     FROM lineitem"""
 
 

@@ -115,14 +115,16 @@ def transition_status(
 ) -> tuple[DataFrame, DataFrame]:
     """Set a status from commands (key, status, order); the last command per key wins.
 
-    ``stamp`` names a time column set to ``as_of`` for the ``stamped`` statuses; ``reset``
-    clears it for the others. ``carry`` columns are taken from the command as they are.
+    ``stamp`` names a time column set to ``as_of`` by the ``stamped`` statuses, also by one
+    that a later command of the batch replaces; with ``reset`` only the last command counts
+    and any other status clears it. ``carry`` columns are taken from the last command.
     Refused are a target outside ``allowed`` and a key the table does not hold.
     """
     permitted = F.coalesce(F.col(status).isin(*allowed), F.lit(False))
     valid = commands.filter(permitted)
     last = valid.groupBy(F.col(key).alias("__key")).agg(
-        F.max_by(F.struct(F.col(status), *carry), F.col(order)).alias("__cmd")
+        F.max_by(F.struct(F.col(status), *carry), F.col(order)).alias("__cmd"),
+        F.bool_or(F.col(status).isin(*stamped)).alias("__stamped"),
     )
     joined = table.join(last, F.col(key) == F.col("__key"), "left")
     hit, target = F.col("__key").isNotNull(), F.col(f"__cmd.{status}")
@@ -130,8 +132,9 @@ def transition_status(
     for name in carry:
         changes[name] = F.when(hit, F.col(f"__cmd.{name}")).otherwise(F.col(name))
     if stamp:
+        sets = target.isin(*stamped) if reset else F.col("__stamped")
         kept = F.lit(None).cast("timestamp_ntz") if reset else F.col(stamp)
-        changes[stamp] = F.when(hit & target.isin(*stamped), moment(as_of)).when(hit, kept).otherwise(F.col(stamp))
+        changes[stamp] = F.when(hit & sets, moment(as_of)).when(hit, kept).otherwise(F.col(stamp))
     updated = joined.withColumns(changes).select(*table.columns)
 
     refused = commands.filter(~permitted).withColumn("reason", F.lit("status not allowed"))

@@ -46,6 +46,12 @@ def event_bounds(df: DataFrame, date: str, start_time: str, end_time: str) -> Da
     return df.withColumn("window_start", at(start_time)).withColumn("window_end", at(end_time))
 
 
+def _within_reach(points: DataFrame, ts: str, windows: DataFrame, start: str, end: str) -> DataFrame:
+    """Points between the first start and the last end, so the rest leave at the scan."""
+    reach = windows.agg(F.struct(F.min(start).alias("first"), F.max(end).alias("last"))).scalar()
+    return points.filter((F.col(ts) >= reach["first"]) & (F.col(ts) < reach["last"]))
+
+
 def range_join(
     points: DataFrame,
     windows: DataFrame,
@@ -69,7 +75,8 @@ def range_join(
         F.floor(minute_number(start) / bucket_minutes), F.floor(minute_number(end) / bucket_minutes)
     )
     spans = spans.withColumn("__bucket", F.explode(buckets)).alias("w")
-    placed = points.withColumn("__bucket", F.floor(minute_number(ts) / bucket_minutes)).alias("p")
+    near = points if how == "left" else _within_reach(points, ts, windows, start, end)
+    placed = near.withColumn("__bucket", F.floor(minute_number(ts) / bucket_minutes)).alias("p")
     match = (
         (F.col("p.__bucket") == F.col("w.__bucket"))
         & (F.col(f"p.{ts}") >= F.col(f"w.{start}"))
@@ -102,16 +109,17 @@ def range_stats(
     minute, ``by`` and ``keys``, and cells into blocks of 1, 2, 4, ... ``2**levels`` minutes.
     A window is the sum of a few aligned blocks, about two per level, so the join is a plain
     equi join on the block; equal windows are folded first. Neither a crowded minute nor many
-    overlapping windows make pairs. ``measure`` is summed as a decimal of ``scale`` digits,
+    overlapping windows make pairs. ``measure`` is summed in whole units of ``scale`` digits,
     so the mean does not depend on task order.
     """
     cells = (
-        points.withColumn("__minute", minute_number(ts))
+        _within_reach(points, ts, windows, start, end)
+        .withColumn("__minute", minute_number(ts))
         .groupBy(*keys, *by, "__minute")
         .agg(
             F.count(F.lit(1)).alias("__n"),
             F.count(measure).alias("__m"),
-            F.sum(F.col(measure).cast(f"decimal(18,{scale})")).alias("__s"),
+            F.sum(F.rint(F.col(measure) * 10**scale).cast("long")).alias("__s"),
         )
     )
     sums = [F.sum(c).alias(c) for c in ("__n", "__m", "__s")]
@@ -142,7 +150,7 @@ def range_stats(
         spans.join(blocks, [*keys, "__level", "__block"])
         .groupBy(*keys, "__from", "__to", *by)
         .agg(*sums)
-        .withColumn("mean", F.col("__s").cast("double") / F.nullif(F.col("__m"), F.lit(0)))
+        .withColumn("mean", F.col("__s") / F.lit(float(10**scale)) / F.nullif("__m", F.lit(0)))
         .select(*keys, "__from", "__to", *by, F.col("__n").alias("n"), "mean")
     )
     return bounded.join(per_span, [*keys, "__from", "__to"]).select(window_id, *by, "n", "mean")

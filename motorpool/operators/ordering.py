@@ -65,11 +65,14 @@ def paginate(df: DataFrame, order: Sequence[str | Column], page: int, per_page:
     return rows.withColumn("total", total)
 
 
-def sort_whitelisted(df: DataFrame, sort: str, order: str, allowed: Sequence[str], default: str, tie_break: Sequence[str] = ()) -> DataFrame:
-    """Sort by a listed column only; anything else gives the default, descending unless ``ASC``."""
+def whitelisted_order(sort: str, order: str, allowed: Sequence[str], default: str, tie_break: Sequence[str] = ()) -> list:
+    """An order by a listed column only; anything else gives the default, descending unless ``ASC``."""
     column = F.col(sort if sort in allowed else default)
-    lead = column.asc() if order.upper() == "ASC" else column.desc()
-    return df.orderBy(lead, *tie_break)
+    return [column.asc() if order.upper() == "ASC" else column.desc(), *tie_break]
+
+
+def sort_whitelisted(df: DataFrame, sort: str, order: str, allowed: Sequence[str], default: str, tie_break: Sequence[str] = ()) -> DataFrame:
+    return df.orderBy(*whitelisted_order(sort, order, allowed, default, tie_break))
 
 
 def sort_multi(df: DataFrame, *columns: str | Column) -> DataFrame:

@@ -95,6 +95,61 @@ WORKFLOW_STATUSES = ["in_progress", "pending_approval", "approved", "dismissed",
 EXCEPTION_STATUSES = ["open", "acknowledged", "resolved", "escalated", "cancelled"]
 MESSAGE_ROLES = ["user", "assistant"]
 
+# --- Fixed values: columns of the operational tables that must be filled -----------
+NOT_NULL = {
+    "fleet_actions": ["action_type", "from_zone", "to_zone", "vehicle_count", "city", "priority", "status"],
+    "surge_alerts": ["zone_id", "city", "predicted_demand_score", "current_supply", "severity", "status"],
+    "dispatch_overrides": ["vehicle_id", "from_zone", "to_zone", "city", "override_by", "status"],
+    "workflows": ["workflow_type", "trigger_source", "severity", "summary", "reasoning_chain", "status"],
+    "agent_actions": ["action_type", "severity", "description", "status"],
+    "notes": ["entity_type", "entity_id", "note_text", "author"],
+    "exceptions": ["entity_type", "entity_id", "exception_type", "severity", "description", "status"],
+    "chat_sessions": ["session_id"],
+    "chat_messages": ["session_id", "role", "content"],
+}
+
+# --- Fixed values: defaults of the operational tables ------------------------------
+DEFAULTS = {
+    "fleet_actions": {"vehicle_count": 1, "reason": "", "priority": "medium", "status": "pending"},
+    "surge_alerts": {
+        "event_name": "",
+        "predicted_demand_score": 0.0,
+        "current_supply": 0,
+        "severity": "medium",
+        "status": "open",
+        "recommended_action": "",
+    },
+    "dispatch_overrides": {"reason": "", "override_by": "operator", "status": "pending"},
+    "workflows": {
+        "trigger_source": "monitor",
+        "severity": "medium",
+        "reasoning_chain": "[]",
+        "status": "in_progress",
+    },
+    "agent_actions": {"severity": "medium", "status": "pending"},
+    "notes": {"author": "system"},
+    "exceptions": {"severity": "medium", "status": "open"},
+    "chat_sessions": {"title": "New conversation"},
+    "chat_messages": {"metadata": "{}"},
+}
+
+# --- Fixed values: columns limited to an enumeration -------------------------------
+ENUMS = {
+    "fleet_actions": {"action_type": ACTION_TYPES, "priority": LEVELS, "status": FLEET_ACTION_STATUSES},
+    "surge_alerts": {"severity": LEVELS, "status": ALERT_STATUSES},
+    "dispatch_overrides": {"status": OVERRIDE_STATUSES},
+    "workflows": {"trigger_source": TRIGGER_SOURCES, "status": WORKFLOW_STATUSES},
+    "agent_actions": {"severity": LEVELS, "status": AGENT_ACTION_STATUSES},
+    "notes": {},
+    "exceptions": {"severity": LEVELS, "status": EXCEPTION_STATUSES},
+    "chat_sessions": {},
+    "chat_messages": {"role": MESSAGE_ROLES},
+}
+
+# --- Fixed values: fields an exception report must bring, text cut on entry ---------
+EXCEPTION_REQUIRED = ["entity_type", "entity_id", "exception_type", "description"]
+EXCEPTION_CUTS = {"description": 2000, "assigned_to": 100}
+
 # --- Fixed values: target statuses a command may ask for -------------------------
 ALERT_TARGETS = ["acknowledged", "resolved", "dismissed"]
 ALERT_CLOSED = ["resolved", "dismissed"]

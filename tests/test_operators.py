@@ -255,6 +255,11 @@ def test_fleet_action_stamp_is_kept_without_reset(spark):
         table, commands, "id", "seq", values.FLEET_ACTION_TARGETS, "2024-02-01", "executed_at", values.FLEET_ACTION_STAMPED
     )
     assert tuple(updated.first()) == (1, "failed", T0)
+    both = literal_rows(spark, [(1, "executed", 1), (1, "failed", 2)], struct("id:int status:str seq:int"))
+    updated, _ = C.transition_status(
+        table, both, "id", "seq", values.FLEET_ACTION_TARGETS, "2024-02-01", "executed_at", values.FLEET_ACTION_STAMPED
+    )
+    assert tuple(updated.first()) == (1, "failed", dt.datetime(2024, 2, 1))
 
 
 def test_exceptions_carry_their_resolution(spark):
@@ -304,6 +309,26 @@ def test_inserts_continue_the_serial(spark):
     assert whole.count() == 3
 
 
+def test_table_rules_keep_bad_rows_out(spark):
+    from motorpool.plans.operations import insert_checked
+    from motorpool.schemas import OPS_TABLES
+
+    table = literal_rows(spark, [], OPS_TABLES["exceptions"])
+    rows = [
+        (1, "vehicle", "V-1", "fault", "x" * 3000, "high"),
+        (2, "vehicle", "", "fault", "no id", None),
+        (3, "vehicle", "V-2", "fault", "odd", "dire"),
+    ]
+    new = literal_rows(
+        spark, rows, struct("n:int entity_type:str entity_id:str exception_type:str description:str severity:str")
+    )
+    done = insert_checked("exceptions", table, new, ["n"], "2024-02-01")
+    kept = done.rows.collect()
+    assert [(r.exception_id, r.status, len(r.description)) for r in kept] == [(1, "open", 2000)]
+    broken = {r.n: r.broken_rules for r in done.rejects.collect()}
+    assert broken == {2: ["entity_id is given"], 3: ["severity is known"]}
+
+
 # --- scalars, sources, state --------------------------------------------------------
 
 
