@@ -88,14 +88,6 @@ def _(src: Source):
     return S.read_charging(src.spark, path, EVENTS).select("event_id", "charging")
 
 
-def _low_battery(batch):
-    """A generator over readings: none for errors, and the battery sinks as the value grows."""
-    kept = batch[batch["event_type"] != "error"]
-    progress = (kept["value"] / 500.0).clip(upper=1.0)
-    level = (80 - 75 * progress).astype("int32").clip(lower=5)
-    return kept[["event_id"]].assign(battery_pct=level, battery_range_mi=(level * 1.2).round(1))
-
-
 @query(
     "l01_map_batches",
     """SELECT event_id, b AS battery_pct, round(b * 1.2::DOUBLE, 1) AS battery_range_mi
@@ -103,8 +95,16 @@ def _low_battery(batch):
              FROM events WHERE event_type <> 'error')""",
 )
 def _(src: Source):
+    # Defined here, so that it travels to the executors by value.
+    def low_battery(batch):
+        """No reading for errors; the battery sinks as the value grows."""
+        kept = batch[batch["event_type"] != "error"]
+        progress = (kept["value"] / 500.0).clip(upper=1.0)
+        level = (80 - 75 * progress).astype("int32").clip(lower=5)
+        return kept[["event_id"]].assign(battery_pct=level, battery_range_mi=(level * 1.2).round(1))
+
     return map_batches(
         src.events.select("event_id", "event_type", "value"),
-        _low_battery,
+        low_battery,
         struct("event_id:long battery_pct:int battery_range_mi:double"),
     )

@@ -143,7 +143,7 @@ def range_stats(
         bounded.select(*keys, "__from", "__to")
         .distinct()
         .filter(F.col("__from") < F.col("__to"))
-        .withColumn("__piece", F.explode(_aligned_blocks(F.col("__from"), F.col("__to"), levels)))
+        .withColumn("__piece", F.explode(_aligned_blocks(levels)))
         .select(*keys, "__from", "__to", "__piece.*")
     )
     per_span = (
@@ -156,28 +156,28 @@ def range_stats(
     return bounded.join(per_span, [*keys, "__from", "__to"]).select(window_id, *by, "n", "mean")
 
 
-def _aligned_blocks(lo: Column, hi: Column, levels: int) -> Column:
-    """``[lo, hi)`` as disjoint blocks (level, block), a block covering ``2**level`` minutes.
+def _aligned_blocks(levels: int) -> Column:
+    """``[__from, __to)`` as disjoint blocks (level, block) of ``2**level`` minutes.
 
     At each level the whole blocks inside run from ``first`` to before ``last``; those whose
     parent block is inside too are left to the next level, so at most one at each end is
     taken. The top level takes all it has.
     """
 
-    def block(level: int, number: Column) -> Column:
-        return F.struct(F.lit(level).alias("__level"), number.alias("__block"))
+    def inside(level: int) -> tuple[str, str]:
+        return f"shiftright(__from + {2**level - 1}, {level})", f"shiftright(__to, {level})"
 
-    taken = []
+    def block(level: int, number: str) -> str:
+        return f"named_struct('__level', {level}, '__block', {number})"
+
+    ends = []
     for level in range(levels):
-        first = F.shiftright(lo + (2**level - 1), level)
-        last = F.shiftright(hi, level)
-        taken.append(F.when((first < last) & (first % 2 == 1), block(level, first)))
-        taken.append(F.when((first < last) & (last % 2 == 1), block(level, last - 1)))
-    first = F.shiftright(lo + (2**levels - 1), levels)
-    last = F.shiftright(hi, levels)
-    top = F.when(first < last, F.transform(F.sequence(first, last - 1), lambda b: block(levels, b)))
-    ends = F.array_compact(F.array(*taken))
-    return F.when(top.isNotNull(), F.concat(ends, top)).otherwise(ends)
+        first, last = inside(level)
+        ends.append(f"IF({first} < {last} AND {first} % 2 = 1, {block(level, first)}, NULL)")
+        ends.append(f"IF({first} < {last} AND {last} % 2 = 1, {block(level, last + ' - 1')}, NULL)")
+    first, last = inside(levels)
+    top = f"IF({first} < {last}, transform(sequence({first}, {last} - 1), b -> {block(levels, 'b')}), array())"
+    return F.expr(f"concat(array_compact(array({', '.join(ends)})), {top})")
 
 
 def grid(dim: DataFrame, **series: Column) -> DataFrame:

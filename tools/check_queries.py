@@ -20,7 +20,7 @@ def cell(v):
     if v is None:
         return "NULL"
     if isinstance(v, float):
-        return "NULL" if v != v else f"f{v:.9g}"
+        return "NULL" if v != v else f"f{v!r}"
     if isinstance(v, bool):
         return f"b{v}"
     if isinstance(v, int):
