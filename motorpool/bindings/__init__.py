@@ -3,6 +3,7 @@
 from motorpool.bindings import (  # noqa: F401
     activity,
     aggregates,
+    builds,
     changes,
     demand,
     filters,

@@ -2,6 +2,11 @@
 
 Build order: zones, vehicles, venue events, then rides and forecasts. Every build takes
 ``as_of`` in place of the current date, so a rerun gives the same rows.
+
+The builds come in two versions that differ by more than the sampler: ``modulo`` and
+``scaled``. The scaled one numbers by roster position, seeds rides and forecasts with their
+ids, truncates a day's volume before its variation, waits longer on event days, keeps
+fractions of a minute, and has live statuses from 10 o'clock on.
 """
 
 from __future__ import annotations
@@ -13,7 +18,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from motorpool import schemas, values
-from motorpool.functions.hashing import hash32, hash_choice, hash_int, hash_uniform, hash_weighted, seeded
+from motorpool.functions.hashing import (
+    hash32,
+    hash_choice,
+    hash_date,
+    hash_int,
+    hash_uniform,
+    hash_weighted,
+    seeded,
+)
 from motorpool.functions.scalars import (
     case_map,
     clamp,
@@ -94,25 +107,39 @@ def city_choice(city: Column | str, seed: Column, lists: Mapping[str, Sequence],
     return chosen.otherwise(F.lit(None))
 
 
-def build_vehicles(fleet: DataFrame, zones: Mapping[str, Sequence[str]], as_of, prefix: str = "VEH-", model: str = "Robotaxi") -> DataFrame:
+def build_vehicles(
+    fleet: DataFrame,
+    zones: Mapping[str, Sequence[str]],
+    as_of,
+    prefix: str = "VEH-",
+    model: str = "Robotaxi",
+    mode: str = "modulo",
+) -> DataFrame:
     """Vehicles from (num, city): zone, status, battery, rides and dates by hash."""
     vid = F.col("vehicle_id")
     named = fleet.withColumn("vehicle_id", padded_id(prefix, F.col("num"), 3))
     noon = day(as_of).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(12))
     ago = F.make_dt_interval(
-        F.lit(0), hash_int(seeded("last-ride-hrs-", vid), 0, 8), hash_int(seeded("last-ride-min-", vid), 0, 59)
+        F.lit(0),
+        hash_int(seeded("last-ride-hrs-", vid), 0, 8, mode),
+        hash_int(seeded("last-ride-min-", vid), 0, 59, mode),
     )
     first_day = F.date_sub(day(as_of), 180)
+    picks, weights = values.VEHICLE_STATUS_PICKS, values.VEHICLE_STATUS_WEIGHTS
+    if mode == "modulo":
+        status, last_offset = hash_choice(seeded("status-", vid), picks), 149
+    else:
+        status, last_offset = hash_weighted(seeded("status-", vid), picks, weights, mode), 150
     return named.select(
         "vehicle_id",
         F.lit(model).alias("model"),
         "city",
-        city_choice("city", seeded("cur-zone-", vid), zones).alias("current_zone"),
-        hash_choice(seeded("status-", vid), values.VEHICLE_STATUS_PICKS).alias("status"),
-        hash_int(seeded("battery-", vid), 20, 100).alias("battery_pct"),
-        hash_int(seeded("rides-today-", vid), 0, 25).alias("rides_today"),
+        city_choice("city", seeded("cur-zone-", vid), zones, mode).alias("current_zone"),
+        status.alias("status"),
+        hash_int(seeded("battery-", vid), 20, 100, mode).alias("battery_pct"),
+        hash_int(seeded("rides-today-", vid), 0, 25, mode).alias("rides_today"),
         text_time(noon - ago).alias("last_ride_at"),
-        F.date_add(first_day, hash_int(seeded("commission-", vid), 0, 149)).alias("commissioned_date"),
+        F.date_add(first_day, hash_int(seeded("commission-", vid), 0, last_offset, mode)).alias("commissioned_date"),
     )
 
 
@@ -123,11 +150,11 @@ def demand_multiplier(attendance: Column | str) -> Column:
     return F.round(clamp(col(attendance) / F.lit(10000.0), 1.5, 4.0), 2)
 
 
-def start_hour(event_type: Column | str, seed: Column) -> Column:
+def start_hour(event_type: Column | str, seed: Column, mode: str = "modulo") -> Column:
     """Start hour from the type's list, the default hour for an unknown type."""
     hour = F
     for kind, hours in values.START_HOURS.items():
-        hour = hour.when(col(event_type) == kind, hash_choice(seed, hours))
+        hour = hour.when(col(event_type) == kind, hash_choice(seed, hours, mode))
     return hour.otherwise(F.lit(values.DEFAULT_START_HOUR))
 
 
@@ -143,17 +170,25 @@ def venue_event_features(df: DataFrame, event_type: str, attendance: str, start:
     )
 
 
-def build_venue_events(venues: DataFrame, types: DataFrame, names: DataFrame, as_of, days: int = 180) -> DataFrame:
-    """Events per venue.
+def build_venue_events(
+    venues: DataFrame,
+    types: DataFrame,
+    names: DataFrame,
+    as_of,
+    days: int = 180,
+    mode: str = "modulo",
+    order: str = "venue",
+) -> DataFrame:
+    """Events per venue, numbered in the ``order`` of a venue column.
 
     ``venues``: venue, city, zone, total_events, cap_lo, cap_hi. ``types`` and ``names``:
-    venue, a 1-based index, and event_type or event_name.
+    venue, a 1-based index (type_idx, name_idx), and event_type or event_name.
     """
     counted = (
         venues.join(group_max(types, ["venue"], "type_idx", "type_count"), "venue")
         .join(group_max(names, ["venue"], "name_idx", "name_count"), "venue")
     )
-    rows = numbered_expand(counted, "total_events", "venue", ["venue"], "nth", "rn")
+    rows = numbered_expand(counted, "total_events", order, ["venue"], "nth", "rn")
     seed = F.concat_ws("-", F.col("venue"), (F.col("nth") - 1).cast("string"))
 
     def part(kind: str) -> Column:
@@ -161,17 +196,17 @@ def build_venue_events(venues: DataFrame, types: DataFrame, names: DataFrame, as
 
     hashed = rows.withColumns(
         {
-            "event_date": F.date_add(F.date_sub(day(as_of), days), hash_int(part("evt-date-"), 0, days)),
-            "type_idx": hash_int(part("evt-type-"), F.lit(1), F.col("type_count")),
-            "name_idx": hash_int(part("evt-name-"), F.lit(1), F.col("name_count")),
-            "expected_attendance": hash_int(part("evt-att-"), F.col("cap_lo"), F.col("cap_hi")),
-            "minute": F.when(hash32(part("evt-min-")) % 4 == 3, 30).otherwise(0),
+            "event_date": hash_date(part("evt-date-"), F.date_sub(day(as_of), days), day(as_of), mode),
+            "type_idx": hash_int(part("evt-type-"), F.lit(0), F.col("type_count") - 1, mode) + 1,
+            "name_idx": hash_int(part("evt-name-"), F.lit(0), F.col("name_count") - 1, mode) + 1,
+            "expected_attendance": hash_int(part("evt-att-"), F.col("cap_lo"), F.col("cap_hi"), mode),
+            "minute": hash_choice(part("evt-min-"), [0, 0, 0, 30], mode),
             "__seed": part("evt-hour-"),
         }
     )
     typed = pick_from_list(hashed, types, ["venue", "type_idx"])
     resolved = typed.join(names, ["venue", "name_idx"], "left")
-    timed = resolved.withColumn("start", start_hour("event_type", F.col("__seed")))
+    timed = resolved.withColumn("start", start_hour("event_type", F.col("__seed"), mode))
     full = venue_event_features(timed, "event_type", "expected_attendance", "start", "minute")
     return full.withColumn("event_id", padded_id("EVT-", F.col("rn"), 4)).select(
         *schemas.FLEET_TABLES["venue_events"].names
@@ -189,28 +224,39 @@ def base_rate(city: Column | str, date: Column | str, rates: Mapping[str, tuple[
     return rate.otherwise(F.lit(None).cast("int"))
 
 
-def daily_volume(base: Column | str, multiplier: Column | str, cap: Column | str, seed: Column, cap_after: bool = False) -> Column:
+def daily_volume(
+    base: Column | str,
+    multiplier: Column | str,
+    cap: Column | str,
+    seed: Column,
+    cap_after: bool = False,
+    mode: str = "modulo",
+) -> Column:
     """Rides of one day: base times the event multiplier, capped, varied by 15 %, truncated.
 
     The cap comes before the variation, so a day may exceed it; ``cap_after`` applies it last.
+    The scaled build truncates before the cap as well.
     """
     raised = col(base) * F.greatest(col(multiplier), F.lit(1.0))
+    if mode == "scaled" and not cap_after:
+        raised = whole(raised)
     variation = hash_uniform(seed, 0.85, 1.15)
     if cap_after:
         return F.least(whole(raised * variation), col(cap))
     return whole(F.least(col(cap), raised) * variation)
 
 
-def request_time(date: Column | str, seed: Column) -> Column:
+def request_time(date: Column | str, seed: Column, mode: str = "modulo") -> Column:
     """A moment of the day, weighted to the evening."""
     hour = hash_weighted(
         F.concat(F.lit("ride-hr-"), seed),
         list(range(24)),
         values.HOUR_REQUEST_WEIGHTS,
-        modulus=values.HOUR_REQUEST_MODULUS,
+        mode,
+        values.HOUR_REQUEST_MODULUS,
     )
-    minute = hash_int(F.concat(F.lit("ride-min-"), seed), 0, 59)
-    second = hash_int(F.concat(F.lit("ride-sec-"), seed), 0, 59)
+    minute = hash_int(F.concat(F.lit("ride-min-"), seed), 0, 59, mode)
+    second = hash_int(F.concat(F.lit("ride-sec-"), seed), 0, 59, mode)
     return col(date).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hour, minute, second.cast("decimal(18,6)"))
 
 
@@ -275,6 +321,7 @@ def build_rides(
     rates: Mapping[str, tuple[int, int]] = values.CITY_BASE_RIDES,
     caps: Mapping[str, int] = values.CITY_RIDE_CAP,
     paid_from=values.PAID_FROM,
+    mode: str = "modulo",
 ) -> DataFrame:
     """Rides per day and city; ``cities`` has one column, city."""
     boost = group_max(events, ["event_date", "city"], "demand_multiplier", "event_mult").withColumnRenamed(
@@ -282,13 +329,16 @@ def build_rides(
     )
     span = F.sequence(F.date_sub(day(as_of), days), day(as_of))
     days_of = left_default(grid(cities, ride_date=span), boost, ["ride_date", "city"], "event_mult", 1.0)
+    scaled = mode == "scaled"
+    variation = seeded("day-var-", case_map("city", values.CITY_CODES) if scaled else "city", "ride_date")
     sized = days_of.withColumn("base", base_rate("city", "ride_date", rates)).withColumn(
-        "ride_count",
-        daily_volume("base", "event_mult", case_map("city", caps), seeded("day-var-", "city", "ride_date")),
+        "ride_count", daily_volume("base", "event_mult", case_map("city", caps), variation, mode=mode)
     )
     rides = numbered_expand(sized, "ride_count", "ride_date", ["city"], "ride_num", "rn").withColumn(
-        "seed", F.concat_ws("-", F.col("ride_date").cast("string"), "city", F.col("ride_num").cast("string"))
+        "ride_id", padded_id("RD-", F.col("rn"), 7)
     )
+    own = ["ride_id", "ride_date"] if scaled else ["ride_date", "city", "ride_num"]
+    rides = rides.withColumn("seed", F.concat_ws("-", *[F.col(c).cast("string") for c in own]))
     seed = F.col("seed")
 
     def part(kind: str) -> Column:
@@ -296,21 +346,21 @@ def build_rides(
 
     drawn = rides.withColumns(
         {
-            "vehicle_id": city_choice("city", part("ride-veh-"), vehicles),
-            "pickup_zone": city_choice("city", part("ride-pu-"), zones),
-            "dropoff_zone": city_choice("city", part("ride-do-"), zones),
-            "request_ts": request_time("ride_date", seed),
-            "wait_time_min": wait_minutes(seed),
+            "vehicle_id": city_choice("city", part("ride-veh-"), vehicles, mode),
+            "pickup_zone": city_choice("city", part("ride-pu-"), zones, mode),
+            "dropoff_zone": city_choice("city", part("ride-do-"), zones, mode),
+            "request_ts": request_time("ride_date", seed, mode),
+            "wait_time_min": wait_minutes(seed, F.col("event_mult") > 1.0 if scaled else None),
             "distance_miles": F.round(hash_uniform(part("ride-dist-"), 1.0, 15.0), 1),
             "speed": hash_uniform(part("ride-speed-"), 2.5, 5.0),
             "fare_usd": fare_by_regime("ride_date", seed, paid_from),
-            "ride_status": ride_status("ride_date", seed, as_of),
         }
     )
-    timed = trip_times(drawn, "request_ts", "wait_time_min", "distance_miles", "speed")
+    hour = F.hour("request_ts") if scaled else None
+    timed = trip_times(drawn, "request_ts", "wait_time_min", "distance_miles", "speed", exact=scaled)
     return timed.withColumns(
         {
-            "ride_id": padded_id("RD-", F.col("rn"), 7),
+            "ride_status": ride_status("ride_date", seed, as_of, hour, mode),
             "request_time": text_time("request_ts"),
             "pickup_time": text_time("pickup_ts"),
             "dropoff_time": text_time("dropoff_ts"),

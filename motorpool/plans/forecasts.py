@@ -24,15 +24,26 @@ def event_multipliers(events: DataFrame) -> DataFrame:
     )
 
 
-def forecast_grid(zones: DataFrame, multipliers: DataFrame, as_of, back: int = 30, forward: int = 7, step: int = 3) -> DataFrame:
+def forecast_grid(
+    zones: DataFrame,
+    multipliers: DataFrame,
+    as_of,
+    back: int = 30,
+    forward: int = 7,
+    step: int = 3,
+    mode: str = "modulo",
+    order: str = "zone_id",
+) -> DataFrame:
     """Past days every ``step`` hours and today plus ``forward`` days hourly, per zone.
 
-    The event multiplier joins at zone and date, before the hours are laid out; ``rn`` numbers
-    the rows by date, zone and hour.
+    The event multiplier joins at zone and date, before the hours are laid out; ``forecast_id``
+    numbers the rows by date, the ``order`` of a zone column, and hour. It is part of the seed
+    in the scaled build.
     """
     today = day(as_of)
     span = F.sequence(F.date_sub(today, back), F.date_add(today, forward))
-    days = grid(zones.select("zone_id", "city", "base_demand_per_hour", "vehicle_capacity"), forecast_date=span)
+    needed = dict.fromkeys(["zone_id", "city", "base_demand_per_hour", "vehicle_capacity", order])
+    days = grid(zones.select(*needed), forecast_date=span)
     days = left_default(days, multipliers, ["forecast_date", "zone_id"], "event_mult", 1.0)
     past = F.col("forecast_date") < today
     days = days.withColumns(
@@ -41,12 +52,15 @@ def forecast_grid(zones: DataFrame, multipliers: DataFrame, as_of, back: int = 3
             "slots": F.when(past, F.lit((24 + step - 1) // step)).otherwise(F.lit(24)),
         }
     )
-    laid_out = numbered_expand(days, "slots", "forecast_date", ["zone_id"], "slot", "rn")
+    laid_out = numbered_expand(days, "slots", "forecast_date", [order], "slot", "rn").withColumn(
+        "forecast_id", padded_id("FC-", F.col("rn"), 6)
+    )
+    own = (["forecast_id"] if mode == "scaled" else []) + ["forecast_date", "zone_id", "hour"]
     hour = (F.col("slot") - 1) * F.when(F.col("period") == "historical", F.lit(step)).otherwise(F.lit(1))
     return laid_out.withColumn("hour", hour.cast("int")).withColumns(
         {
             "hour_weight": pick(F.col("hour"), values.HOUR_DEMAND),
-            "seed": F.concat_ws("-", F.col("forecast_date").cast("string"), "zone_id", F.col("hour").cast("string")),
+            "seed": F.concat_ws("-", *[F.col(c).cast("string") for c in own]),
         }
     ).drop("slot", "slots")
 
@@ -89,12 +103,23 @@ def confidence(seed: Column | str, date: Column | str, as_of) -> Column:
     return F.round(F.when(ahead < 0, hash_uniform(seed, 0.70, 0.98)).otherwise(hash_uniform(seed, lo, hi)), 2)
 
 
-def build_forecasts(zones: DataFrame, events: DataFrame, as_of, back: int = 30, forward: int = 7, step: int = 3) -> DataFrame:
-    rows = predict_demand_supply(forecast_grid(zones, event_multipliers(events), as_of, back, forward, step))
+def build_forecasts(
+    zones: DataFrame,
+    events: DataFrame,
+    as_of,
+    back: int = 30,
+    forward: int = 7,
+    step: int = 3,
+    mode: str = "modulo",
+    order: str = "zone_id",
+) -> DataFrame:
+    rows = predict_demand_supply(
+        forecast_grid(zones, event_multipliers(events), as_of, back, forward, step, mode, order)
+    )
+    twice = mode == "scaled"
     return rows.withColumns(
         {
-            "forecast_id": padded_id("FC-", F.col("rn"), 6),
-            "demand_score": demand_score("predicted_demand", "base_demand_per_hour", "event_mult"),
+            "demand_score": demand_score("predicted_demand", "base_demand_per_hour", "event_mult", round_first=twice),
             "confidence": confidence(F.concat(F.lit("fc-conf-"), "seed"), "forecast_date", as_of),
             "model_version": F.lit(values.MODEL_VERSION),
         }

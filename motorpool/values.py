@@ -78,6 +78,10 @@ CITY_RIDE_CAP = {"Las Vegas": 500, "San Francisco": 350}
 
 # --- Fixed values: vehicle pick list (active three times) ------------------------
 VEHICLE_STATUS_PICKS = ["active", "active", "active", "idle", "charging", "maintenance", "en_route"]
+VEHICLE_STATUS_WEIGHTS = [3, 3, 3, 2, 2, 1, 1]
+
+# --- Fixed values: city code in the daily variation seed of the scaled build ------
+CITY_CODES = {"Las Vegas": "lv", "San Francisco": "sf"}
 
 # --- Fixed values: first day with a fare, forecast model label -------------------
 PAID_FROM = "2025-12-01"
