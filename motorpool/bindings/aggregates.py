@@ -208,7 +208,7 @@ _FLEET_KPIS = with_cte(
 
 
 @query("d13_kpi_row", _FLEET_KPIS)
-def fleet_kpis(src: Source):
+def _(src: Source):
     return dashboard.fleet_metrics(
         domain.vehicles(src), domain.rides(src), domain.surge_alerts(src), domain.fleet_actions(src), domain.RIDES_AS_OF
     )

@@ -2,8 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from motorpool.bindings import domain
-from motorpool.bindings.domain import with_cte
 from motorpool.bindings.registry import Source, query
 from motorpool.functions.batches import map_batches
 from motorpool.operators import changes as C

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -153,7 +153,3 @@ def motion_status(charging: Column | str, passengers: Column | str, speed: Colum
         .when(col(speed) < 2, "idle")
         .otherwise("active")
     )
-
-
-def one_of(c: Column | str, values: Sequence) -> Column:
-    return col(c).isin(*values)

@@ -27,10 +27,6 @@ def weighted_share(weight: Column | str, predicate: Column, digits: int = 1, sca
     return F.round(F.lit(100.0) * part / F.nullif(exact_sum(weight, scale), F.lit(0.0)), digits)
 
 
-def mean_where(value: Column | str, predicate: Column, digits: int = 1, factor: float = 1.0) -> Column:
-    return F.round(F.avg(F.when(predicate, col(value))) * F.lit(factor), digits)
-
-
 def conditional_share(df: DataFrame, predicate: Column, name: str, digits: int = 1) -> DataFrame:
     return df.agg(share_where(predicate, digits).alias(name))
 

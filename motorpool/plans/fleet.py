@@ -34,7 +34,6 @@ from motorpool.functions.scalars import (
     col,
     day,
     is_weekend,
-    moment,
     parse_time,
     plus_minutes,
     text_time,

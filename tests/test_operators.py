@@ -329,6 +329,38 @@ def test_table_rules_keep_bad_rows_out(spark):
     assert broken == {2: ["entity_id is given"], 3: ["severity is known"]}
 
 
+# --- lists and details ----------------------------------------------------------------
+
+
+def test_details(spark, src):
+    from motorpool.bindings.listings import _facilities, _products
+    from motorpool.plans import listings as L
+
+    shipments = domain.shipments(src)
+    one = shipments.first().shipment_id
+    detail = L.shipment_detail(shipments, _facilities(src), _products(src), one).collect()
+    assert [r.shipment_id for r in detail] == [one] and detail[0].origin_name.startswith("Supplier")
+    tracking = literal_rows(
+        spark,
+        [("a", T0 + dt.timedelta(1)), ("b", T0), ("a", T0)],
+        struct("shipment_id:str created_at:ts"),
+    )
+    assert [r.created_at for r in L.tracking_list(tracking, "a").collect()] == [T0, T0 + dt.timedelta(1)]
+    workflow = L.workflow_detail(domain.workflows(src), 5).collect()
+    assert len(workflow) == 1 and workflow[0].headline
+    assert L.workflow_detail(domain.workflows(src), -1).count() == 0
+
+
+def test_exception_list_limits(spark):
+    from motorpool.plans import listings as L
+    from motorpool.schemas import OPS_TABLES
+
+    table = literal_rows(spark, [], OPS_TABLES["exceptions"])
+    assert L.exception_list(table, severity="high", limit=200).count() == 0
+    with pytest.raises(ValueError):
+        L.exception_list(table, limit=201)
+
+
 # --- scalars, sources, state --------------------------------------------------------
 
 
