@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from motorpool.llm import exact, license, near, pii
+from motorpool.llm import bpe, contamination, exact, license, near, pii, quality
 from motorpool.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
@@ -24,15 +31,66 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.license_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_digest(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_minhash_near_dedup, op3_exact_dedup, op5_license_scan, op10_pii)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op2_minhash_near_dedup,
+        op3_exact_dedup,
+        op5_license_scan,
+        op7_decontamination,
+        op8_byte_level_bpe,
+        op10_pii,
+    )
+}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_WORDS = f"[w for w in string_split_regex({_LOWER}, '[ \\t\\n\\x0B\\f\\r]+') if w <> '']"
+
+
+def _shingles(name: str, source: str, key: str) -> str:
+    """CTEs: distinct five-word shingles of each text, and their number."""
+    return f"""
+        {name}_w AS (SELECT {key}, {_WORDS} AS ws FROM {source}),
+        {name} AS (
+            SELECT DISTINCT {key}, list_aggregate(list_slice(ws, i, i + 4), 'string_agg', ' ') AS shingle
+            FROM (SELECT {key}, ws, unnest(range(1, greatest(1, len(ws) - 4) + 1)) AS i FROM {name}_w WHERE len(ws) > 0)),
+        {name}_n AS (SELECT {key}, count(*) AS n FROM {name} GROUP BY {key})"""
+
+
 ORACLES: dict[str, str] = {
+    "op2_minhash_near_dedup": f"""
+        WITH RECURSIVE {_shingles("s", "documents", "doc_id")},
+        pairs AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+            FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL),
+        links AS (
+            SELECT a, b FROM pairs JOIN s_n p ON p.doc_id = a JOIN s_n q ON q.doc_id = b
+            WHERE 100 * common >= 85 * (p.n + q.n - common)),
+        reach AS (
+            SELECT doc_id, doc_id AS other FROM documents
+            UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+        least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM documents JOIN least USING (doc_id) LEFT JOIN s_n USING (doc_id)""",
+    "op7_decontamination": f"""
+        WITH {_shingles("d", "documents", "doc_id")}, {_shingles("i", "benchmark", "item_id")},
+        shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN i USING (shingle) GROUP BY ALL)
+        SELECT doc_id, item_id, n AS n_item, n_shared, n_shared / n AS containment
+        FROM shared JOIN i_n USING (item_id) WHERE 100 * n_shared >= 80 * n""",
     "op3_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOWER} AS norm FROM documents),
              g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
