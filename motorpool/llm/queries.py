@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from motorpool.llm import bpe, contamination, exact, license, near, pii, quality
+from motorpool.llm import bpe, chat, contamination, exact, html, license, near, pii, quality, urls
 from motorpool.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,10 +27,18 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.license_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,6 +47,10 @@ def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.html_digest(table(spark, sf_dir, "pages"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
@@ -49,9 +61,12 @@ QUERIES: dict[str, Query] = {
         op1_quality_classifier,
         op2_minhash_near_dedup,
         op3_exact_dedup,
+        op4_url_filter,
         op5_license_scan,
+        op6_chat_formatting,
         op7_decontamination,
         op8_byte_level_bpe,
+        op9_html_extraction,
         op10_pii,
     )
 }
@@ -86,6 +101,26 @@ ORACLES: dict[str, str] = {
         least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
         SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
         FROM documents JOIN least USING (doc_id) LEFT JOIN s_n USING (doc_id)""",
+    "op6_chat_formatting": """
+        WITH n AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id
+                ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS place
+            FROM conversations WHERE conv_id IS NOT NULL),
+        p AS (SELECT DISTINCT conv_id, role AS speaker FROM n WHERE role <> 'system'),
+        v AS (
+            SELECT conv_id, speaker, place // 256 AS part, place, coalesce(role = speaker, false) AS mine,
+                CASE WHEN role = speaker THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>'
+                    ELSE '<|user name=' || replace(coalesce(role, 'unknown'), '<|', '< |') || '|>' END || chr(10) AS head,
+                replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS rest
+            FROM n JOIN p USING (conv_id)),
+        o AS (
+            SELECT *, head || rest AS segment,
+                sum(length(head || rest)) OVER (PARTITION BY conv_id, speaker, part ORDER BY place) - length(head || rest) AS began
+            FROM v)
+        SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(segment, '' ORDER BY place) AS text,
+            coalesce(string_agg(CASE WHEN mine THEN (began + length(head))::BIGINT || '-' || (began + length(segment) - 1)::BIGINT END,
+                ',' ORDER BY place), '') AS mask
+        FROM o GROUP BY conv_id, speaker, part""",
     "op7_decontamination": f"""
         WITH {_shingles("d", "documents", "doc_id")}, {_shingles("i", "benchmark", "item_id")},
         shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN i USING (shingle) GROUP BY ALL)
