@@ -14,5 +14,6 @@ from motorpool.bindings import (  # noqa: F401
     scalars,
     sources,
     streams,
+    supply,
 )
 from motorpool.bindings.registry import ORACLES, QUERIES  # noqa: F401

@@ -87,12 +87,12 @@ _SESSIONS = """
 
 @query("j10_session_index", _SESSIONS)
 def _(src: Source):
-    return A.session_index(src.conversations, "conv_id", "turn", "role", "text", n=None)
+    return A.session_index(src.conversations, "conv_id", "turn", "role", "text")
 
 
 @query("j10_recent_sessions", _SESSIONS + " ORDER BY last_activity DESC, conv_id LIMIT 50")
 def _(src: Source):
-    return A.session_index(src.conversations, "conv_id", "turn", "role", "text")
+    return A.session_index(src.conversations, "conv_id", "turn", "role", "text", n=50)
 
 
 @query("j11_session_history", 'SELECT conv_id, turn, role, "text" FROM conversations ORDER BY conv_id, turn')

@@ -190,7 +190,7 @@ def _(src: Source):
     FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)""",
 )
 def _(src: Source):
-    counts = A.status_map(src.events, "event_type")
+    counts = A.status_map(src.events, "event_type", ["view", "click", "purchase", "signup", "error", "refund"])
     pairs = F.transform(F.map_entries("counts"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
     return counts.select(F.array_join(pairs, ",").alias("counts"))
 

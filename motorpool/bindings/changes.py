@@ -8,7 +8,7 @@ from motorpool.bindings.domain import with_cte
 from motorpool.bindings.registry import Source, query
 from motorpool.functions.scalars import case_map
 from motorpool.operators import changes as C
-from motorpool.operators.aggregates import count_by
+from motorpool.operators.aggregates import count_by, kpi_row
 
 
 @query(
@@ -16,7 +16,7 @@ from motorpool.operators.aggregates import count_by
     with_cte(
         "notes",
         """SELECT (SELECT max(note_id) FROM notes) + row_number() OVER (ORDER BY doc_id) AS note_id, 'document' AS entity_type,
-                  doc_id::VARCHAR AS entity_id, substr("text", 1, 2000) AS note_text, CASE WHEN lang = 'en' THEN source ELSE 'system' END AS author,
+                  doc_id::VARCHAR AS entity_id, "text" AS note_text, CASE WHEN lang = 'en' THEN source ELSE 'system' END AS author,
                   TIMESTAMP '2024-01-31' AS created_at
            FROM documents""",
     ),
@@ -36,7 +36,6 @@ def _(src: Source):
         ["doc_id"],
         {"author": "system"},
         domain.EVENTS_AS_OF,
-        cuts={"note_text": 2000},
     )
     return inserted
 
@@ -157,6 +156,33 @@ def _patch(src: Source):
     return C.patch_rows(table, commands, "po_id", "seq", ["status", "expected_date"], domain.RIDES_AS_OF)
 
 
+# A tenth of the commands name no alert, and are refused.
+_SOME_WITHOUT_KEY = f"SELECT CASE WHEN right(seq, 1) <> '0' THEN alert_id END AS alert_id, status, seq FROM ({_COMMANDS})"
+
+
+@query(
+    "j03_commands_accounted",
+    with_cte(
+        "surge_alerts",
+        f"""SELECT count(*) AS commands,
+                   count(*) FILTER (WHERE status <> 'reopened' AND alert_id IN (SELECT alert_id FROM surge_alerts)) AS applied,
+                   count(*) FILTER (WHERE status = 'reopened' OR alert_id IS NULL OR alert_id NOT IN (SELECT alert_id FROM surge_alerts)) AS refused
+            FROM ({_SOME_WITHOUT_KEY})""",
+    ),
+)
+def _(src: Source):
+    commands = src.lineitem.select(
+        F.when(F.right(_seq(), F.lit(1)) != "0", F.col("l_orderkey")).alias("alert_id"),
+        case_map("l_returnflag", {"A": "acknowledged", "R": "resolved"}, "reopened").alias("status"),
+        _seq().alias("seq"),
+    )
+    alerts = domain.surge_alerts(src)
+    _, refused = C.transition_status(alerts, commands, "alert_id", "seq", values.ALERT_TARGETS, domain.EVENTS_AS_OF)
+    applied = commands.filter(F.col("status").isin(*values.ALERT_TARGETS)).join(alerts.select("alert_id"), "alert_id", "left_semi")
+    parts = [(frame.agg(F.count(F.lit(1)).alias(name)), {name: 0}) for name, frame in (("commands", commands), ("applied", applied), ("refused", refused))]
+    return kpi_row(src.spark, parts)
+
+
 @query(
     "j04_patch_rows",
     f"""
@@ -182,17 +208,6 @@ def _(src: Source):
     return count_by(rejects, ["reason"], "commands")
 
 
-def _cascade(src: Source):
-    return C.workflow_cascade(
-        domain.workflows(src),
-        domain.fleet_actions(src),
-        domain.surge_alerts(src),
-        domain.dispatch_overrides(src),
-        domain.ORDERS_AS_OF,
-        "City 0",
-    )
-
-
 @query(
     "j06_cascade_actions",
     with_cte(
@@ -203,7 +218,8 @@ def _cascade(src: Source):
     ),
 )
 def _(src: Source):
-    return _cascade(src)["inserted_actions"].select("action_id", "from_zone", "reason", "priority", "status", "created_at")
+    _, inserted = C.rebalancing_actions(domain.workflows(src), domain.fleet_actions(src), domain.ORDERS_AS_OF, "City 0")
+    return inserted.select("action_id", "from_zone", "reason", "priority", "status", "created_at")
 
 
 @query(
@@ -218,7 +234,8 @@ def _(src: Source):
     ),
 )
 def _(src: Source):
-    return _cascade(src)["surge_alerts"].select("alert_id", "status", "resolved_at")
+    after = C.resolve_alerts(domain.workflows(src), domain.surge_alerts(src), domain.ORDERS_AS_OF)
+    return after.select("alert_id", "status", "resolved_at")
 
 
 @query(
@@ -231,7 +248,7 @@ def _(src: Source):
     ),
 )
 def _(src: Source):
-    return _cascade(src)["dispatch_overrides"].select("override_id", "status")
+    return C.execute_overrides(domain.workflows(src), domain.dispatch_overrides(src)).select("override_id", "status")
 
 
 @query(

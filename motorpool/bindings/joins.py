@@ -95,7 +95,7 @@ def _points(src: Source):
 
 
 @query(
-    "c04_range_join",
+    "c04_range_stats",
     f"""
     SELECT w.window_id, CAST(p.user_id % 25 AS INT) AS zone, count(*) AS n,
            CAST(sum(CAST(p.value AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS mean
@@ -108,6 +108,60 @@ def _(src: Source):
     )
 
 
+@query(
+    "c04_range_join_inner",
+    f"""
+    SELECT p.event_id, CAST(p.user_id % 25 AS INT) AS zone, w.window_id FROM ({_WINDOWS}) w
+    JOIN events p ON p.ts >= w.start_ts AND p.ts < w.end_ts WHERE p.event_type <> 'error'""",
+)
+def _(src: Source):
+    joined = J.range_join(_points(src), _windows(src), "ts", "window_start", "window_end")
+    return joined.select("event_id", "zone", "window_id")
+
+
+_ZONED = f"SELECT w.*, CAST(e.user_id % 25 AS INT) AS zone FROM ({_WINDOWS}) w JOIN events e ON e.event_id = w.window_id"
+
+
+def _zoned_windows(src: Source):
+    return _windows(src).join(
+        src.events.select(F.col("event_id").alias("window_id"), (F.col("user_id") % 25).cast("int").alias("zone")), "window_id"
+    )
+
+
+@query(
+    "c04_range_join_keys",
+    f"""
+    SELECT p.event_id, w.zone, w.window_id FROM ({_ZONED}) w
+    JOIN events p ON p.ts >= w.start_ts AND p.ts < w.end_ts AND p.user_id % 25 = w.zone WHERE p.event_type <> 'error'""",
+)
+def _(src: Source):
+    joined = J.range_join(_points(src), _zoned_windows(src), "ts", "window_start", "window_end", ["zone"])
+    return joined.select("event_id", "zone", "window_id")
+
+
+@query(
+    "c04_range_join_left",
+    f"""
+    SELECT p.event_id, CAST(p.user_id % 25 AS INT) AS zone, w.window_id FROM events p
+    LEFT JOIN ({_ZONED}) w ON p.ts >= w.start_ts AND p.ts < w.end_ts AND p.user_id % 25 = w.zone WHERE p.event_type <> 'error'""",
+)
+def _(src: Source):
+    joined = J.range_join(_points(src), _zoned_windows(src), "ts", "window_start", "window_end", ["zone"], how="left")
+    return joined.select("event_id", "zone", "window_id")
+
+
+# Four digits after the point: the mean of 0.0004 and 0.0002 is not 0.
+@query(
+    "c04_range_stats_digits",
+    f"""
+    SELECT w.window_id, CAST(sum(CAST(p.value AS DECIMAL(18, 2)) * CAST(0.0001 AS DECIMAL(6, 4))) AS DOUBLE) / count(p.value) AS mean, count(*) AS n
+    FROM ({_WINDOWS}) w JOIN events p ON p.ts >= w.start_ts AND p.ts < w.end_ts WHERE p.event_type <> 'error' GROUP BY 1""",
+)
+def _(src: Source):
+    fine = _points(src).withColumn("fine", (F.col("value").cast("decimal(18,2)") / 10000).cast("double"))
+    return J.range_stats(fine, _windows(src), "ts", "window_start", "window_end", [], "fine", "window_id")
+
+
 @query(
     "c04_points_in_windows",
     f"""
@@ -252,15 +306,16 @@ def _(src: Source):
     with_cte(
         "zones vehicles",
         """SELECT z.zone_id, z.zone_name, coalesce(v.n, 0) AS current_vehicles, round(coalesce(v.b, 0), 6) AS avg_battery
-           FROM zones z LEFT JOIN (SELECT current_zone, count(*) AS n, avg(battery_pct) AS b FROM vehicles
-                                   WHERE status = 'charging' GROUP BY 1) v
+           FROM (SELECT zone_id, zone_name FROM zones UNION ALL SELECT 'Z-new', 'no vehicle yet') z
+           LEFT JOIN (SELECT current_zone, count(*) AS n, avg(battery_pct) AS b FROM vehicles GROUP BY 1) v
              ON v.current_zone = z.zone_id""",
     ),
 )
 def _(src: Source):
+    planned = inline_table(src.spark, [("Z-new", "no vehicle yet")], struct("zone_id:str zone_name:str"))
     return J.attach_group_stats(
-        domain.zones(src),
-        domain.vehicles(src).filter("status = 'charging'"),
+        domain.zones(src).select("zone_id", "zone_name").unionByName(planned),
+        domain.vehicles(src),
         ("zone_id", "current_zone"),
         [F.count(F.lit(1)).alias("current_vehicles"), F.round(F.avg("battery_pct"), 6).alias("avg_battery")],
     ).select("zone_id", "zone_name", "current_vehicles", "avg_battery")

@@ -11,8 +11,8 @@ from motorpool.operators.aggregates import count_by
 from motorpool.plans import operations as ops
 
 
-def _insert(src: Source):
-    rows = src.customer.select(
+def _new_actions(src: Source):
+    return src.customer.select(
         F.col("c_custkey"),
         case_map("c_mktsegment", {"BUILDING": "rebalance", "FURNITURE": "recall", "MACHINERY": "wash"}).alias("action_type"),
         domain.text("Z", "c_nationkey").alias("from_zone"),
@@ -20,7 +20,10 @@ def _insert(src: Source):
         F.col("c_mktsegment").alias("city"),
         F.when(F.col("c_custkey") % 2 == 0, "high").alias("priority"),
     )
-    return ops.insert_checked("fleet_actions", domain.fleet_actions(src), rows, ["c_custkey"], domain.ORDERS_AS_OF)
+
+
+def _insert(src: Source):
+    return ops.insert_checked("fleet_actions", domain.fleet_actions(src), _new_actions(src), ["c_custkey"], domain.ORDERS_AS_OF)
 
 
 _NEW_ACTIONS = """
@@ -51,7 +54,7 @@ def _(src: Source):
     GROUP BY rule""",
 )
 def _(src: Source):
-    rejects = _insert(src).rejects
+    _, rejects = ops.check_new("fleet_actions", domain.fleet_actions(src), _new_actions(src))
     return count_by(rejects.select(F.explode("broken_rules").alias("rule")), ["rule"], "broken")
 
 

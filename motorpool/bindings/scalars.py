@@ -313,10 +313,10 @@ def _(src: Source):
     "j05_replace_placeholder",
     """
     SELECT conv_id, turn, coalesce(nullif(CASE role WHEN 'user' THEN 'New conversation' WHEN 'system' THEN NULL ELSE role END, 'New conversation'),
-                                   substr("text", 1, 40)) AS title FROM conversations""",
+                                   CASE WHEN length("text") > 100 THEN substr("text", 1, 100) || '...' ELSE "text" END) AS title FROM conversations""",
 )
 def _(src: Source):
     current = F.when(F.col("role") == "user", "New conversation").when(F.col("role") != "system", F.col("role"))
     return src.conversations.select(
-        "conv_id", "turn", replace_placeholder(current, "New conversation", F.left("text", F.lit(40))).alias("title")
+        "conv_id", "turn", replace_placeholder(current, "New conversation", S.ellipsis("text", 100)).alias("title")
     )

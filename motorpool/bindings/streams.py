@@ -31,8 +31,8 @@ def _(src: Source):
 )
 def _(src: Source):
     path = scratch_path(src.spark, "positions")
-    latest = S.latest_positions_stream(_stream(src).select("user_id", "ts", "event_id", "value"), "user_id", "ts")
-    S.keep_positions(latest, f"{path}/rows", f"{path}/checkpoint")
+    readings = _stream(src).select("user_id", "ts", "event_id", "value")
+    S.latest_positions_stream(readings, f"{path}/rows", f"{path}/checkpoint", "user_id", "ts")
     schema = struct("user_id:long ts:ts event_id:long value:double")
     return S.read_positions(src.spark, f"{path}/rows", schema, "user_id", "ts")
 
@@ -60,6 +60,15 @@ def _(src: Source):
     return S.ingest_stats(_checked(src), ["event_type"])
 
 
+@query(
+    "k03_stream_status",
+    """SELECT 'events' AS stream, 1 AS batches, count(*) FILTER (WHERE event_type <> 'error' AND value < 300) AS rows_inserted,
+              count(*) FILTER (WHERE event_type = 'error' OR value >= 300) AS errors FROM events""",
+)
+def _(src: Source):
+    return S.stream_status(_checked(src), "events").drop("last_insert")
+
+
 @query(
     "k05_skip_and_count_errors",
     """SELECT event_id, concat_ws(',', CASE WHEN event_type = 'error' THEN 'type' END, CASE WHEN value >= 300 THEN 'value' END) AS broken

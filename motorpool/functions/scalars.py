@@ -112,8 +112,16 @@ def slug(text: Column | str) -> Column:
 
 
 def headline_words(code: Column | str) -> Column:
-    """``snake_case`` as title words."""
-    return F.initcap(F.replace(col(code), F.lit("_"), F.lit(" ")))
+    """``snake_case`` as title words: a letter is a capital where none stands before it."""
+    words = F.replace(col(code), F.lit("_"), F.lit(" "))
+    letters = F.split(words, "")
+    return F.array_join(
+        F.transform(
+            letters,
+            lambda c, i: F.when((i > 0) & F.element_at(letters, F.greatest(i, F.lit(1))).rlike(r"\p{L}"), F.lower(c)).otherwise(F.upper(c)),
+        ),
+        "",
+    )
 
 
 def parse_steps(text: Column | str) -> Column:

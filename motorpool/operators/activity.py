@@ -103,8 +103,20 @@ def recent_cards(tables: Mapping[str, DataFrame], sources: Sequence[CardSource],
     return union_all(*cards)
 
 
-def session_index(messages: DataFrame, session: str, order: str, role: str, content: str, n: int | None = 50) -> DataFrame:
-    """Per session its title, from the first user text, and its last activity; newest first."""
+def supply_workflows(df: DataFrame, width: int = 80) -> DataFrame:
+    """Supply-chain workflows with a headline by type, with and without an entity, or else the
+    start of the summary; the reasoning chain is parsed, and empty where it is no list."""
+    entity = F.nullif("entity_id", F.lit(""))
+    headline = F.left(F.coalesce("summary", F.lit("")), F.lit(width))
+    for kind, (named, bare) in values.SUPPLY_HEADLINES.items():
+        headline = F.when(F.col("workflow_type") == kind, F.coalesce(F.concat(F.lit(named), entity), F.lit(bare))).otherwise(headline)
+    chain = F.coalesce(parse_steps("reasoning_chain"), F.array().cast(STEPS))
+    return df.withColumns({"headline": headline, "reasoning_chain": chain})
+
+
+def session_index(messages: DataFrame, session: str, order: str, role: str, content: str, n: int | None = None) -> DataFrame:
+    """Per session its title, from the first user text, and its last activity; with ``n``, the
+    newest sessions in order."""
     # One character past the cut is enough to tell whether the title was cut.
     start = F.left(F.col(content), F.lit(TITLE_WIDTH + 1))
     first = F.min_by(start, F.when(F.col(role) == "user", F.col(order)))

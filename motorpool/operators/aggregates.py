@@ -10,9 +10,23 @@ from pyspark.sql import functions as F
 from motorpool.functions.scalars import col
 
 
-def exact_sum(c: Column | str, scale: int = 2) -> Column:
+#: Digits after the point that sums keep; more in a value are an error.
+SCALE = 6
+
+
+def in_digits(c: Column | str, scale: int = SCALE) -> Column:
+    """The value as DECIMAL of ``scale`` digits; a value with more of them is an error, so no digit
+    is lost in silence. What a DOUBLE cannot tell from such a decimal counts as one."""
+    value = col(c)
+    exact = value.cast(f"decimal(28,{scale})")
+    same = F.abs(exact.cast("double") - value) <= F.lit(1e-15) * F.abs(value) + F.lit(10.0 ** -(scale + 4))
+    message = F.concat(F.lit(f"more than {scale} digits after the point, or too large: "), value.cast("string"))
+    return F.when(value.isNull() | F.coalesce(same, F.lit(False)), exact).otherwise(F.raise_error(message))
+
+
+def exact_sum(c: Column | str, scale: int = SCALE) -> Column:
     """Sum as DECIMAL, given back as DOUBLE: the same whatever the order of the tasks."""
-    return F.sum(col(c).cast(f"decimal(18,{scale})")).cast("double")
+    return F.sum(in_digits(c, scale)).cast("double")
 
 
 def share_where(predicate: Column, digits: int = 1) -> Column:
@@ -21,7 +35,7 @@ def share_where(predicate: Column, digits: int = 1) -> Column:
     return F.round(F.lit(100.0) * hits / F.nullif(F.count(F.lit(1)), F.lit(0)), digits)
 
 
-def weighted_share(weight: Column | str, predicate: Column, digits: int = 1, scale: int = 2) -> Column:
+def weighted_share(weight: Column | str, predicate: Column, digits: int = 1, scale: int = SCALE) -> Column:
     """Percent of the weight that lies in rows for which the predicate holds."""
     part = exact_sum(F.when(predicate, col(weight)).otherwise(F.lit(0.0)), scale)
     return F.round(F.lit(100.0) * part / F.nullif(exact_sum(weight, scale), F.lit(0.0)), digits)
@@ -87,11 +101,13 @@ def pivot_counts(df: DataFrame, keys: Sequence[str], column: str, values: Sequen
     return df.groupBy(*keys).agg(*counts) if keys else df.agg(*counts)
 
 
-def status_map(df: DataFrame, column: str, name: str = "counts") -> DataFrame:
-    """All counts of a column of few values as one MAP."""
-    counted = count_by(df.filter(F.col(column).isNotNull()), [column])
-    entries = F.sort_array(F.collect_list(F.struct(column, "cnt")))
-    return counted.agg(F.map_from_entries(entries).alias(name))
+def status_map(df: DataFrame, column: str, values: Sequence[str], name: str = "counts") -> DataFrame:
+    """The counts of the listed values that occur, as one MAP, in one pass. What is not listed is
+    not counted, so the map is as small as the list, whatever the column holds."""
+    listed = sorted(values)
+    counts = df.agg(*[F.count_if(F.col(column) == v).alias(f"__{i}") for i, v in enumerate(listed)])
+    entries = F.array(*[F.struct(F.lit(v).alias("key"), F.col(f"__{i}").alias("value")) for i, v in enumerate(listed)])
+    return counts.select(F.map_from_entries(F.filter(entries, lambda e: e["value"] > 0)).alias(name))
 
 
 def distinct_total(counts: DataFrame, column: str, name: str = "total") -> DataFrame:

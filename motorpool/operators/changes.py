@@ -62,8 +62,8 @@ def apply_inserts(
 ) -> tuple[DataFrame, DataFrame]:
     """Insert with defaults, a creation time and the next serial keys.
 
-    Gives the new table and the inserted rows. ``order`` fixes which row gets which key;
-    ``cuts`` limits text columns to a length.
+    Gives the new table and the inserted rows. ``order`` fixes which row gets which key. Texts
+    go in whole, unless the caller gives ``cuts``, the width of some text columns.
     """
     filled = rows
     for name, value in defaults.items():
@@ -88,14 +88,14 @@ def apply_inserts(
 
 
 def _unknown_key(commands: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Commands for keys the table lacks. Keys are folded before they meet the table, so the
-    many commands of a known key stay where they are."""
+    """Commands for keys the table lacks, NULL among them. Keys are folded before they meet the
+    table, so the many commands of a known key stay where they are."""
     missing = (
         commands.select(F.col(key).alias("__key"))
         .distinct()
         .join(table.select(F.col(key).alias("__known")), F.col("__key") == F.col("__known"), "left_anti")
     )
-    return commands.join(missing, F.col(key) == F.col("__key"), "left_semi").withColumn(
+    return commands.join(missing, F.col(key).eqNullSafe(F.col("__key")), "left_semi").withColumn(
         "reason", F.lit("unknown key")
     )
 
@@ -207,19 +207,9 @@ def _entity_number(workflows: DataFrame, workflow_type: str) -> DataFrame:
     ).filter(F.col("entity").isNotNull())
 
 
-def workflow_cascade(
-    decided: DataFrame,
-    fleet_actions: DataFrame,
-    surge_alerts: DataFrame,
-    dispatch_overrides: DataFrame,
-    as_of,
-    city: str,
-) -> dict[str, DataFrame]:
-    """What approved workflows set off.
-
-    A rebalancing request becomes an approved fleet action, a surge response resolves its
-    alert, a dispatch override becomes executed.
-    """
+def rebalancing_actions(decided: DataFrame, fleet_actions: DataFrame, as_of, city: str) -> tuple[DataFrame, DataFrame]:
+    """An approved rebalancing request becomes an approved fleet action: the new table and the
+    inserted rows."""
     approved = decided.filter(F.col("status") == "approved")
     orders = approved.filter(F.col("workflow_type") == "rebalancing_request").select(
         F.lit("rebalance").alias("action_type"),
@@ -232,23 +222,20 @@ def workflow_cascade(
         F.lit("approved").alias("status"),
         F.col("workflow_id"),
     )
-    actions, inserted = apply_inserts(fleet_actions, orders, "action_id", ["workflow_id"], {}, as_of)
-    return {
-        "fleet_actions": actions,
-        "inserted_actions": inserted,
-        "surge_alerts": guarded_update(
-            surge_alerts,
-            _entity_number(approved, "surge_response"),
-            "alert_id",
-            {"status": F.lit("resolved"), "resolved_at": moment(as_of)},
-        ),
-        "dispatch_overrides": guarded_update(
-            dispatch_overrides,
-            _entity_number(approved, "dispatch_override"),
-            "override_id",
-            {"status": F.lit("executed")},
-        ),
-    }
+    return apply_inserts(fleet_actions, orders, "action_id", ["workflow_id"], {}, as_of)
+
+
+def resolve_alerts(decided: DataFrame, surge_alerts: DataFrame, as_of) -> DataFrame:
+    """An approved surge response resolves its alert."""
+    approved = decided.filter(F.col("status") == "approved")
+    changes = {"status": F.lit("resolved"), "resolved_at": moment(as_of)}
+    return guarded_update(surge_alerts, _entity_number(approved, "surge_response"), "alert_id", changes)
+
+
+def execute_overrides(decided: DataFrame, dispatch_overrides: DataFrame) -> DataFrame:
+    """An approved dispatch override becomes executed."""
+    approved = decided.filter(F.col("status") == "approved")
+    return guarded_update(dispatch_overrides, _entity_number(approved, "dispatch_override"), "override_id", {"status": F.lit("executed")})
 
 
 def purchase_cascade(decided: DataFrame, purchase_orders: DataFrame, exceptions: DataFrame, as_of) -> dict[str, DataFrame]:

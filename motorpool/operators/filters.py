@@ -96,7 +96,11 @@ def filter_horizon(df: DataFrame, date: str, hour: str, as_of, horizon: str = "2
         return df.filter((F.col(date) >= day(as_of)) & (F.col(hour) <= hours))
     if mode == "elapsed":
         starts = F.col(date).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col(hour))
-        return df.filter((starts >= moment(as_of)) & (starts <= before(as_of, hours=-hours)))
+        # Hours of a day lie in 0 to 23, so the days are bounded and prune the scan.
+        first, last = day(as_of), F.to_date(before(as_of, hours=-hours))
+        return df.filter((F.col(date) >= first) & (F.col(date) <= last)).filter(
+            (starts >= moment(as_of)) & (starts <= before(as_of, hours=-hours))
+        )
     raise ValueError(f"unknown mode {mode!r}")
 
 

@@ -8,8 +8,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from motorpool.functions.scalars import minute_number
+from motorpool.operators.aggregates import SCALE, in_digits
 from motorpool.operators.filters import filter_since
 from motorpool.sources.tables import union_all
 
@@ -61,12 +63,15 @@ def range_join(
     keys: Sequence[str] = (),
     how: str = "inner",
     bucket_minutes: int = 60,
+    salts: int = 8,
 ) -> DataFrame:
     """Points inside ``[start, end)``.
 
     Windows are laid over time buckets, so the join is an equi join on the bucket (and
-    ``keys``) with the exact bounds as a residual test. ``how="semi"`` keeps each point that
-    lies in any window, once; only then are equal windows folded into one first.
+    ``keys``) with the exact bounds as a residual test. Points are dealt to ``salts`` shares of
+    their bucket and windows go to each, so one crowded hour is split among tasks.
+    ``how="semi"`` keeps each point that lies in any window, once; only then are equal windows
+    folded into one first.
     """
     spans = windows.filter(F.col(start) < F.col(end))
     if how == "semi":
@@ -74,20 +79,24 @@ def range_join(
     buckets = F.sequence(
         F.floor(minute_number(start) / bucket_minutes), F.floor(minute_number(end) / bucket_minutes)
     )
-    spans = spans.withColumn("__bucket", F.explode(buckets)).alias("w")
+    spans = spans.withColumn("__bucket", F.explode(buckets))
+    spans = spans.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("w")
     near = points if how == "left" else _within_reach(points, ts, windows, start, end)
-    placed = near.withColumn("__bucket", F.floor(minute_number(ts) / bucket_minutes)).alias("p")
+    others = [f.name for f in points.schema.fields if f.name != ts and isinstance(f.dataType, T.AtomicType)]
+    placed = near.withColumn("__bucket", F.floor(minute_number(ts) / bucket_minutes))
+    placed = placed.withColumn("__salt", F.pmod(F.xxhash64(ts, *others), F.lit(salts)).cast("int")).alias("p")
     match = (
         (F.col("p.__bucket") == F.col("w.__bucket"))
+        & (F.col("p.__salt") == F.col("w.__salt"))
         & (F.col(f"p.{ts}") >= F.col(f"w.{start}"))
         & (F.col(f"p.{ts}") < F.col(f"w.{end}"))
     )
     for key in keys:
         match = match & (F.col(f"p.{key}") == F.col(f"w.{key}"))
     if how == "semi":
-        return placed.join(spans, match, "left_semi").drop("__bucket")
+        return placed.join(spans, match, "left_semi").drop("__bucket", "__salt")
     right = [F.col(f"w.{c}") for c in windows.columns if c not in keys and c not in points.columns]
-    return placed.join(spans, match, how).select("p.*", *right).drop("__bucket")
+    return placed.join(spans, match, how).select("p.*", *right).drop("__bucket", "__salt")
 
 
 def range_stats(
@@ -100,7 +109,7 @@ def range_stats(
     measure: str,
     window_id: str,
     keys: Sequence[str] = (),
-    scale: int = 2,
+    scale: int = SCALE,
     levels: int = 8,
 ) -> DataFrame:
     """Per window and ``by``: count of points inside and their mean, without the point pairs.
@@ -109,8 +118,8 @@ def range_stats(
     minute, ``by`` and ``keys``, and cells into blocks of 1, 2, 4, ... ``2**levels`` minutes.
     A window is the sum of a few aligned blocks, about two per level, so the join is a plain
     equi join on the block; equal windows are folded first. Neither a crowded minute nor many
-    overlapping windows make pairs. ``measure`` is summed in whole units of ``scale`` digits,
-    so the mean does not depend on task order.
+    overlapping windows make pairs. ``measure`` is summed as DECIMAL of ``scale`` digits, so the
+    mean does not depend on task order; a value with more digits is an error.
     """
     cells = (
         _within_reach(points, ts, windows, start, end)
@@ -119,7 +128,7 @@ def range_stats(
         .agg(
             F.count(F.lit(1)).alias("__n"),
             F.count(measure).alias("__m"),
-            F.sum(F.rint(F.col(measure) * 10**scale).cast("long")).alias("__s"),
+            F.sum(in_digits(measure, scale)).alias("__s"),
         )
     )
     sums = [F.sum(c).alias(c) for c in ("__n", "__m", "__s")]
@@ -150,7 +159,7 @@ def range_stats(
         spans.join(blocks, [*keys, "__level", "__block"])
         .groupBy(*keys, "__from", "__to", *by)
         .agg(*sums)
-        .withColumn("mean", F.col("__s") / F.lit(float(10**scale)) / F.nullif("__m", F.lit(0)))
+        .withColumn("mean", F.col("__s").cast("double") / F.nullif("__m", F.lit(0)))
         .select(*keys, "__from", "__to", *by, F.col("__n").alias("n"), "mean")
     )
     return bounded.join(per_span, [*keys, "__from", "__to"]).select(window_id, *by, "n", "mean")
@@ -273,22 +282,29 @@ def _items_type(child: DataFrame, cols: Sequence[str]) -> str:
     return f"array<struct<{fields}>>"
 
 
-def insert_if_absent(target: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Add the rows whose key the target does not hold; of several with one key, the smallest.
+def insert_if_absent(target: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Add the rows whose key the target does not hold; of several with one key, the first by
+    ``order``, or the smallest by all other columns where none is given.
 
-    New rows are folded per key before they meet the target.
+    New rows are folded per key before they meet the target. A NULL in the key is an error.
     """
     key = list(key)
+    for name in key:
+        given = F.col(name)
+        new = new.withColumn(name, F.when(given.isNotNull(), given).otherwise(F.raise_error(F.lit(f"{name} is NULL")).cast(new.schema[name].dataType)))
     others = [c for c in new.columns if c not in key]
     if others:
-        folded = new.groupBy(*key).agg(F.min(F.struct(*others)).alias("__row")).select(*key, "__row.*")
+        row = F.struct(*others)
+        first = F.min_by(row, F.struct(*order)) if order else F.min(row)
+        folded = new.groupBy(*key).agg(first.alias("__row")).select(*key, "__row.*")
     else:
         folded = new.select(*key).distinct()
     return target.unionByName(folded.join(target.select(*key), key, "left_anti"))
 
 
 def orphans(child: DataFrame, parent: DataFrame, on: tuple[str, str]) -> DataFrame:
-    """Child rows whose parent does not exist."""
+    """Child rows whose parent does not exist. A NULL names no parent, so it is no orphan."""
+    child = child.filter(F.col(on[0]).isNotNull())
     known = parent.select(F.col(on[1]).alias("__key")).distinct()
     return child.join(known, F.col(on[0]) == F.col("__key"), "left_anti")
 

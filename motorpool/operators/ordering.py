@@ -53,16 +53,40 @@ def top_k(df: DataFrame, order: Sequence[str | Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def paginate(df: DataFrame, order: Sequence[str | Column], page: int, per_page: int) -> DataFrame:
+def paginate(df: DataFrame, order: Sequence[str | Column], page: int, per_page: int, shallow: int = 1000) -> DataFrame:
     """One page, each row with the total of the same filtered rows.
 
-    ``order`` should end in a unique column; otherwise pages may overlap.
+    ``order`` should end in a unique column; otherwise pages may overlap. Up to ``shallow`` rows
+    deep, every task offers its first rows and one merges them. Deeper, rows are numbered by
+    :func:`row_number_over`, so no task holds all that comes before the page; :func:`page_after`
+    is cheaper still where the last row shown is known.
     """
     if page < 1 or per_page < 1:
         raise ValueError("page and per_page start at 1")
     total = df.agg(F.count(F.lit(1))).scalar()
-    rows = df.orderBy(*order).offset((page - 1) * per_page).limit(per_page)
-    return rows.withColumn("total", total)
+    first = (page - 1) * per_page
+    if first + per_page <= shallow:
+        return df.orderBy(*order).offset(first).limit(per_page).withColumn("total", total)
+    numbered = row_number_over(df, order, "__rn")
+    return numbered.filter(F.col("__rn").between(first + 1, first + per_page)).drop("__rn").withColumn("total", total)
+
+
+def page_after(df: DataFrame, keys: Sequence[tuple[str, bool]], last: Sequence | None, per_page: int) -> DataFrame:
+    """The page that follows the row with the values ``last`` of the key columns, or the first.
+
+    ``keys`` are (column, descending) and hold no NULLs. The condition reaches the scan, and only
+    ``per_page`` rows leave each task.
+    """
+    if last is not None:
+        after, same = F.lit(False), F.lit(True)
+        for (name, descending), value in zip(keys, last, strict=True):
+            c, edge = F.col(name), F.lit(value)
+            after = after | (same & ((c < edge) if descending else (c > edge)))
+            same = same & (c == edge)
+        # The first key bounds the scan by itself.
+        (name, descending), value = keys[0], last[0]
+        df = df.filter((F.col(name) <= F.lit(value)) if descending else (F.col(name) >= F.lit(value))).filter(after)
+    return df.orderBy(*[F.col(n).desc() if d else F.col(n).asc() for n, d in keys]).limit(per_page)
 
 
 def whitelisted_order(sort: str, order: str, allowed: Sequence[str], default: str, tie_break: Sequence[str] = ()) -> list:

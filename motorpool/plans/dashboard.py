@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from motorpool.functions.scalars import before, day
 from motorpool.operators import aggregates as agg
-from motorpool.operators.filters import filter_day, filter_in, filter_next_days
-from motorpool.operators.joins import attach_children
+from motorpool.operators.activity import enrich_workflows
+from motorpool.operators.filters import filter_day, filter_in, filter_next_days, filter_since
+from motorpool.operators.joins import attach_children, attach_group_stats
 from motorpool.operators.ordering import top_k
 from motorpool.sources.tables import union_all
 
@@ -141,8 +142,54 @@ def yesterday_row(rides: DataFrame, as_of) -> DataFrame:
     )
 
 
-def daily_briefing(events: DataFrame, alerts: DataFrame, vehicles: DataFrame, rides: DataFrame, actions: DataFrame, as_of) -> dict[str, DataFrame]:
-    """The parts of the morning briefing, each by name, and a one-row summary."""
+def agent_overview(workflows: DataFrame, agent_actions: DataFrame, as_of, recent: int = 50, actions: int = 20) -> dict[str, DataFrame]:
+    """The agent page: counts by status and, of the last 7 days, by type; the newest workflows,
+    enriched after the cut, and the newest actions."""
+    return {
+        "workflow_status": agg.count_by(workflows, ["status"]),
+        "action_status": agg.count_by(agent_actions, ["status"]),
+        "workflow_types": agg.count_by(filter_since(workflows, "created_at", as_of, hours=7 * 24), ["workflow_type"]),
+        "workflows": enrich_workflows(top_k(workflows, [F.col("created_at").desc(), F.col("workflow_id").desc()], recent)),
+        "actions": top_k(agent_actions, [F.col("created_at").desc(), F.col("action_id").desc()], actions),
+    }
+
+
+def briefing_context(exceptions: DataFrame, workflows: DataFrame, agent_actions: DataFrame, vehicles: DataFrame, events: DataFrame, alerts: DataFrame, fleet_actions: DataFrame, as_of, k: int = 5) -> dict[str, DataFrame]:
+    """What a briefing is written from: open exceptions by severity, workflows by status, the
+    fleet and the open counts in one row, and the next ``k`` events."""
+    status = F.col("status")
+    fleet = vehicles.agg(
+        F.count(F.lit(1)).alias("total_vehicles"), F.count_if(status == "active").alias("active"), F.avg("battery_pct").alias("avg_battery")
+    )
+    day_before = before(as_of, hours=24)
+    counts = agg.kpi_row(
+        vehicles.sparkSession,
+        [
+            (fleet, {"total_vehicles": 0, "active": 0, "avg_battery": 0.0}),
+            (agg.count_where(agent_actions, agent_actions_24h=F.col("created_at") >= day_before), {"agent_actions_24h": 0}),
+            (agg.count_where(alerts, open_alerts=status == "open"), {"open_alerts": 0}),
+            (agg.count_where(fleet_actions, pending_actions=status == "pending"), {"pending_actions": 0}),
+        ],
+    )
+    coming = filter_next_days(events, "event_date", as_of)
+    return {
+        "exceptions": agg.count_by(exceptions.filter(status == "open"), ["severity"]),
+        "workflows": agg.count_by(workflows, ["status"]),
+        "counts": counts,
+        "events": top_k(coming, ["event_date", "start_time", "event_id"], k).select(
+            "event_id", "event_name", "venue", "event_date", "expected_attendance", "demand_multiplier"
+        ),
+    }
+
+
+def zone_overview(zones: DataFrame, vehicles: DataFrame) -> DataFrame:
+    """Every zone with its vehicles of any status and their mean level, 0 where it has none."""
+    stats = [F.count(F.lit(1)).alias("current_vehicles"), F.avg("battery_pct").alias("avg_battery")]
+    return attach_group_stats(zones, vehicles, ("zone_id", "current_zone"), stats).orderBy("zone_id")
+
+
+def daily_briefing(events: DataFrame, alerts: DataFrame, vehicles: DataFrame, rides: DataFrame, actions: DataFrame, as_of, k: int = 10) -> dict[str, DataFrame]:
+    """The parts of the morning briefing, each by name, and a one-row summary; ``k`` open alerts."""
     coming = filter_next_days(events, "event_date", as_of, 1)
     open_alerts = filter_in(alerts, "status", ["open", "acknowledged"])
     yesterday = yesterday_row(rides, as_of)
@@ -176,7 +223,7 @@ def daily_briefing(events: DataFrame, alerts: DataFrame, vehicles: DataFrame, ri
             "expected_attendance",
             "demand_multiplier",
         ).orderBy("event_date", "start_time"),
-        "open_alerts": top_k(open_alerts, [F.col("created_at").desc(), F.col("alert_id").desc()], 10),
+        "open_alerts": top_k(open_alerts, [F.col("created_at").desc(), F.col("alert_id").desc()], k),
         "fleet_status": agg.count_by(vehicles, ["status"]),
         "summary": summary,
     }
@@ -191,6 +238,15 @@ def filter_lists(vehicles: DataFrame, zones: DataFrame, events: DataFrame) -> Da
     )
 
 
+def supply_filter_lists(facilities: DataFrame, products: DataFrame, shipments: DataFrame) -> DataFrame:
+    """Values of the supply-chain controls as (name, value) rows."""
+    return union_all(
+        agg.distinct_values(facilities, ["division", "region", "facility_type"]),
+        agg.distinct_values(products, ["product_category"]),
+        agg.distinct_values(shipments, ["carrier", "transport_mode", "status"]),
+    )
+
+
 def vehicle_detail(vehicles: DataFrame, notes: DataFrame, rides: DataFrame, n_notes: int = 10, n_rides: int = 20) -> DataFrame:
     """Every vehicle with its newest notes and rides."""
     own = notes.filter(F.col("entity_type") == "vehicle")

@@ -16,6 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from motorpool import schemas, values
 from motorpool.functions.hashing import (
@@ -42,6 +43,7 @@ from motorpool.functions.scalars import (
 from motorpool.operators.aggregates import group_max
 from motorpool.operators.joins import grid, left_default, pick_from_list
 from motorpool.operators.ordering import padded_id
+from motorpool.session import materialise
 from motorpool.sources.tables import inline_table
 
 
@@ -51,14 +53,16 @@ from motorpool.sources.tables import inline_table
 def expand_by_count(df: DataFrame, n: Column | str, index: str = "idx", piece: int = 100_000) -> DataFrame:
     """One row per unit, indexed from 1; a count of 0 or less gives no row.
 
-    A count is first cut into pieces and the pieces are spread over all cores, so one very
-    large count neither builds one long array nor keeps one task busy.
+    A count is first cut into pieces and the pieces are dealt by their hash to the session's
+    shuffle partitions, so one very large count neither builds one long array nor keeps one
+    task busy, and the number of tasks follows the session, not the machine that plans.
     """
     n = col(n)
     pieces = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / piece).cast("int")))
-    spread = df.withColumn("__piece", F.explode(pieces)).repartition(
-        df.sparkSession.sparkContext.defaultParallelism
-    )
+    cut = df.withColumn("__piece", F.explode(pieces))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # With the number given, small inputs that grow are not put together again.
+    spread = cut.repartition(tasks, F.xxhash64(*[c for c in df.columns if isinstance(df.schema[c].dataType, T.AtomicType)], "__piece"))
     first = F.col("__piece") * F.lit(piece) + 1
     units = F.sequence(first, F.least(n, first + (piece - 1)).cast("int"))
     return spread.withColumn(index, F.explode(units)).drop("__piece")
@@ -67,17 +71,22 @@ def expand_by_count(df: DataFrame, n: Column | str, index: str = "idx", piece: i
 def numbered_expand(df: DataFrame, n: str, major: str, minor: Sequence[str], index: str = "idx", number: str = "rn") -> DataFrame:
     """Expand by count with consecutive numbers in the order (major, minor, index).
 
-    The numbers come from running totals of the counts, over the ``major`` values and then
-    inside each, so the expanded rows are never sorted.
+    The numbers come from running totals of the counts, so the expanded rows are never sorted.
+    The counts themselves are ranged by their order and written to the shared folder; totals
+    run inside each range, and only one total per range meets in one task.
     """
-    per_major = df.groupBy(major).agg(F.sum(F.greatest(F.col(n), F.lit(0))).alias("__total"))
-    before_major = W.orderBy(major).rowsBetween(W.unboundedPreceding, -1)
-    starts = per_major.select(F.col(major), F.coalesce(F.sum("__total").over(before_major), F.lit(0)).alias("__start"))
-    inside = W.partitionBy(major).orderBy(*minor).rowsBetween(W.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum(F.greatest(F.col(n), F.lit(0))).over(inside), F.lit(0))
-    placed = df.withColumn("__offset", offset).join(starts, major)
+    ranged = df.repartitionByRange(major, *minor).sortWithinPartitions(major, *minor)
+    laid_out = materialise(ranged.withColumn("__at", F.monotonically_increasing_id()), "counts")
+    placed = laid_out.withColumn("__part", F.shiftrightunsigned("__at", 33))
+    units = F.greatest(F.col(n), F.lit(0))
+    before_part = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    totals = placed.groupBy("__part").agg(F.sum(units).alias("__total"))
+    starts = totals.select("__part", F.coalesce(F.sum("__total").over(before_part), F.lit(0)).alias("__start"))
+    inside = W.partitionBy("__part").orderBy("__at").rowsBetween(W.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum(units).over(inside), F.lit(0))
+    numbered = placed.withColumn("__offset", offset).join(F.broadcast(starts), "__part").drop("__at", "__part")
     return (
-        expand_by_count(placed, n, index)
+        expand_by_count(numbered, n, index)
         .withColumn(number, F.col("__start") + F.col("__offset") + F.col(index))
         .drop("__start", "__offset")
     )

@@ -42,20 +42,22 @@ def event_detail(events: DataFrame, rides: DataFrame) -> DataFrame:
     """Events with the rides requested while they last, per pickup zone, busiest first.
 
     Rides of every city count. ``rides`` needs request_ts, pickup_zone and wait_time_min.
-    Narrow ``events`` first for the detail of one.
+    Narrow ``events`` first for the detail of one. The list of zones is made once for every
+    span of time, of which there are far fewer than events, and events then meet their span's.
     """
     bounded = event_bounds(events, "event_date", "start_time", "end_time")
+    span = F.struct("window_start", "window_end")
+    spans = bounded.select("window_start", "window_end").distinct().withColumn("__span", span)
     stats = range_stats(
-        rides, bounded, "request_ts", "window_start", "window_end", ["pickup_zone"], "wait_time_min", "event_id"
+        rides, spans, "request_ts", "window_start", "window_end", ["pickup_zone"], "wait_time_min", "__span"
     )
-    packed = stats.groupBy("event_id").agg(
+    packed = stats.groupBy("__span").agg(
         F.array_sort(
             F.collect_list(F.struct((-F.col("n")).alias("__order"), "pickup_zone", F.col("n").alias("ride_count"), F.col("mean").alias("avg_wait")))
         ).alias("ride_patterns")
     )
-    return events.join(packed, "event_id", "left").withColumn(
-        "ride_patterns", F.transform("ride_patterns", lambda p: p.dropFields("__order"))
-    )
+    patterns = packed.select("__span", F.transform("ride_patterns", lambda p: p.dropFields("__order")).alias("ride_patterns"))
+    return bounded.withColumn("__span", span).join(patterns, "__span", "left").select(*events.columns, "ride_patterns")
 
 
 def demand_list(forecasts: DataFrame, as_of, city=None, zone=None, horizon: str = "24h", mode: str = "clock_hour") -> DataFrame:
@@ -103,6 +105,10 @@ def workflow_list(workflows: DataFrame, status=None, limit: int = 20) -> DataFra
     return enrich_workflows(newest(workflows, "workflow_id", limit, status=status))
 
 
+def agent_action_list(actions: DataFrame, status=None, limit: int = 20) -> DataFrame:
+    return newest(actions, "action_id", limit, status=status)
+
+
 def workflow_detail(workflows: DataFrame, workflow_id: int) -> DataFrame:
     return enrich_workflows(flt.lookup(workflows, "workflow_id", workflow_id))
 
@@ -150,6 +156,15 @@ def tracking_list(tracking: DataFrame, shipment_id: str) -> DataFrame:
     return flt.lookup(tracking, "shipment_id", shipment_id).orderBy("created_at")
 
 
+def purchase_order_list(orders: DataFrame, status=None) -> DataFrame:
+    """Every order, or those of one status, newest first."""
+    return flt.filter_equals(orders, status=status).orderBy(F.col("created_at").desc(), F.col("po_id").desc())
+
+
+def shipment_exception_list(exceptions: DataFrame, status=None) -> DataFrame:
+    return flt.filter_equals(exceptions, status=status).orderBy(F.col("created_at").desc(), F.col("exception_id").desc())
+
+
 def inventory_list(inventory: DataFrame, facilities: DataFrame, products: DataFrame, facility_id=None, product_category=None, below_reorder_only: bool = False) -> DataFrame:
     """Stock at the last snapshot, the shortest supply first."""
     latest = flt.at_latest_snapshot(inventory, "snapshot_date")

@@ -84,6 +84,18 @@ OPS_TABLES = {
     "chat_messages": struct(
         "message_id:long session_id:str role:str content:str metadata:str created_at:ts"
     ),
+    "purchase_orders": struct(
+        "po_id:long po_number:str supplier_facility_id:long destination_facility_id:long product_id:long quantity:int "
+        "unit_cost_usd:double requested_date:date expected_date:date created_by:str status:str created_at:ts updated_at:ts"
+    ),
+    "shipment_tracking": struct(
+        "tracking_id:long shipment_id:str status:str location_description:str latitude:double longitude:double "
+        "temperature_f:double notes:str updated_by:str created_at:ts"
+    ),
+    "shipment_exceptions": struct(
+        "exception_id:long shipment_id:str exception_type:str severity:str description:str assigned_to:str status:str "
+        "resolution:str created_at:ts resolved_at:ts"
+    ),
 }
 
 # Source tables the registered queries read

@@ -34,15 +34,45 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(configured)
         return configured
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="motorpool-"))
     return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder for a written table or a stream checkpoint."""
-    return f"{shared_dir(spark)}/motorpool/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder for a written table or a stream checkpoint.
+
+    All paths of an application lie in one folder of its own, which goes when the application
+    ends, or earlier by :func:`clear_scratch`.
+    """
+    folder = f"{shared_dir(spark)}/motorpool/{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        files, path = _file_system(spark, folder)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _FOLDERS.add(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+_FOLDERS: set[str] = set()
+
+
+def _file_system(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    files, path = _file_system(spark, folder)
+    files.delete(path, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this application has written to the shared folder, once nothing reads it."""
+    folder = f"{shared_dir(spark)}/motorpool/{spark.sparkContext.applicationId}"
+    remove_folder(spark, folder)
+    _FOLDERS.discard(folder)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -18,6 +18,7 @@ from motorpool.functions.scalars import minute_number
 from motorpool.operators.changes import flag_rows
 from motorpool.operators.joins import latest_per_key
 from motorpool.schemas import struct
+from motorpool.session import remove_folder
 from motorpool.sources.tables import literal_rows
 
 
@@ -51,8 +52,9 @@ def ingest_telemetry(sdf: DataFrame, path: str, checkpoint: str, trigger: Mappin
     return _run(sdf.writeStream.format("parquet").option("path", path).outputMode("append"), checkpoint, trigger)
 
 
-def stream_stats(query: StreamingQuery, name: str) -> DataFrame:
-    """Rows and time of the query's recent batches."""
+def recent_batches(query: StreamingQuery, name: str) -> DataFrame:
+    """Rows and time of the batches that the query still remembers, the last 100 unless the session
+    says otherwise. Totals come from what was written: :func:`stream_status`."""
     rows = [
         (name, int(p.batchId), int(p.numInputRows), str(p.timestamp), int(p.batchDuration))
         for p in query.recentProgress
@@ -61,15 +63,6 @@ def stream_stats(query: StreamingQuery, name: str) -> DataFrame:
     return literal_rows(SparkSession.active(), rows, schema)
 
 
-def stream_status(stats: DataFrame) -> DataFrame:
-    """Per stream its batches, rows and last insert time, from :func:`stream_stats`."""
-    return stats.groupBy("stream").agg(
-        F.count(F.lit(1)).alias("batches"),
-        F.sum("rows").alias("rows_inserted"),
-        F.max(F.when(F.col("rows") > 0, F.col("started_at"))).alias("last_insert"),
-    )
-
-
 # --- checked ingest ----------------------------------------------------------------
 
 
@@ -80,17 +73,19 @@ def ingest_checked(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         marked = flag_rows(batch, rules).withColumn("accepted", F.size("broken_rules") == 0)
+        marked = marked.withColumn("ingested_at", F.current_timestamp())
         marked.write.mode("overwrite").partitionBy("accepted").parquet(f"{path}/batch_id={batch_id}")
 
     return _run(sdf.writeStream.foreachBatch(write), checkpoint, trigger)
 
 
 def read_checked(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The rows of a checked ingest with ``broken_rules``, ``batch_id`` and ``accepted``."""
+    """The rows of a checked ingest with ``broken_rules``, ``ingested_at``, ``batch_id`` and ``accepted``."""
     full = T.StructType(
         [
             *schema.fields,
             T.StructField("broken_rules", T.ArrayType(T.StringType())),
+            T.StructField("ingested_at", T.TimestampType()),
             T.StructField("batch_id", T.LongType()),
             T.StructField("accepted", T.BooleanType()),
         ]
@@ -105,33 +100,76 @@ def ingest_stats(checked: DataFrame, keys: Sequence[str] = ("batch_id",)) -> Dat
     )
 
 
-# --- latest positions ----------------------------------------------------------------
+def stream_status(checked: DataFrame, name: str) -> DataFrame:
+    """One row: the stream's batches, rows and errors so far and its last insert, counted from
+    what was written, so that no batch is forgotten and none is counted twice after a retry."""
+    return checked.agg(
+        F.lit(name).alias("stream"),
+        F.count_distinct("batch_id").alias("batches"),
+        F.count_if("accepted").alias("rows_inserted"),
+        F.count_if(~F.col("accepted")).alias("errors"),
+        F.max(F.when(F.col("accepted"), F.col("ingested_at"))).alias("last_insert"),
+    )
+
+
+# --- versions ------------------------------------------------------------------------
+#
+# A sink that keeps the newest row per key writes the keys of each batch to a folder of its
+# own. Every ``fold`` batches the folder holds all keys instead, and folders before the last
+# such one go; so reads cost the same however long the stream has run.
+
+
+def _versioned(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+
+
+def _before(spark: SparkSession, path: str, schema: T.StructType, batch_id: int, fold: int) -> DataFrame | None:
+    """The rows that batches before ``batch_id`` left, from the last folder that holds all on."""
+    if batch_id == 0:
+        return None
+    first = (batch_id - 1) // fold * fold
+    folders = [f"{path}/batch_id={i}" for i in range(first, batch_id)]
+    return spark.read.schema(_versioned(schema)).option("basePath", path).parquet(*folders)
 
 
-def latest_positions_stream(sdf: DataFrame, key: str, ts: str) -> DataFrame:
-    """The newest reading per key, as a running aggregate."""
-    others = [c for c in sdf.columns if c not in (key, ts)]
-    return sdf.groupBy(key).agg(F.max(F.struct(ts, *others)).alias("r")).select(key, "r.*")
+def _keep(rows: DataFrame, path: str, batch_id: int, key: str, ts: str, fold: int) -> None:
+    """``rows``, one per key, as the version of this batch."""
+    if batch_id and batch_id % fold == 0:
+        older = _before(rows.sparkSession, path, rows.schema, batch_id, fold)
+        whole = older.unionByName(rows.withColumn("batch_id", F.lit(batch_id).cast("long")))
+        rows = newest_version(whole, key, ts)
+    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    # A retry of this batch still needs the folders since the last full one.
+    for old in range(max(0, batch_id - 2 * fold), batch_id - fold) if batch_id % fold == 0 else ():
+        remove_folder(rows.sparkSession, f"{path}/batch_id={old}")
 
 
-def keep_positions(latest: DataFrame, path: str, checkpoint: str, trigger: Mapping[str, object] | None = None) -> StreamingQuery:
-    """Write the keys that changed in each batch."""
+def newest_version(versions: DataFrame, key: str, ts: str, as_of=None, minutes: int | None = None) -> DataFrame:
+    newest = latest_per_key(versions, key, ts, as_of, minutes, ties="one", tie_break=[F.col("batch_id").desc()])
+    return newest.drop("batch_id")
+
+
+# --- latest positions ----------------------------------------------------------------
+
+
+def latest_positions_stream(
+    sdf: DataFrame, path: str, checkpoint: str, key: str, ts: str, fold: int = 16, trigger: Mapping[str, object] | None = None
+) -> StreamingQuery:
+    """Keep the newest reading of every key under ``path``. Each batch is cut to one row per key;
+    the stream itself holds no state, so silent keys cost nothing."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        newest = latest_per_key(batch, key, ts, ties="one", tie_break=[F.col(c).desc() for c in batch.columns])
+        _keep(newest, path, batch_id, key, ts, fold)
 
-    return _run(latest.writeStream.outputMode("update").foreachBatch(write), checkpoint, trigger)
+    return _run(sdf.writeStream.foreachBatch(write), checkpoint, trigger)
 
 
 def read_positions(
     spark: SparkSession, path: str, schema: T.StructType, key: str, ts: str, as_of=None, minutes: int | None = None
 ) -> DataFrame:
     """The kept positions, newest per key, without keys that have been silent too long."""
-    versioned = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    rows = spark.read.schema(versioned).parquet(path)
-    return latest_per_key(rows, key, ts, as_of, minutes, ties="one", tie_break=[F.col("batch_id").desc()]).drop(
-        "batch_id"
-    )
+    return newest_version(spark.read.schema(_versioned(schema)).parquet(path), key, ts, as_of, minutes)
 
 
 # --- charging state ------------------------------------------------------------------
@@ -188,35 +226,45 @@ def charging_state_stream(
     level: str,
     low: float = 10,
     high: float = 90,
+    fold: int = 16,
     trigger: Mapping[str, object] | None = None,
 ) -> StreamingQuery:
     """:func:`charging_state` batch by batch, with the state per key kept beside the rows.
 
-    Batch ``n`` starts from the state folder of batch ``n - 1``, so a retry starts from the
-    same state. Readings of a key come in time order from batch to batch.
+    The state of a key is whether it charges and the time of its last reading; a batch writes
+    the state of its own keys only. A reading that is not newer than the last one of an earlier
+    batch comes late: it changes nothing and is kept apart, see :func:`read_late`.
     """
-    state_schema = T.StructType([sdf.schema[key], T.StructField("charging", T.BooleanType())])
+    state_schema = T.StructType([sdf.schema[key], T.StructField("charging", T.BooleanType()), sdf.schema[ts]])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = None
-        if batch_id > 0:
-            old = spark.read.schema(state_schema).parquet(f"{path}/state/batch_id={batch_id - 1}")
-        rows = charging_state(batch, key, ts, level, low, high, carried=old)
-        rows.write.mode("overwrite").parquet(f"{path}/rows/batch_id={batch_id}")
-        last = batch.groupBy(key).agg(
-            F.max_by(
-                threshold_mark(level, low, high),
-                F.when(threshold_mark(level, low, high).isNotNull(), F.col(ts)),
-            ).alias("__new")
-        )
-        if old is None:
-            state = last.select(key, F.coalesce("__new", F.lit(False)).alias("charging"))
-        else:
-            state = old.join(last, key, "full").select(
-                key, F.coalesce("__new", "charging", F.lit(False)).alias("charging")
+        spark, states = batch.sparkSession, f"{path}/state"
+        batch = batch.persist()
+        try:
+            old = _before(spark, states, state_schema, batch_id, fold)
+            carried, late = None, batch.limit(0)
+            on_time = batch
+            if old is not None:
+                old = newest_version(old, key, ts).join(batch.select(key).distinct(), key, "left_semi")
+                seen = old.select(F.col(key).alias("__key"), F.col(ts).alias("__seen"))
+                told = batch.join(seen, F.col(key) == F.col("__key"), "left")
+                behind = F.coalesce(F.col(ts) <= F.col("__seen"), F.lit(False))
+                late = told.filter(behind).select(*batch.columns)
+                on_time = told.filter(~behind).select(*batch.columns)
+                carried = old.select(key, "charging")
+            rows = charging_state(on_time, key, ts, level, low, high, carried=carried)
+            rows.write.mode("overwrite").parquet(f"{path}/rows/batch_id={batch_id}")
+            late.write.mode("overwrite").parquet(f"{path}/late/batch_id={batch_id}")
+            mark = threshold_mark(level, low, high)
+            last = on_time.groupBy(key).agg(
+                F.max_by(mark, F.when(mark.isNotNull(), F.col(ts))).alias("__new"), F.max(ts).alias(ts)
             )
-        state.write.mode("overwrite").parquet(f"{path}/state/batch_id={batch_id}")
+            if carried is not None:
+                last = last.join(carried, key, "left")
+            charging = F.coalesce("__new", "charging", F.lit(False)) if carried is not None else F.coalesce("__new", F.lit(False))
+            _keep(last.select(key, charging.alias("charging"), ts), states, batch_id, key, ts, fold)
+        finally:
+            batch.unpersist()
 
     return _run(sdf.writeStream.foreachBatch(write), checkpoint, trigger)
 
@@ -224,3 +272,8 @@ def charging_state_stream(
 def read_charging(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     full = T.StructType([*schema.fields, T.StructField("charging", T.BooleanType())])
     return spark.read.schema(full).parquet(f"{path}/rows/*")
+
+
+def read_late(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Readings that came after a newer one of their key, with the batch they came in."""
+    return spark.read.schema(_versioned(schema)).parquet(f"{path}/late")

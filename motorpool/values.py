@@ -110,6 +110,9 @@ NOT_NULL = {
     "exceptions": ["entity_type", "entity_id", "exception_type", "severity", "description", "status"],
     "chat_sessions": ["session_id"],
     "chat_messages": ["session_id", "role", "content"],
+    "purchase_orders": ["po_number", "status"],
+    "shipment_tracking": ["shipment_id", "status"],
+    "shipment_exceptions": ["shipment_id", "exception_type", "severity", "status"],
 }
 
 # --- Fixed values: defaults of the operational tables ------------------------------
@@ -135,6 +138,9 @@ DEFAULTS = {
     "exceptions": {"severity": "medium", "status": "open"},
     "chat_sessions": {"title": "New conversation"},
     "chat_messages": {"metadata": "{}"},
+    "purchase_orders": {"status": "draft"},
+    "shipment_tracking": {},
+    "shipment_exceptions": {"severity": "medium", "status": "open"},
 }
 
 # --- Fixed values: columns limited to an enumeration -------------------------------
@@ -148,9 +154,22 @@ ENUMS = {
     "exceptions": {"severity": LEVELS, "status": EXCEPTION_STATUSES},
     "chat_sessions": {},
     "chat_messages": {"role": MESSAGE_ROLES},
+    "purchase_orders": {},
+    "shipment_tracking": {},
+    "shipment_exceptions": {"severity": LEVELS},
 }
 
-# --- Fixed values: fields an exception report must bring, text cut on entry ---------
+# --- Fixed values: supply workflow headlines, before an entity and without one -------
+SUPPLY_HEADLINES = {
+    "auto_reorder": ("Auto-Reorder: ", "Auto-Reorder Triggered"),
+    "delay_response": ("Delay Response: Shipment ", "Delay Response"),
+    "cold_chain_escalation": ("Cold Chain Alert: ", "Cold Chain Alert"),
+}
+
+# --- Fixed values: texts for which empty means none --------------------------------
+EMPTY_IS_NULL = {"exceptions": ["assigned_to"], "shipment_exceptions": ["assigned_to"]}
+
+# --- Fixed values: fields an exception report must bring; widths a caller may cut to --
 EXCEPTION_REQUIRED = ["entity_type", "entity_id", "exception_type", "description"]
 EXCEPTION_CUTS = {"description": 2000, "assigned_to": 100}
 
@@ -180,7 +199,7 @@ NEW_SESSION_TITLE = "New conversation"
 
 # --- Fixed values: follow-up suggestions: keywords, label, prompt ----------------
 FOLLOWUPS = [
-    (["weather"], "Check affected items", "Which items are affected by the conditions you just found?"),
-    (["reorder", "calculator"], "Create order", "Create an order based on the calculation you just did"),
-    (["forecast", "demand"], "Plan transfers", "Based on the forecast, what transfers should we plan?"),
+    (["weather"], "Check affected items", "List what the weather you looked up puts at risk."),
+    (["reorder", "calculator"], "Create order", "Draft an order for the quantity you worked out."),
+    (["forecast", "demand"], "Plan transfers", "Propose transfers that match the expected demand."),
 ]

@@ -15,7 +15,7 @@ from motorpool.operators import changes as C
 from motorpool.operators import filters, ordering
 from motorpool.operators import joins as J
 from motorpool.schemas import struct
-from motorpool.session import scratch_path
+from motorpool.session import scratch_path, shared_dir
 from motorpool.sources import tables as T
 from motorpool.sources.tables import literal_rows
 from motorpool.streaming.telemetry import charging_state
@@ -322,7 +322,10 @@ def test_table_rules_keep_bad_rows_out(spark):
     new = literal_rows(
         spark, rows, struct("n:int entity_type:str entity_id:str exception_type:str description:str severity:str")
     )
-    done = insert_checked("exceptions", table, new, ["n"], "2024-02-01")
+    whole = insert_checked("exceptions", table, new, ["n"], "2024-02-01")
+    assert [len(r.description) for r in whole.rows.collect()] == [3000] and whole.cut.count() == 0
+    done = insert_checked("exceptions", table, new, ["n"], "2024-02-01", cuts=values.EXCEPTION_CUTS)
+    assert [r.n for r in done.cut.collect()] == [1]
     kept = done.rows.collect()
     assert [(r.exception_id, r.status, len(r.description)) for r in kept] == [(1, "open", 2000)]
     broken = {r.n: r.broken_rules for r in done.rejects.collect()}
@@ -420,10 +423,80 @@ class FakeSession:
 
 def test_shared_folder_comes_from_the_session():
     cluster = FakeSession("hdfs://shared/folder", "yarn")
-    assert scratch_path(cluster, "x").startswith("hdfs://shared/folder/motorpool/x-")
-    assert cluster.folder == "hdfs://shared/folder"
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        scratch_path(FakeSession(None, "yarn"), "x")
+    assert shared_dir(cluster) == cluster.folder == "hdfs://shared/folder"
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(FakeSession(None, master))
+
+
+def test_scratch_lies_in_the_application_folder(spark):
+    path = scratch_path(spark, "x")
+    assert path.startswith(f"{shared_dir(spark)}/motorpool/{spark.sparkContext.applicationId}/x-")
+
+
+def test_sums_keep_every_digit_or_fail(spark):
+    rows = literal_rows(spark, [("a", 0.004), ("b", 0.004), ("b", 0.004)], struct("k:str w:double"))
+    assert rows.agg(A.weighted_share("w", F.col("k") == "a").alias("pct")).first().pct == 33.3
+    fine = literal_rows(spark, [("a", 0.00000004)], struct("k:str w:double"))
+    with pytest.raises(Exception, match="more than 6 digits"):
+        fine.agg(A.exact_sum("w")).collect()
+    assert fine.agg(A.exact_sum("w", 8).alias("s")).first().s == 0.00000004
+    sums = literal_rows(spark, [("a", 0.1 + 0.2)], struct("k:str w:double"))
+    assert sums.agg(A.exact_sum("w").alias("s")).first().s == 0.3
+
+
+def test_every_command_is_applied_or_refused(spark):
+    table = literal_rows(spark, [(1, "open"), (2, "open")], struct("k:long status:str"))
+    commands = literal_rows(spark, [(1, "closed", 1), (None, "closed", 2), (9, "closed", 3), (2, "odd", 4), (None, "odd", 5)], struct("k:long status:str seq:int"))
+    updated, refused = C.transition_status(table, commands, "k", "seq", ["closed"], T0)
+    assert sorted(map(tuple, updated.collect())) == [(1, "closed"), (2, "open")]
+    assert sorted(r.seq for r in refused.collect()) == [2, 3, 4, 5]
+    table = table.withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
+    updated, refused = C.patch_rows(table, commands, "k", "seq", ["status"], T0)
+    assert sorted(r.seq for r in refused.collect()) == [2, 3, 5]
+
+
+def test_upserts_and_orphans_with_null_keys(spark):
+    target = literal_rows(spark, [(1, "a")], struct("k:long v:str"))
+    new = literal_rows(spark, [(2, "z"), (2, "b"), (1, "c")], struct("k:long v:str"))
+    assert sorted(map(tuple, J.insert_if_absent(target, new, ["k"]).collect())) == [(1, "a"), (2, "b")]
+    ordered = new.withColumn("n", F.when(F.col("v") == "z", 1).otherwise(2))
+    kept = J.insert_if_absent(target.withColumn("n", F.lit(0)), ordered, ["k"], order=["n"])
+    assert sorted(map(tuple, kept.collect())) == [(1, "a", 0), (2, "z", 1)]
+    with pytest.raises(Exception, match="k is NULL"):
+        J.insert_if_absent(target, literal_rows(spark, [(None, "x")], struct("k:long v:str")), ["k"]).collect()
+    child = literal_rows(spark, [(1,), (None,), (5,)], struct("p:long"))
+    assert [r.p for r in J.orphans(child, target, ("p", "k")).collect()] == [5]
+
+
+def test_a_crowded_hour_is_split_among_tasks(spark):
+    start = T0.replace(minute=0, second=0)
+    points = spark.range(4000).select("id", F.lit(start).cast("timestamp_ntz").alias("ts"))
+    windows = literal_rows(spark, [(i, start, start + dt.timedelta(minutes=5)) for i in range(3)], struct("w:int a:ts b:ts"))
+    joined = J.range_join(points, windows, "ts", "a", "b")
+    assert joined.count() == 12_000 and joined.columns == ["id", "ts", "w", "a", "b"]
+    assert J.range_join(points, windows, "ts", "a", "b", how="semi").count() == 4000
+    text = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "__salt" in text
+
+
+@pytest.mark.parametrize("code, words", [("auto-reorder_po", "Auto-Reorder Po"), ("3d_move", "3D Move"), ("", ""), ("ÉTAT_x1y", "État X1Y")])
+def test_title_words(spark, code, words):
+    df = literal_rows(spark, [(code,)], struct("c:str"))
+    assert df.select(S.headline_words("c").alias("w")).first().w == words
+
+
+def test_deep_pages_are_those_of_shallow_ones(spark, src):
+    order = [F.col("ts").desc(), F.col("event_id")]
+    rows = src.events.select("event_id", "ts")
+    shallow = [tuple(r) for r in ordering.paginate(rows, order, 20, 40).collect()]
+    deep = [tuple(r) for r in ordering.paginate(rows, order, 20, 40, shallow=0).collect()]
+    assert sorted(deep) == sorted(shallow) and len(deep) == 40
+    keys = [("ts", True), ("event_id", False)]
+    before = ordering.paginate(rows, order, 19, 40).collect()[-1]
+    after = ordering.page_after(rows, keys, [before.ts, before.event_id], 40)
+    assert [tuple(r) for r in after.collect()] == [t[:2] for t in shallow]
+    assert len(ordering.page_after(rows, keys, None, 40).collect()) == 40
 
 
 def test_generator_may_skip_all(spark, src):
