@@ -255,7 +255,8 @@ def daily_volume(
 
 
 def request_time(date: Column | str, seed: Column, mode: str = "modulo") -> Column:
-    """A moment of the day, weighted to the evening."""
+    """A moment of the day, weighted to the evening. The modulus is two more than the weights add
+    up to; that those two draws take hour 23 is our choice."""
     hour = hash_weighted(
         F.concat(F.lit("ride-hr-"), seed),
         list(range(24)),
@@ -330,8 +331,10 @@ def build_rides(
     caps: Mapping[str, int] = values.CITY_RIDE_CAP,
     paid_from=values.PAID_FROM,
     mode: str = "modulo",
+    cap_after: bool = False,
 ) -> DataFrame:
-    """Rides per day and city; ``cities`` has one column, city."""
+    """Rides per day and city; ``cities`` has one column, city. ``cap_after`` caps a day's rides
+    after their variation, so that no day has more than the cap."""
     boost = group_max(events, ["event_date", "city"], "demand_multiplier", "event_mult").withColumnRenamed(
         "event_date", "ride_date"
     )
@@ -340,7 +343,7 @@ def build_rides(
     scaled = mode == "scaled"
     variation = seeded("day-var-", case_map("city", values.CITY_CODES) if scaled else "city", "ride_date")
     sized = days_of.withColumn("base", base_rate("city", "ride_date", rates)).withColumn(
-        "ride_count", daily_volume("base", "event_mult", case_map("city", caps), variation, mode=mode)
+        "ride_count", daily_volume("base", "event_mult", case_map("city", caps), variation, cap_after, mode)
     )
     rides = numbered_expand(sized, "ride_count", "ride_date", ["city"], "ride_num", "rn").withColumn(
         "ride_id", padded_id("RD-", F.col("rn"), 7)
