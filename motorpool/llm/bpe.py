@@ -13,57 +13,54 @@ import regex
 import tiktoken
 import xxhash
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from motorpool.llm.common import slices
-from motorpool.session import materialise
 
 #: Tokens of a chunk, the unit in which documents are taken apart and put together again. A
 #: chunk ends with the document that passes this; a longer document is a chunk of its own.
-CHUNK_TOKENS = 1_500_000
+CHUNK_TOKENS = 6_000_000
 #: Distinct words are dealt by hash to this many buckets; a bucket's words must fit a worker.
-BUCKETS = 512
+BUCKETS = 256
 #: A vocabulary goes to every task; this bounds its file.
 MOST_BYTES = 64 << 20
-#: Ids that a worker decodes at once.
-DECODE_IDS = 500_000
+#: Words, or ids, that a worker puts together at once; a longer document alone.
+PIECE = 500_000
 
 
 class Vocabulary:
-    """The ranks of a tiktoken file, and the byte string of every id laid end to end."""
+    """The ranks of a tiktoken file, and the byte string of every id laid end to end. It travels as
+    the file; a worker builds the rest once, when it first asks for it."""
 
     def __init__(self, data: bytes, pattern: str):
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines())}
-        self.split = regex.compile(pattern).findall
-        self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.data, self.pattern, self.built = data, pattern, False
+
+    def build(self) -> Vocabulary:
+        if self.built:
+            return self
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, self.data.splitlines())}
+        self.split = regex.compile(self.pattern).findall
+        self.encode = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         by_id = {rank: token for token, rank in ranks.items()}
         tokens = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
         self.known = np.array([i in by_id for i in range(len(tokens))])
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.built = True
+        return self
 
 
-_LOADED: dict[tuple[str, str], Vocabulary] = {}
-
-
-class Shared:
-    """A vocabulary on its way to the workers, built once in each."""
-
-    def __init__(self, spark: SparkSession, path: str, pattern: str):
-        with open(path, "rb") as file:
-            data = file.read(MOST_BYTES + 1)
-        if len(data) > MOST_BYTES:
-            raise ValueError(f"{path} is larger than {MOST_BYTES} bytes")
-        self.data, self.pattern, self.key = spark.sparkContext.broadcast(data), pattern, xxhash.xxh3_128_hexdigest(data)
-
-    def get(self) -> Vocabulary:
-        if (self.key, self.pattern) not in _LOADED:
-            _LOADED[self.key, self.pattern] = Vocabulary(self.data.value, self.pattern)
-        return _LOADED[self.key, self.pattern]
+def shared_vocabulary(spark: SparkSession, path: str, pattern: str) -> Broadcast:
+    """A vocabulary for every task. The file is read here, by the driver, and is bounded."""
+    with open(path, "rb") as file:
+        data = file.read(MOST_BYTES + 1)
+    if len(data) > MOST_BYTES:
+        raise ValueError(f"{path} is larger than {MOST_BYTES} bytes")
+    return spark.sparkContext.broadcast(Vocabulary(data, pattern))
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -89,31 +86,41 @@ def unpack_words(data: bytes) -> list[bytes]:
     return [text[at:end] for at, end in zip([0, *ends], ends)]
 
 
-_BUCKET = pa.struct([("bucket", pa.int32()), ("words", pa.binary())])
-_CHUNK = pa.schema([
-    ("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("codes", pa.binary()),
-    ("places", pa.binary()), ("buckets", pa.list_(_BUCKET)),
-])
-_ENCODED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary()), ("ids", pa.binary())])
+#: What a chunk's own row holds, next to which there is a row for each bucket of its words.
+_CHUNK = [("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("codes", pa.binary()), ("places", pa.binary())]
+_APART = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary()), *_CHUNK])
+_ENCODED = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("counts", pa.binary()), ("ids", pa.binary()), *_CHUNK])
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
-def _chunk(number: int, doc_ids: list, lengths: list[int], codes: array, known: dict[str, int], buckets: int) -> pa.RecordBatch:
-    """One chunk: each document's length, the words' positions as local codes, and the distinct
-    words by bucket; ``places`` lists the local codes in the order of the buckets' words."""
+def _rows(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def _chunk(place: tuple[int, int], doc_ids: list, lengths: list[int], codes: array, known: dict[str, int], buckets: int) -> Iterator[pa.RecordBatch]:
+    """A chunk as rows: each document's length and the words' positions as local codes, the more
+    frequent the smaller; and the distinct words by bucket, ``places`` being their codes in the
+    order of the buckets. The chunk is named by what it holds, so that rows of two different
+    readings of the input cannot be taken for one."""
+    numbers = np.frombuffer(codes, np.int32)
+    order = np.argsort(-np.bincount(numbers, minlength=len(known)), kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
     words = [w.encode() for w in known]
     dealt = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int32, len(words))
-    places = np.argsort(dealt, kind="stable")
-    cuts = np.flatnonzero(np.diff(dealt[places])) + 1
-    groups = [g for g in np.split(places, cuts) if len(g)]
-    listed = [{"bucket": int(dealt[g[0]]), "words": pack_words([words[i] for i in g])} for g in groups]
-    row = [number, doc_ids, pack(np.array(lengths, np.uint32)), pack(np.frombuffer(codes, np.int32)), pack(places), listed]
-    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _CHUNK)], schema=_CHUNK)
+    by_bucket = np.argsort(dealt, kind="stable")
+    packed = pack(rank[numbers])
+    chunk = xxhash.xxh3_64_intdigest(repr(place).encode() + packed + b"".join(words)) >> 1
+    yield _rows([[chunk % buckets, chunk, None, doc_ids, pack(np.array(lengths, np.uint32)), packed, pack(rank[by_bucket])]], _APART)
+    cuts = np.flatnonzero(np.diff(dealt[by_bucket])) + 1
+    groups = [g for g in np.split(by_bucket, cuts) if len(g)]
+    if groups:
+        yield _rows([[int(dealt[g[0]]), chunk, pack_words([words[i] for i in g]), None, None, None, None] for g in groups], _APART)
 
 
-def _take_apart(vocabulary: Shared, chunk_tokens: int, buckets: int):
+def _take_apart(vocabulary: Broadcast, chunk_tokens: int, buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, number = vocabulary.get().split, TaskContext.get().partitionId() << 32
+        split, task, number = vocabulary.value.build().split, TaskContext.get().partitionId(), 0
         doc_ids, lengths, codes, known = [], [], array("i"), {}
         for columns in slices(batches):
             for doc_id, text in zip(*columns):
@@ -125,22 +132,26 @@ def _take_apart(vocabulary: Shared, chunk_tokens: int, buckets: int):
                 doc_ids.append(doc_id)
                 lengths.append(len(words))
                 if len(codes) + len(doc_ids) >= chunk_tokens:
-                    yield _chunk(number, doc_ids, lengths, codes, known, buckets)
+                    yield from _chunk((task, number), doc_ids, lengths, codes, known, buckets)
                     number += 1
                     doc_ids, lengths, codes, known = [], [], array("i"), {}
         if doc_ids:
-            yield _chunk(number, doc_ids, lengths, codes, known, buckets)
+            yield from _chunk((task, number), doc_ids, lengths, codes, known, buckets)
 
     return run
 
 
-def _encode_buckets(vocabulary: Shared):
+def _encode_buckets(vocabulary: Broadcast):
     """Rows come by bucket, so that a word of many chunks is encoded when it is first seen."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last, known = vocabulary.get().encode, None, {}
+        encode, last, known = vocabulary.value.build().encode, None, {}
         for batch in batches:
-            for chunk, bucket, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            for i in range(batch.num_rows):
+                bucket, chunk, packed, *own = (c[i].as_py() for c in batch.columns)
+                if packed is None:
+                    yield _rows([[bucket, chunk, None, None, *own]], _ENCODED)
+                    continue
                 if bucket != last:
                     last, known = bucket, {}
                 found = []
@@ -151,8 +162,7 @@ def _encode_buckets(vocabulary: Shared):
                     found.append(ids)
                 counts = np.fromiter(map(len, found), np.uint32, len(found))
                 flat = np.frombuffer(b"".join(ids.tobytes() for ids in found), np.int32)
-                row = [chunk, bucket, pack(counts), pack(flat)]
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _ENCODED)], schema=_ENCODED)
+                yield _rows([[bucket, chunk, pack(counts), pack(flat), *own]], _ENCODED)
 
     return run
 
@@ -164,41 +174,55 @@ def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
     return flat[shift + np.arange(len(shift))]
 
 
-def _put_together(left: pa.Table, right: pa.Table) -> pa.Table:
-    chunk = left.to_pylist()[0]
-    parts = sorted(zip(*(right.column(c).to_pylist() for c in ("bucket", "counts", "ids"))))
+def _put_together(rows: pa.Table) -> pa.Table:
+    """The documents of one chunk from its own row and the ids of its words."""
+    found = rows.select(["bucket", "counts", "ids", *(name for name, _ in _CHUNK)]).to_pylist()
+    own = [r for r in found if r["counts"] is None]
+    parts = sorted(((r["bucket"], r["counts"], r["ids"]) for r in found if r["counts"] is not None), key=lambda p: p[0])
     counts = np.concatenate([unpack(p[1]) for p in parts] or [np.empty(0, np.uint32)]).astype(np.int64)
+    if len(own) != 1 or len(places := unpack(own[0]["places"])) != len(counts):
+        raise ValueError("a chunk's rows come from different readings of the input; write the input to a table first")
     flat = np.concatenate([unpack(p[2]) for p in parts] or [np.empty(0, np.uint32)]).astype(np.int32)
-    places, codes, words = unpack(chunk["places"]), unpack(chunk["codes"]), unpack(chunk["lengths"]).astype(np.int64)
     by_code, starts = np.empty_like(counts), np.empty_like(counts)
     by_code[places], starts[places] = counts, np.cumsum(counts) - counts
-    per_word = by_code[codes]
-    ends = np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], np.cumsum(words)])]
-    ids = _gather(flat, starts[codes], per_word)
-    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-    return pa.Table.from_arrays([pa.array(chunk["doc_ids"], pa.int64()), lists], schema=_IDS)
+    codes, doc_ids = unpack(own[0]["codes"]), own[0]["doc_ids"]
+    ends = np.concatenate([[0], np.cumsum(unpack(own[0]["lengths"]).astype(np.int64))])
+    pieces, first = [], 0
+    while first < len(doc_ids):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + PIECE, "right")) - 1)
+        part = codes[ends[first] : ends[last]]
+        per_word = by_code[part]
+        at = np.concatenate([[0], np.cumsum(per_word)])[ends[first : last + 1] - ends[first]]
+        lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(_gather(flat, starts[part], per_word), pa.int32()))
+        pieces.append(pa.RecordBatch.from_arrays([pa.array(doc_ids[first:last], pa.int64()), lists], schema=_IDS))
+        first = last
+    return pa.Table.from_batches(pieces, schema=_IDS)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, chunk_tokens: int = CHUNK_TOKENS, buckets: int = BUCKETS) -> DataFrame:
     """``(doc_id, ids)`` of every row of ``docs(doc_id, text)``, as tiktoken encodes each match of
     ``pattern`` by the ranks in ``path``, without special tokens.
 
-    1. Texts are taken apart into words and their positions, in chunks of documents; chunks are
-       written to the shared folder. Within a chunk a word appears once.
+    1. Texts are taken apart into words and their positions, in chunks of documents. Within a
+       chunk a word appears once.
     2. Distinct words are dealt by hash, so that all chunks' copies of a word meet, and each word
-       is encoded once. However frequent a word, a chunk brings it once.
+       is encoded once. However frequent a word, a chunk brings it once. The positions go along
+       as a row of their own chunk.
     3. Ids go back to their chunks, and documents are put together by position.
 
+    A chunk is made of rows as they are read. If a part of the input is read again, after an
+    executor was lost, and its rows come in another order, as a shuffle may give them, the
+    mismatch is an error and never a wrong result; tables in files are read alike each time.
+
     Null and empty texts have no ids; a null doc_id stays null; repeated rows give repeated
     rows; an empty table gives an empty result; other columns are not read.
     """
-    shared = Shared(docs.sparkSession, path, pattern)
+    shared = shared_vocabulary(docs.sparkSession, path, pattern)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chunks = materialise(chosen.mapInArrow(_take_apart(shared, chunk_tokens, buckets), from_arrow_schema(_CHUNK)), "chunks")
-    words = chunks.select("chunk", F.inline("buckets")).repartition("bucket").sortWithinPartitions("bucket")
-    encoded = words.mapInArrow(_encode_buckets(shared), from_arrow_schema(_ENCODED))
-    whole = chunks.select("chunk", "doc_ids", "lengths", "codes", "places").groupBy("chunk")
-    return whole.cogroup(encoded.groupBy("chunk")).applyInArrow(_put_together, from_arrow_schema(_IDS))
+    apart = chosen.mapInArrow(_take_apart(shared, chunk_tokens, buckets), from_arrow_schema(_APART))
+    dealt = apart.repartition("bucket").sortWithinPartitions("bucket")
+    encoded = dealt.mapInArrow(_encode_buckets(shared), from_arrow_schema(_ENCODED))
+    return encoded.groupBy("chunk").applyInArrow(_put_together, from_arrow_schema(_IDS))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -208,19 +232,19 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", name:
     and so goes to every task; the bytes are laid out in the ids' order. Null ids give no
     bytes; an id without a token is an error.
     """
-    shared = Shared(encoded.sparkSession, path, pattern)
+    shared = shared_vocabulary(encoded.sparkSession, path, pattern)
     others = [c for c in encoded.columns if c != ids]
     ordered = encoded.select(*others, ids)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.get()
+        v = shared.value.build()
         for batch in batches:
             lists = batch.column(len(others))
             ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
             first = 0
             while first < batch.num_rows:
                 done = ends[first - 1] if first else 0
-                last = max(first + 1, int(np.searchsorted(ends, done + DECODE_IDS, "right")))
+                last = max(first + 1, int(np.searchsorted(ends, done + PIECE, "right")))
                 part = batch.slice(first, last - first)
                 column = part.column(len(others))
                 flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
