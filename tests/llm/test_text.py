@@ -165,7 +165,11 @@ def test_packing_round_trips():
 
     for values in ([], [0], [1, 2**32 - 1, 7]):
         assert bpe.unpack(bpe.pack(np.array(values, np.uint32))).tolist() == values
-    assert bpe.unpack_words(bpe.pack_words([b"", b"ab", b"\n"])) == [b"", b"ab", b"\n"]
+    ranks = [0, 191, 192, 193, 194, 195, 199, 200, 5_000_000, 2**31 - 1, 1] * 3
+    assert bpe.unpack_ranks(bpe.pack_ranks(np.array(ranks, np.int32))).tolist() == ranks
+    assert bpe.unpack_ranks(bpe.pack_ranks(np.array([], np.int32))).tolist() == []
+    for words in ([], [b"", b"\n", b"a", b"ab", b"abc", b"b"]):
+        assert bpe.unpack_words(bpe.pack_words(words)) == words
 
 
 ITEMS = "item_id long, text string, kept string"
