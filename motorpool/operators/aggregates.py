@@ -1,4 +1,8 @@
-"""Aggregations. All are algebraic, so Spark folds them on the map side before a shuffle."""
+"""Aggregations. All are algebraic, so Spark folds them on the map side before a shuffle.
+
+Counts, sums and numbers fold in a hash table; the largest or first text or struct of a key
+makes Spark sort a task's rows by key before it folds them.
+"""
 
 from __future__ import annotations
 

@@ -151,13 +151,14 @@ def predict_demand(
         F.dayofweek("request_ts").alias("dow"),
         F.hour("request_ts").alias("hour"),
     ).agg(F.count(F.lit(1)).alias("past_rides"))
-    calendar = F.sequence(first, F.date_sub(today, 1))
     ahead = F.sequence(today, F.date_add(today, ahead_days))
     coming = grid(zones.select("zone_id", "city", "base_demand_per_hour"), forecast_date=ahead)
     coming = left_default(coming, event_multipliers(events), ["forecast_date", "zone_id"], "event_mult", 1.0)
     coming = grid(coming, hour=F.sequence(F.lit(0), F.lit(23))).withColumn("dow", F.dayofweek("forecast_date"))
     joined = left_default(coming, counted, ["zone_id", "dow", "hour"], "past_rides", 0)
-    same_days = F.size(F.filter(calendar, lambda d: F.dayofweek(d) == F.col("dow")))
+    # The history has every weekday once a week, and those of its first days once more.
+    begun = F.pmod(F.col("dow") - F.dayofweek(first), F.lit(7)) < history_days % 7
+    same_days = F.lit(history_days // 7) + begun.cast("int")
     expected = F.col("past_rides") / F.greatest(same_days, F.lit(1)) * F.greatest(F.col("event_mult"), F.lit(1.0))
     return joined.withColumn("expected", expected).select(
         "zone_id",

@@ -155,7 +155,7 @@ def parse_cells(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def read_ops_table(spark: SparkSession, name: str, snapshot: str | None = None, jdbc: Mapping[str, str] | None = None) -> DataFrame:
-    """An operational table, from its database or from a Parquet snapshot of it.
+    """An operational table, whole, from its database or from a Parquet snapshot of it.
 
     A database read of any size should pass ``partitionColumn``, ``lowerBound``,
     ``upperBound`` and ``numPartitions`` among the options.
