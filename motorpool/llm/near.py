@@ -7,7 +7,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,7 +20,7 @@ PERCENT = 85
 #: 26 bands of 5 coordinates miss a pair at 0.85 once in four million.
 BANDS, ROWS = 26, 5
 #: A bucket of up to this many sets has its pairs checked at once; a larger one goes by centres.
-SMALL_BUCKET, CENTRES = 32, 16
+SMALL_BUCKET, CENTRES = 64, 32
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _COLUMNS = 1024
@@ -148,13 +148,58 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> D
     return map_texts(full.select("a", "b", "text_a", "text_b"), run, _LINKS, text=3)
 
 
-def _pairs(a: str, b: str, members: DataFrame, others: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket in different components whose sizes allow a link."""
-    both = members.alias("x").join(others.alias("y"), "key")
-    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    return both.filter((F.col("x.component") != F.col("y.component")) & (100 * small >= percent * large)).select(
-        F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
-    ).distinct()
+_SHINGLES = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+
+def _shared_sizes(texts: DataFrame, words: int) -> DataFrame:
+    """``(node, alone)``: how many of a node's shingles no other node has.
+
+    They cannot be in an intersection, which bounds what a node can be linked to without
+    looking at pairs. A node of several texts has no bound.
+    """
+    shingler = Shingler(words)
+
+    def run(columns: list[list]) -> Iterable[tuple]:
+        for node, text in zip(*columns):
+            yield node, shingler.set(text).view(np.int64)
+
+    held = map_texts(texts, run, _SHINGLES).select("node", F.explode("shingles").alias("shingle"))
+    once = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("node")).filter("nodes = 1")
+    several = texts.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return once.groupBy("node").agg(F.count(F.lit(1)).alias("alone")).join(several, "node", "left_anti")
+
+
+def _may_link(n: str, shared: str, m: str, other: str, percent: int) -> Column:
+    """Whether sets of sizes ``n`` and ``m``, of which ``shared`` and ``other`` shingles are anywhere
+    else, can be as similar as asked: the intersection has no more than the lesser of the two."""
+    return (100 + percent) * F.least(shared, other) >= percent * (F.col(n) + F.col(m))
+
+
+def _linkable(members: DataFrame, percent: int) -> DataFrame:
+    """Members that could link with the smallest set of their bucket, in buckets of two or more,
+    and the bucket's centre: the set with the fewest shingles of its own, from which the others
+    of a group of near-copies are likely to come."""
+    least = members.groupBy("key").agg(F.min("n").alias("least"))
+    able = members.join(least, "key").filter((100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("least"))).drop("least")
+    own = F.struct(F.col("n") - F.col("shared"), "node")
+    met = able.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min_by("node", own).alias("centre")).filter("size > 1")
+    return able.join(met, "key")
+
+
+def _pairs(members: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one bucket in different components whose sizes allow a link, each once: from the
+    first of the buckets in which both meet, and in order where the other is ``chosen`` too. A
+    node is in as many buckets as there are bands at most."""
+
+    def with_keys(side: DataFrame) -> DataFrame:
+        return side.join(side.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys")), "node")
+
+    x, y = with_keys(members).alias("x"), with_keys(others).alias("y")
+    apart = F.col("x.component") != F.col("y.component")
+    first = F.col("x.key") == F.array_intersect("x.keys", "y.keys")[0]
+    once = (~F.col("y.chosen") | (F.col("x.node") < F.col("y.node"))) & first
+    wanted = (F.col("x.key") == F.col("y.key")) & apart & _may_link("x.n", "x.shared", "y.n", "y.shared", percent) & once
+    return x.join(y, wanted).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, n_bands: int = BANDS, rows: int = ROWS, words: int = WORDS, small: int = SMALL_BUCKET, centres: int = CENTRES) -> DataFrame:
@@ -164,10 +209,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n_bands: int = BAND
     shingles; component_id is the smallest doc_id reachable, and that document is kept.
 
     Equal sets are one class, found by digest, and only its smallest doc_id goes on. Classes
-    that share a band key meet in a bucket. Every link between sets of one bucket is found,
-    yet never all pairs of a large one:
+    that share a band key meet in a bucket. A set's shingles that no other set has bound what it
+    can link to, which takes most sets without a partner out before pairs are made. Every link
+    between sets of one bucket is found, yet never all pairs of a large one:
 
-    1. each set is checked with the smallest of its bucket, a star;
+    1. each set is checked with the centre of its bucket, a star;
     2. in a bucket that still holds several components, small ones have all pairs across
        components checked; in larger ones some centres are checked with all members of other
        components and then leave, until one component or a small bucket is left.
@@ -182,32 +228,45 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n_bands: int = BAND
     linked = sets.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = linked.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
     keys = classes.select("node", "n", F.explode("bands").alias("key"))
-    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("centre")).filter("size > 1")
-    buckets = materialise(keys.join(met, "key").select("key", "node", "n", "centre"), "buckets")
+    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    buckets = materialise(keys.join(met, "key").select("key", "node", "n"), "buckets")
     nodes = buckets.select("node").distinct()
     texts = materialise(docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
+    alone = materialise(_shared_sizes(texts, words), "alone")
+    bounded = buckets.join(alone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    able = materialise(_linkable(bounded.filter(100 * F.col("shared") >= percent * F.col("n")), percent), "able")
 
-    sizes = buckets.select(F.col("node").alias("centre"), F.col("n").alias("m")).distinct()
-    star = buckets.select("centre", "node", "n").filter("centre < node").distinct().join(sizes, "centre")
-    star = star.filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    sizes = able.select(F.col("node").alias("centre"), F.col("n").alias("m"), F.col("shared").alias("other")).distinct()
+    star = able.filter("centre != node").select("centre", "node", "n", "shared").distinct().join(sizes, "centre")
+    star = star.filter(_may_link("n", "shared", "m", "other", percent)).select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
     checked = materialise(star.distinct(), "pairs")
     links = materialise(_verified(checked, texts, percent, words), "links")
-    left = buckets.select("key", "node", "n")
+    components = connected_components(links)
+    left = able.select("key", "node", "n", "shared")
     while True:
-        components = connected_components(links)
         members = left.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
         open_ = materialise(members.join(mixed.filter("low < high").select("key", "size"), "key"), "open")
         if open_.isEmpty():
             break
         few, many = open_.filter(F.col("size") <= small), open_.filter(F.col("size") > small)
-        turn = W.partitionBy("key").orderBy(F.xxhash64("node", "key"), "node")
-        chosen = materialise(many.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= centres).drop("turn"), "centres")
-        todo = _pairs("x.node", "y.node", few, few, percent).unionByName(_pairs("x.node", "y.node", chosen, many, percent)).distinct()
+        # Members of the smallest components first: once they have left, one component may be all.
+        alike = many.groupBy("key", "component").agg(F.count(F.lit(1)).alias("alike"))
+        turn = W.partitionBy("key").orderBy("alike", F.xxhash64("node", "key"), "node")
+        chosen = many.join(alike, ["key", "component"]).withColumn("turn", F.row_number().over(turn))
+        chosen = materialise(chosen.filter(F.col("turn") <= centres).drop("turn", "alike"), "centres")
+        few = few.withColumn("chosen", F.lit(True))
+        marks = chosen.select("key", "node", F.lit(True).alias("chosen"))
+        others = many.join(marks, ["key", "node"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+        todo = _pairs(few, few, percent).unionByName(_pairs(chosen, others, percent)).distinct()
         pairs = materialise(todo.join(checked, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(materialise(_verified(pairs, texts, percent, words), "links"))
+        more = materialise(_verified(pairs, texts, percent, words), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            components = connected_components(links)
         checked = checked.unionByName(pairs)
-        left = many.select("key", "node", "n").join(chosen.select("key", "node"), ["key", "node"], "left_anti")
+        rest = many.select("key", "node", "n", "shared").join(chosen.select("key", "node"), ["key", "node"], "left_anti")
+        left = _linkable(rest, percent).select("key", "node", "n", "shared")
     named = classes.select("digest", "node").join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     found = sets.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(named, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
