@@ -129,11 +129,11 @@ class Hasher:
             n = self.known[feature] = xxhash.xxh3_64_intdigest(feature) & (self.size - 1)
         return n
 
-    def features(self, values: list[float], tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def features(self, values: list[float], tokens: list[bytes]) -> np.ndarray:
+        """Words first, each weighing ``WORD``; then one feature per signal, weighing 1."""
         numbers = np.unique(np.fromiter(map(self.number, set(tokens)), np.int32))
         levels = [self.number(f"{name}:{min(12, int(24 * value ** 0.5))}".encode() + b"\0") for name, value in zip(RULES, values)]
-        at = np.concatenate([numbers, np.array(levels, np.int32)])
-        return at, np.concatenate([np.full(len(numbers), WORD), np.ones(len(levels))])
+        return np.concatenate([numbers, np.array(levels, np.int32)])
 
 
 def estimate(patterns: dict[str, int], rounds: int = EM_ROUNDS) -> tuple[dict[str, float], np.ndarray]:
@@ -163,12 +163,16 @@ def accuracies(table: np.ndarray, prior_good: float) -> np.ndarray:
     return right / (right + wrong)
 
 
-def fit(features: list[np.ndarray], values: list[np.ndarray], target: np.ndarray, size: int = FEATURES, rounds: int = FIT_ROUNDS) -> np.ndarray:
-    """Weights of a logistic scorer, the last one its offset, by Adam on the whole sample."""
-    lengths = np.array([len(f) for f in features])
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    used, at = np.unique(np.concatenate(features), return_inverse=True)
-    x, row = np.concatenate(values), np.repeat(np.arange(len(lengths)), lengths)
+def fit(features: np.ndarray, lengths: np.ndarray, target: np.ndarray, size: int = FEATURES, rounds: int = FIT_ROUNDS) -> np.ndarray:
+    """Weights of a logistic scorer, the last one its offset, by Adam on the whole sample: the
+    texts' features one after another, and how many each has."""
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    used, at = np.unique(features, return_inverse=True)
+    at, row = at.astype(np.int32), np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    x = np.full(len(at), WORD, np.float32)
+    for signal in range(1, len(RULES) + 1):
+        x[ends - signal] = 1
     # Both classes weigh the same, whatever their shares.
     share = np.clip(target.mean(), 1e-6, 1 - 1e-6)
     weight = target * 0.5 / share + (1 - target) * 0.5 / (1 - share)
@@ -187,7 +191,7 @@ def fit(features: list[np.ndarray], values: list[np.ndarray], target: np.ndarray
 
 _WORDS = pa.schema([("word", pa.binary()), ("place", pa.int64())])
 _VOTES = pa.schema([("doc_id", pa.int64()), ("votes", pa.string())])
-_SAMPLE = pa.schema([("doc_id", pa.int64()), ("votes", pa.string()), ("features", pa.list_(pa.int32())), ("vals", pa.list_(pa.float64()))])
+_SAMPLE = pa.schema([("doc_id", pa.int64()), ("votes", pa.string()), ("features", pa.list_(pa.int32()))])
 _SCORED = pa.schema([("doc_id", pa.int64()), ("votes", pa.string()), ("score", pa.float64())])
 
 
@@ -282,15 +286,15 @@ def train(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = TR
     def sample_rows(columns: list[list]) -> Iterable[tuple]:
         for doc_id, text in zip(*columns):
             values, tokens = signals(text, mined)
-            yield doc_id, votes(values), *hasher.features(values, tokens)
+            yield doc_id, votes(values), hasher.features(values, tokens)
 
     chosen = docs.filter(picked(F.col("doc_id"), train_rows / max(1, total)))
     sample = _annotated(map_texts(chosen, sample_rows, _SAMPLE), labels).toArrow().sort_by([("doc_id", "ascending"), ("votes", "ascending")])
     if not sample.num_rows:
         return Model(mined, accuracy=accuracy)
-    columns = [[v.values.to_numpy() for v in sample.column(c)] for c in ("features", "vals")]
+    lists = sample.column("features").combine_chunks()
     target = np.array([good.get(p, 0.5) for p in sample.column("votes").to_pylist()])
-    return Model(mined, fit(*columns, target), accuracy)
+    return Model(mined, fit(lists.flatten().to_numpy(), lists.value_lengths().to_numpy(), target), accuracy)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -301,8 +305,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         mined, w = shared.value
         for doc_id, text in zip(*columns):
             values, tokens = signals(text, mined)
-            at, x = hasher.features(values, tokens)
-            z = float(w[at] @ x) + float(w[-1])
+            at = hasher.features(values, tokens)
+            z = WORD * float(w[at[: -len(RULES)]].sum()) + float(w[at[-len(RULES) :]].sum()) + float(w[-1])
             yield doc_id, votes(values), round(float(1 / (1 + np.exp(-np.clip(z, -60, 60)))), 6)
 
     return map_texts(docs, rows, _SCORED)
