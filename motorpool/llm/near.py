@@ -88,7 +88,9 @@ def bands(least: np.ndarray, n: int, rows: int) -> list[int]:
 
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
-_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_COMPARED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("ref_n", pa.int64()), ("missing", pa.list_(pa.int64()))])
+#: What a set lacks of its bucket's centre is told up to this share of the centre.
+LACKING = 0.4
 
 
 def sets_of(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
@@ -128,9 +130,10 @@ def connected_components(links: DataFrame) -> DataFrame:
             return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
-    """The pairs whose full shingle sets are as similar as asked. Both texts travel once to
-    each pair; rows arrive by ``a``, whose set is kept while it repeats."""
+def _compared(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
+    """The pairs with whether their full shingle sets are as similar as asked, the size of a's set
+    and, unless it is much, what b lacks of it. Both texts travel once to each pair; rows
+    arrive by ``a``, whose set is kept while it repeats."""
     shingler = Shingler(words)
     last: list = [None, None]
 
@@ -139,13 +142,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> D
             if last[0] != a or last[1] is None:
                 last[:] = [a, shingler.set(text_a)]
             one, other = last[1], shingler.set(text_b)
-            both = len(np.intersect1d(one, other, assume_unique=True))
-            if 100 * both >= percent * (len(one) + len(other) - both):
-                yield a, b
+            missing = np.setdiff1d(one, other, assume_unique=True)
+            both = len(one) - len(missing)
+            linked = 100 * both >= percent * (len(one) + len(other) - both)
+            yield a, b, linked, len(one), missing.view(np.int64) if len(missing) <= LACKING * len(one) else None
 
     with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     full = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return map_texts(full.select("a", "b", "text_a", "text_b"), run, _LINKS, text=3)
+    return map_texts(full.select("a", "b", "text_a", "text_b"), run, _COMPARED, text=3)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
+    return _compared(pairs, texts, percent, words).filter("linked").select("a", "b")
 
 
 _SHINGLES = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
@@ -189,7 +197,11 @@ def _linkable(members: DataFrame, percent: int) -> DataFrame:
 def _pairs(members: DataFrame, others: DataFrame, percent: int) -> DataFrame:
     """Pairs of one bucket in different components whose sizes allow a link, each once: from the
     first of the buckets in which both meet, and in order where the other is ``chosen`` too. A
-    node is in as many buckets as there are bands at most."""
+    node is in as many buckets as there are bands at most.
+
+    Two sets share no more than what neither lacks of their bucket's centre, and of what is
+    shared outside of it the lesser amount; that leaves out most pairs of a group of copies
+    that differ from one text in different places."""
 
     def with_keys(side: DataFrame) -> DataFrame:
         return side.join(side.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys")), "node")
@@ -198,7 +210,10 @@ def _pairs(members: DataFrame, others: DataFrame, percent: int) -> DataFrame:
     apart = F.col("x.component") != F.col("y.component")
     first = F.col("x.key") == F.array_intersect("x.keys", "y.keys")[0]
     once = (~F.col("y.chosen") | (F.col("x.node") < F.col("y.node"))) & first
-    wanted = (F.col("x.key") == F.col("y.key")) & apart & _may_link("x.n", "x.shared", "y.n", "y.shared", percent) & once
+    common = F.col("x.ref_n") - F.size(F.array_union("x.missing", "y.missing")) + F.least("x.extra", "y.extra")
+    told = F.col("x.missing").isNotNull() & F.col("y.missing").isNotNull()
+    alike = ~told | ((100 + percent) * common >= percent * (F.col("x.n") + F.col("y.n")))
+    wanted = (F.col("x.key") == F.col("y.key")) & apart & _may_link("x.n", "x.shared", "y.n", "y.shared", percent) & alike & once
     return x.join(y, wanted).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
@@ -238,11 +253,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n_bands: int = BAND
 
     sizes = able.select(F.col("node").alias("centre"), F.col("n").alias("m"), F.col("shared").alias("other")).distinct()
     star = able.filter("centre != node").select("centre", "node", "n", "shared").distinct().join(sizes, "centre")
-    star = star.filter(_may_link("n", "shared", "m", "other", percent)).select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
-    checked = materialise(star.distinct(), "pairs")
-    links = materialise(_verified(checked, texts, percent, words), "links")
+    star = star.filter(_may_link("n", "shared", "m", "other", percent)).select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    compared = materialise(_compared(star, texts, percent, words), "links")
+    checked = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = compared.filter("linked").select("a", "b")
     components = connected_components(links)
-    left = able.select("key", "node", "n", "shared")
+    told = compared.select(F.col("a").alias("centre"), F.col("b").alias("node"), "ref_n", "missing")
+    own = F.col("node") == F.col("centre")
+    left = able.select("key", "node", "n", "shared", "centre").join(told, ["centre", "node"], "left").withColumns({
+        "ref_n": F.when(own, F.col("n")).otherwise(F.col("ref_n")),
+        "missing": F.when(own, F.array().cast("array<bigint>")).otherwise(F.col("missing")),
+    })
+    columns = ["key", "node", "n", "shared", "ref_n", "missing", "extra"]
+    left = left.withColumn("extra", F.col("shared") - (F.col("ref_n") - F.size("missing"))).select(columns)
     while True:
         members = left.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
@@ -265,8 +288,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n_bands: int = BAND
             links = links.unionByName(more)
             components = connected_components(links)
         checked = checked.unionByName(pairs)
-        rest = many.select("key", "node", "n", "shared").join(chosen.select("key", "node"), ["key", "node"], "left_anti")
-        left = _linkable(rest, percent).select("key", "node", "n", "shared")
+        rest = many.select(columns).join(chosen.select("key", "node"), ["key", "node"], "left_anti")
+        left = _linkable(rest, percent).select(columns)
     named = classes.select("digest", "node").join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     found = sets.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(named, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
