@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -74,16 +74,60 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
+#: Ranks below this are a byte of their own; the others are told by their number of bits.
+_FREQUENT = 192
+
+
+def pack_ranks(ranks: np.ndarray) -> bytes:
+    """Ranks by frequency. A rank's byte, the rank itself or the size of what is above it, is
+    compressed; the bits within a size are near to random and are laid out as they are."""
+    over = np.maximum(ranks.astype(np.int64) - _FREQUENT + 1, 1)
+    bits = np.frexp(over.astype(np.float64))[1] - 1
+    symbols = zstandard.ZstdCompressor(level=3).compress(np.where(ranks < _FREQUENT, ranks, _FREQUENT + bits).astype(np.uint8).tobytes())
+    parts = [len(symbols).to_bytes(4, "little"), symbols]
+    rare = ranks >= _FREQUENT
+    for n in range(1, 32):
+        rest = over[rare & (bits == n)] - (1 << n)
+        if len(rest):
+            parts.append(np.packbits(((rest[:, None] >> np.arange(n)) & 1).astype(np.uint8)).tobytes())
+    return b"".join(parts)
+
+
+def unpack_ranks(data: bytes) -> np.ndarray:
+    at = 4 + int.from_bytes(data[:4], "little")
+    ranks = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[4:at]), np.uint8).astype(np.int64)
+    symbols = ranks.copy()
+    for n in range(32):
+        place = np.flatnonzero(symbols == _FREQUENT + n)
+        if len(place):
+            size = -(-len(place) * n // 8)
+            laid = np.unpackbits(np.frombuffer(data[at : at + size], np.uint8))[: len(place) * n].reshape(len(place), n)
+            ranks[place] = (laid.astype(np.int64) << np.arange(n)).sum(1) + (1 << n) - 1 + _FREQUENT
+            at += size
+    return ranks
+
+
 def pack_words(words: list[bytes]) -> bytes:
-    lengths = pack(np.fromiter(map(len, words), np.uint32, len(words)))
-    return len(lengths).to_bytes(4, "little") + lengths + zstandard.ZstdCompressor(level=3).compress(b"".join(words))
+    """Words in order, each as the length of what it shares with the one before, and the rest."""
+    shared, rest, last = [], [], b""
+    for w in words:
+        n = len(commonprefix((last, w)))
+        shared.append(n)
+        rest.append(w[n:])
+        last = w
+    sizes = pack(np.array([shared, [len(r) for r in rest]], np.uint32).reshape(-1))
+    return len(sizes).to_bytes(4, "little") + sizes + zstandard.ZstdCompressor(level=3).compress(b"".join(rest))
 
 
 def unpack_words(data: bytes) -> list[bytes]:
     cut = 4 + int.from_bytes(data[:4], "little")
-    text, at = zstandard.ZstdDecompressor().decompress(data[cut:]), 0
-    ends = list(accumulate(unpack(data[4:cut]).tolist()))
-    return [text[at:end] for at, end in zip([0, *ends], ends)]
+    text, sizes = zstandard.ZstdDecompressor().decompress(data[cut:]), unpack(data[4:cut]).tolist()
+    half, words, last, at = len(sizes) // 2, [], b"", 0
+    for n, more in zip(sizes[:half], sizes[half:]):
+        last = last[:n] + text[at : at + more]
+        at += more
+        words.append(last)
+    return words
 
 
 #: What a chunk's own row holds, next to which there is a row for each bucket of its words.
@@ -108,8 +152,9 @@ def _chunk(place: tuple[int, int], doc_ids: list, lengths: list[int], codes: arr
     rank[order] = np.arange(len(order), dtype=np.int32)
     words = [w.encode() for w in known]
     dealt = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int32, len(words))
-    by_bucket = np.argsort(dealt, kind="stable")
-    packed = pack(rank[numbers])
+    in_order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+    by_bucket = in_order[np.argsort(dealt[in_order], kind="stable")]
+    packed = pack_ranks(rank[numbers])
     chunk = xxhash.xxh3_64_intdigest(repr(place).encode() + packed + b"".join(words)) >> 1
     yield _rows([[chunk % buckets, chunk, None, doc_ids, pack(np.array(lengths, np.uint32)), packed, pack(rank[by_bucket])]], _APART)
     cuts = np.flatnonzero(np.diff(dealt[by_bucket])) + 1
@@ -185,7 +230,7 @@ def _put_together(rows: pa.Table) -> pa.Table:
     flat = np.concatenate([unpack(p[2]) for p in parts] or [np.empty(0, np.uint32)]).astype(np.int32)
     by_code, starts = np.empty_like(counts), np.empty_like(counts)
     by_code[places], starts[places] = counts, np.cumsum(counts) - counts
-    codes, doc_ids = unpack(own[0]["codes"]), own[0]["doc_ids"]
+    codes, doc_ids = unpack_ranks(own[0]["codes"]), own[0]["doc_ids"]
     ends = np.concatenate([[0], np.cumsum(unpack(own[0]["lengths"]).astype(np.int64))])
     pieces, first = [], 0
     while first < len(doc_ids):
