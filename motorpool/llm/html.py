@@ -32,8 +32,6 @@ ASIDE_WORDS = frozenset(
 )
 #: A path is content from this share of the page's mean score, weighted by text.
 THRESHOLD = 0.5
-#: The article is the deepest element with this share of the content paths' text.
-MAJORITY = 0.7
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.DOTALL)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -151,8 +149,9 @@ def article_of(blocks: DataFrame) -> DataFrame:
     2. Both ratios are smoothed over the page's paths in the order in which they begin.
     3. They are fused: text per block, raised by punctuation, lowered by the share of links;
        paths beside the article by their elements' names count for nothing.
-    4. Paths from ``THRESHOLD`` of the page's mean are content, and the deepest element with
-       ``MAJORITY`` of their text is the article.
+    4. Paths from ``THRESHOLD`` of the page's mean are content. The article is the element that
+       holds all of them, or the outermost article or main around that, so no content path and no
+       title or lead beside the body is left out.
     """
     page = ["page_id", "html_hash"]
     seen = blocks.select(*page, F.posexplode("blocks").alias("at", "b")).select(*page, "at", "b.path", "b.aside", "b.chars", "b.marks", "b.linked").filter("NOT aside")
@@ -165,23 +164,27 @@ def article_of(blocks: DataFrame) -> DataFrame:
     fused = smooth.withColumn("score", F.col("text_ratio") * (1 + F.log1p("mark_ratio")) * (1 - F.col("linked") / F.col("chars")))
     whole = W.partitionBy(*page)
     mean = F.sum(F.col("score") * F.col("chars")).over(whole) / F.sum("chars").over(whole)
-    content = fused.withColumn("mean", mean).filter(F.col("score") >= THRESHOLD * F.col("mean")).withColumn("all", F.sum("chars").over(whole))
+    content = fused.withColumn("mean", mean).filter(F.col("score") >= THRESHOLD * F.col("mean"))
     steps = F.split("path", "/")
     # The last step of a path is the block itself, unless the text stands right in its container.
-    prefixes = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(steps, 1, i), "/").alias("prefix")))
-    inner = F.filter(prefixes, lambda p: (p["depth"] < F.size(steps)) | (F.element_at(steps, -1).rlike("^(article|main|body|html|div|section|td)")))
-    held = content.select(*page, "all", "chars", F.inline(inner)).groupBy(*page, "all", "depth", "prefix").agg(F.sum("chars").alias("chars"))
-    enough = held.filter(F.col("chars") >= MAJORITY * F.col("all"))
-    return enough.groupBy(*page).agg(F.max(F.struct("depth", "prefix"))["prefix"].alias("article"))
+    in_container = F.element_at(steps, -1).rlike(r"^(article|main|body|html|div|section|td)(\.|$)")
+    holder = F.when(in_container, steps).otherwise(F.slice(steps, 1, F.size(steps) - 1))
+    # What the first and the last of them in order have in common, all have.
+    held = content.groupBy(*page).agg(F.min(holder).alias("low"), F.max(holder).alias("high"))
+    differ = F.array_position(F.zip_with("low", "high", lambda a, b: a.eqNullSafe(b)), False)
+    common = F.slice("low", 1, F.when(differ == 0, F.size("low")).otherwise(differ - 1).cast("int"))
+    marked = F.array_position(F.transform(common, lambda s: s.rlike(r"^(article|main)(\.|$)")), True)
+    return held.select(*page, F.array_join(F.when(marked > 0, F.slice(common, 1, marked.cast("int"))).otherwise(common), "/").alias("article"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages(page_id, url, html)``: page_id, url, text.
 
     The text is every block inside the article's element but those beside the article by their
-    names, in page order, joined by line ends; white space within a block, line breaks among
-    it, is one space. Pages are read twice, once for their paths and once for their text; the
-    statistics that are shuffled hold no text, and a page is at most one row everywhere.
+    names, in page order; what is outside has a low score or such a name. Blocks are joined by
+    line ends; white space within a block, line breaks among it, is one space. Pages are read
+    twice, once for their paths and once for their text; the statistics that are shuffled hold
+    no text, and a page is at most one row everywhere.
 
     Null and empty html, and pages of nothing but boilerplate, give an empty text. Unclosed
     elements end with what holds them; an unfinished tag or comment at the end is markup. Rows

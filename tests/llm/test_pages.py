@@ -145,6 +145,41 @@ def test_html_of_the_source_pages(spark):
         assert found[r["page_id"]] == "\n".join(filter(None, blocks))
 
 
+def paragraphs(n, first=0):
+    return [f"Paragraph {i}, with a comma; and more words, as it goes. " * 3 for i in range(first, first + n)]
+
+
+def texts_of(spark, pages):
+    rows = [(i, "u", page) for i, page in enumerate(pages)]
+    found = {r["page_id"]: r["text"].split("\n") if r["text"] else [] for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    return [found[i] for i in range(len(rows))]
+
+
+def marked_up(parts):
+    return "".join(f"<p>{x}</p>" for x in parts)
+
+
+def flat(parts):
+    return [" ".join(x.split()) for x in parts]
+
+
+def test_html_keeps_title_lead_and_lesser_sections(spark):
+    many, few = paragraphs(9), paragraphs(3, 9)
+    links = "<div class='more'><a href='/a'>One link</a> <a href='/b'>another link</a></div>"
+    pages = [
+        f"<body><article><h1>Title</h1><p class='lead'>A lead.</p><div class='body'>{marked_up(many)}</div></article></body>",
+        f"<body><main><h1>Title</h1><article><div class='body'>{marked_up(many)}</div></article></main>{links}</body>",
+        f"<body>{links}<div id='x'><section id='a'>{marked_up(many)}</section><section id='b'>{marked_up(few)}</section></div></body>",
+        f"<body><div id='one'>{many[0]}</div><div id='two'>{few[0]}</div></body>",
+        f"<body><div id='one'><p>{many[0]}</p></div>{links}</body>",
+        f"<body>{'<div>' * 300}{marked_up(many)}</body>",
+    ]
+    found = texts_of(spark, pages)
+    assert found[0] == ["Title", "A lead.", *flat(many)] and found[1] == ["Title", *flat(many)]
+    assert found[2] == flat(many + few) and found[3] == flat([many[0], few[0]])
+    assert found[4] == flat(many[:1]) and found[5] == flat(many)
+
+
 TURNS = "conv_id long, turn long, role string, text string, part long, speaker string"
 
 
