@@ -20,6 +20,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
+#: What a head may hold; anything else ends it. Elements that end a drawing or formula they start in,
+#: and those inside which they do not.
+HEAD = frozenset("head html title meta link base style script noscript template".split())
+BREAKS = frozenset("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 hr li menu ol p pre table ul article main section".split())
+HOLDS = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 #: An element that ends when a like one starts, within the nearest of its containers.
 ENDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 LIKE = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
@@ -46,11 +51,12 @@ class _Page:
         self.open: list[tuple[str, str, bool]] = []  # element, its step in the path, whether it is beside the article
         self.parts: list[str] = []
         self.linked = self.links = 0
+        self.inline: dict[str, int] = {}  # open elements inside the line, by name
+        self.hidden: list[str] = []  # the open element that hides its text, and those open in it
         self.blocks: list[dict] = []
-        at, hidden = 0, 0
+        at = 0
         while m := _TAG.search(text, at):
-            if not hidden:
-                self.add(text[at : m.start()])
+            self.add(text[at : m.start()])
             at = m.end()
             name = (m[2] or m[5] or "").lower()
             closes = bool(m[1] or m[4])
@@ -59,16 +65,62 @@ class _Page:
             if name in RAW and not closes:
                 end = re.compile(rf"</{name}\b[^>]*>?", re.IGNORECASE).search(text, at)
                 at = end.end() if end else len(text)
-            elif name in HIDDEN:
-                hidden = max(0, hidden + (-1 if closes else 1))
-            elif not hidden:
-                self.close(name) if closes else self.start(name, m[3] or m[6] or "")
-        if not hidden:
-            self.add(text[at:])
+            elif closes:
+                self.hides_end(name) or self.close(name)
+            else:
+                attributes = m[3] or m[6] or ""
+                self.hides_start(name, attributes.endswith("/")) or self.start(name, attributes)
+        self.add(text[at:])
         self.flush()
 
+    def hides_start(self, name: str, empty: bool) -> bool:
+        """Whether an element that starts is hidden; a hidden one that cannot hold it ends."""
+        hidden = self.hidden
+        if not hidden and name not in HIDDEN:
+            return False
+        if hidden:
+            first = hidden[0]
+            if first == "head":
+                in_title = name in INLINE and hidden[-1] == "title"
+                ends = name == "body" or (name not in HEAD and not in_title and HIDDEN.isdisjoint(hidden[1:]))
+            elif first in ("svg", "math"):
+                ends = name in BREAKS and HOLDS.isdisjoint(hidden)
+            else:
+                ends = False
+            # A row, cell or item ends the like one before it, with what that has left open.
+            if name in ENDS and first not in ("template", "noscript") and not ends:
+                ends = set(ENDS[name]).isdisjoint(hidden) and self.find(LIKE.get(name, (name,)), ENDS[name]) >= 0
+            if ends:
+                hidden.clear()
+                return self.hides_start(name, empty)
+        if name in VOID or (empty and (name in HIDDEN or hidden[0] in ("svg", "math"))):
+            return True
+        if name == "select" and hidden and "select" in hidden:  # a select in a select is its end
+            self.hides_end(name)
+            return True
+        if name == "option" and hidden and hidden[-1] == "option":
+            hidden.pop()
+        hidden.append(name)
+        return True
+
+    def hides_end(self, name: str) -> bool:
+        """Whether an end tag is of a hidden element; that of an element around it ends it too."""
+        hidden = self.hidden
+        if not hidden:
+            return name in HIDDEN
+        for i in range(len(hidden) - 1, -1, -1):
+            if hidden[i] == name:
+                del hidden[i:]
+                return True
+        if name in HIDDEN or not (self.inline.get(name) if name in INLINE else self.find((name,), ()) >= 0):
+            return True
+        hidden.clear()
+        return False
+
     def add(self, text: str) -> None:
-        if text:
+        if self.hidden == ["head"] and text.strip():
+            self.hidden.clear()
+        if text and not self.hidden:
             self.parts.append(text)
             self.linked += len(text) * bool(self.links)
 
@@ -88,9 +140,11 @@ class _Page:
             self.parts.append(" ")
         elif name in INLINE:
             self.links += name == "a"
+            self.inline[name] = self.inline.get(name, 0) + 1
         elif name not in VOID:
             self.flush()
             self.links = 0
+            self.inline.clear()
             if self.open and self.open[-1][0] == "p":
                 self.open.pop()
             if name in ENDS:
@@ -105,19 +159,27 @@ class _Page:
     def close(self, name: str) -> None:
         if name in INLINE:
             self.links = max(0, self.links - (name == "a"))
+            self.inline[name] = max(0, self.inline.get(name, 0) - 1)
         else:
             self.flush()
             self.links = 0
+            self.inline.clear()
             self.pop((name,), ())
 
-    def pop(self, names: tuple, within: tuple) -> None:
-        """Ends the innermost open element of these names, with all inside it."""
+    def find(self, names: tuple, within: tuple) -> int:
+        """Where the innermost open element of these names is, or -1."""
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] in names:
-                del self.open[i:]
-                return
+                return i
             if self.open[i][0] in within:
-                return
+                break
+        return -1
+
+    def pop(self, names: tuple, within: tuple) -> None:
+        """Ends the innermost open element of these names, with all inside it."""
+        i = self.find(names, within)
+        if i >= 0:
+            del self.open[i:]
 
 
 _BLOCK = pa.struct([("path", pa.string()), ("aside", pa.bool_()), ("text", pa.string()), ("chars", pa.int64()), ("marks", pa.int64()), ("linked", pa.int64())])
@@ -187,7 +249,8 @@ def extract(pages: DataFrame) -> DataFrame:
     no text, and a page is at most one row everywhere.
 
     Null and empty html, and pages of nothing but boilerplate, give an empty text. Unclosed
-    elements end with what holds them; an unfinished tag or comment at the end is markup. Rows
+    elements, hidden ones among them, end with what holds them, and a hidden one that ends in
+    ``/>`` at once; an unfinished tag or comment at the end is markup. Rows
     that repeat a page are alike and returned each; a null page_id is kept; an empty table gives
     an empty result; other columns are not read.
     """

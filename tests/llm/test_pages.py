@@ -180,6 +180,33 @@ def test_html_keeps_title_lead_and_lesser_sections(spark):
     assert found[4] == flat(many[:1]) and found[5] == flat(many)
 
 
+def test_html_hidden_elements_end_without_an_end_tag(spark):
+    said = paragraphs(4)
+    body = marked_up(said)
+    rest = [
+        f"<body><div><select><option>A<option>B</select></div>{body}",
+        f"<body><div><select><optgroup label=x><option>A<option>B</div>{body}",
+        f"<body><datalist><option>A<option>B</datalist>{body}",
+        *(f"<body><{x}/>{body}" for x in ("svg", "iframe src='a'", "object", "canvas", "math", "video")),
+        f"<head><meta charset='x'><title>T</title><noscript><p>none</p></noscript><body>{body}",
+        f"<head><title>T</title><link rel=x>{body}",
+        f"<head><title>T</title><svg><path d='M0'/></svg>{body}",
+        f"<head><title>T <b>bold</b></title></head>{body}",
+        f"<body><div><svg><g><path d='M0'></div>{body}",
+        f"<body><div><span><iframe></span></div>{body}",
+        f"<body><svg><circle r=1>{body}",
+        f"<body><svg><foreignObject><p>drawn</p></foreignObject></svg>{body}",
+        f"<body><div><template><div>no</div><li>no</template></div>{body}",
+        f"<body><noscript><div>no</div><p>no</noscript>{body}",
+        f"<body></option></select></svg>{body}",
+    ]
+    assert texts_of(spark, rest) == [flat(said)] * len(rest)
+    head = f"<head><title>T</title>{said[0]}<p>{said[1]}"
+    items = f"<body><ul><li>{said[0]}<object>no<li>{said[1]}</ul>"
+    line = f"<body><p>{said[0]}<b><svg></b>{said[1]}</p>"
+    assert texts_of(spark, [head, items, line]) == [flat(said[:2]), flat(said[:2]), flat([said[0] + said[1]])]
+
+
 TURNS = "conv_id long, turn long, role string, text string, part long, speaker string"
 
 
