@@ -44,11 +44,23 @@ _WORD = re.compile(r"[a-z0-9]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，]")
 
 
+class _Mark:
+    """What an element holds whose names say that it is beside the article."""
+
+    __slots__ = ("plain", "holds")
+
+    def __init__(self):
+        self.plain, self.holds = 0, False
+
+
 class _Page:
     """Blocks of one page in order, each with the path of elements it stands in."""
 
     def __init__(self, text: str):
-        self.open: list[tuple[str, str, bool]] = []  # element, its step in the path, whether it is beside the article
+        # Element, its step in the path, and whether it is beside the article: by its element, or a
+        # mark where only its names say so.
+        self.open: list[tuple[str, str, bool | _Mark]] = []
+        self.articles: list[list[_Mark]] = []  # the marks around each article and main
         self.parts: list[str] = []
         self.linked = self.links = 0
         self.inline: dict[str, int] = {}  # open elements inside the line, by name
@@ -72,6 +84,23 @@ class _Page:
                 self.hides_start(name, attributes.endswith("/")) or self.start(name, attributes)
         self.add(text[at:])
         self.flush()
+        self.judge()
+
+    def judge(self) -> None:
+        """Marks that names gave go from what holds an article or main, of those with the fewest
+        marks around them, or most of the page's text that is no link."""
+        plain = [b["chars"] - b["linked"] for b in self.blocks]
+        for block, n in zip(self.blocks, plain):
+            for mark in block["aside"]:
+                if mark is not True:
+                    mark.plain += n
+        fewest = min(map(len, self.articles), default=0)
+        for marks in self.articles:
+            for mark in marks if len(marks) == fewest else ():
+                mark.holds = True
+        total = sum(plain)
+        for block in self.blocks:
+            block["aside"] = any(mark is True or not (mark.holds or 2 * mark.plain > total) for mark in block["aside"])
 
     def hides_start(self, name: str, empty: bool) -> bool:
         """Whether an element that starts is hidden; a hidden one that cannot hold it ends."""
@@ -130,7 +159,7 @@ class _Page:
         if text:
             steps = [step for _, step, _ in self.open]
             self.blocks.append({
-                "path": "/".join(steps), "aside": any(a for _, _, a in self.open), "text": text,
+                "path": "/".join(steps), "aside": [a for _, _, a in self.open if a], "text": text,
                 "chars": len(text), "marks": len(_PUNCTUATION.findall(text)), "linked": min(self.linked, len(text)),
             })
         self.parts, self.linked = [], 0
@@ -151,7 +180,14 @@ class _Page:
                 self.pop(LIKE.get(name, (name,)), ENDS[name])
             words = sorted({w for m in _NAMES.finditer(attributes) for w in _WORD.findall("".join(filter(None, m.groups())).lower())})
             inside = any(n in ("article", "main") for n, _, _ in self.open)
-            aside = name in ASIDE or (name == "header" and not inside) or (name not in ("html", "body", "article", "main") and not ASIDE_WORDS.isdisjoint(words))
+            named = not ASIDE_WORDS.isdisjoint(words)
+            aside = name in ASIDE or (name == "header" and not inside)
+            if name in ("article", "main"):
+                around = [a for _, _, a in self.open if a]
+                if not named and True not in around:
+                    self.articles.append(around)
+            elif named and not aside and name not in ("html", "body"):
+                aside = _Mark()
             self.open.append((name, ".".join([name, *words]), aside))
         else:
             self.flush()
@@ -248,6 +284,9 @@ def extract(pages: DataFrame) -> DataFrame:
     twice, once for their paths and once for their text; the statistics that are shuffled hold
     no text, and a page is at most one row everywhere.
 
+    A name puts an element beside the article unless it holds an article or main, or most of the
+    page's text that is no link: then the name tells of something else, as ``has-sidebar`` does.
+
     Null and empty html, and pages of nothing but boilerplate, give an empty text. Unclosed
     elements, hidden ones among them, end with what holds them, and a hidden one that ends in
     ``/>`` at once; an unfinished tag or comment at the end is markup. Rows

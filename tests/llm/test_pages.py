@@ -207,6 +207,21 @@ def test_html_hidden_elements_end_without_an_end_tag(spark):
     assert texts_of(spark, [head, items, line]) == [flat(said[:2]), flat(said[:2]), flat([said[0] + said[1]])]
 
 
+def test_html_names_of_wrappers_do_not_hide_the_article(spark):
+    said, other = paragraphs(5), f"<p>{paragraphs(1, 9)[0]}</p>"
+    body = marked_up(said)
+    wrappers = ("class='content has-sidebar'", "class=no-sidebar", "class='with-banner'", "class='comment-enabled'", "id='share-price'")
+    side = f"<div class='sidebar'>{other}</div>"
+    pages = [f"<body><div {w}>{body}{side}</div></body>" for w in wrappers]
+    pages += [f"<body><div {w}><article>{body}</article>{side}</div></body>" for w in wrappers]
+    pages += [f"<body><div class='has-sidebar'><main><section class='with-banner'>{body}</section></main></div>{side}</body>"]
+    long = f"<div class='comments'>{''.join(f'<article class=comment-body>{other}</article>' for _ in range(4))}</div>"
+    pages += [f"<body><div class='no-sidebar'><article>{body}</article></div><nav class='menu'>{other * 20}</nav></body>"]
+    pages += [f"<body><article>{body}</article>{long}</body>", f"<body class='has-sidebar'><div class='has-sidebar'><article>{body}</article>{long}</div></body>"]
+    assert texts_of(spark, pages) == [flat(said)] * len(pages)
+    assert texts_of(spark, [f"<body><p>{said[0]}</p><div class='cookie-notice'><p>short, yes.</p></div></body>"]) == [flat(said[:1])]
+
+
 TURNS = "conv_id long, turn long, role string, text string, part long, speaker string"
 
 
