@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import operator
 import re
+from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
@@ -18,15 +19,18 @@ from pyspark.sql import functions as F
 
 from motorpool.llm.common import map_texts
 from motorpool.llm.license import words as plain_words
+from motorpool.session import materialise
 
 #: Documents, picked by a hash of their id, that the scorer is trained on (about; a sample).
 TRAIN_ROWS = 12_000
-#: Annotated documents, picked likewise, from which words of toxic texts are mined (about), and
-#: the words kept at most, the most telling first.
-MINE_ROWS, MINED_WORDS = 20_000, 5_000
-#: A mined word is in this many toxic texts and stands there between as many pairs of neighbours, so
-#: that copies of one text count once; and its share of toxic texts is this many times that of others.
-MINED_TEXTS, MINED_LIFT = 4, 20
+#: A mined word's share of toxic texts is this many times that of others, and so large a share of the
+#: texts that hold it is toxic by chance this rarely. A text counts there only as far as the word
+#: stands between other neighbours, so that copies of one text count once.
+MINED_LIFT, MINED_CHANCE = 20, 1e-3
+#: Mined words of up to this many bytes, ``WORD_BYTES`` more for each, go to every task; more are joined.
+MINED_BYTES, WORD_BYTES = 8 << 20, 64
+#: Bits, a power of two, of the map that keeps texts without an annotation out of the shuffle.
+MAP_BITS = 1 << 25
 #: Hashed features, a power of two; the weights go to every task.
 FEATURES = 1 << 18
 EM_ROUNDS, FIT_ROUNDS, RATE, SHRINK, WORD = 60, 150, 0.1, 2e-5, 0.3
@@ -189,7 +193,8 @@ def fit(features: np.ndarray, lengths: np.ndarray, target: np.ndarray, size: int
     return full
 
 
-_WORDS = pa.schema([("word", pa.binary()), ("place", pa.int64())])
+_WORDS = pa.schema([("word", pa.binary()), ("place", pa.int64()), ("n", pa.int64())])
+_HELD = pa.schema([("digest", pa.string()), ("word", pa.binary())])
 _VOTES = pa.schema([("doc_id", pa.int64()), ("votes", pa.string())])
 _SAMPLE = pa.schema([("doc_id", pa.int64()), ("votes", pa.string()), ("features", pa.list_(pa.int32()))])
 _SCORED = pa.schema([("doc_id", pa.int64()), ("votes", pa.string()), ("score", pa.float64())])
@@ -215,55 +220,103 @@ def picked(doc_id: Column, share: float) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30)))
 
 
-def mine(docs: DataFrame, labels: DataFrame, rows: int = MINE_ROWS, most: int = MINED_WORDS) -> frozenset:
-    """Words that mark toxic texts, by their counts in about ``rows`` annotated documents."""
+def _maybe_named(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """``docs`` without most rows whose id is not in ``named``, by a bit map of bounded size."""
+
+    def place(doc_id: Column) -> tuple[Column, Column]:
+        bit = F.pmod(F.xxhash64(doc_id), F.lit(MAP_BITS))
+        return F.shiftright(bit, 6), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
+
+    slot, bit = place(F.col("doc_id"))
+    bits = named.select(slot.alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    found = docs.filter("doc_id IS NOT NULL").join(F.broadcast(bits), slot == F.col("slot"))
+    return found.filter(F.col("bits").bitwiseAND(bit) != 0).drop("slot", "bits")
+
+
+def telling_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(word)``: words that mark toxic texts, by their counts in all annotated documents."""
     named = _by_document(labels).select("doc_id", "toxic")
-    sample = named.filter(picked(F.col("doc_id"), rows / max(1, named.count())))
-    totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    totals = {r["toxic"]: r["count"] for r in named.groupBy("toxic").count().collect()}
     toxic, others = totals.get(1, 0), totals.get(0, 0)
 
     def word_rows(columns: list[list]) -> Iterable[tuple]:
+        counts: Counter = Counter()
         for is_toxic, text in zip(*columns):
             tokens = plain_words(text)
             if is_toxic:
                 around = [b"", *tokens, b""]
-                yield from {(w, xxhash.xxh3_64_intdigest(a + b" " + b) >> 1) for a, w, b in zip(around, tokens, around[2:])}
-                yield from ((w, -1) for w in set(tokens))
+                counts.update({(w, xxhash.xxh3_64_intdigest(a + b" " + b) >> 1) for a, w, b in zip(around, tokens, around[2:])})
+                counts.update((w, -1) for w in set(tokens))
             else:
-                yield from ((w, None) for w in set(tokens))
+                counts.update((w, None) for w in set(tokens))
+        return ((w, place, n) for (w, place), n in counts.items())
 
-    texts = docs.join(sample, "doc_id").select("toxic", "text")
-    places = map_texts(texts, word_rows, _WORDS).groupBy("word", "place").agg(F.count(F.lit(1)).alias("n"))
+    texts = _maybe_named(docs, named).join(named, "doc_id").select("toxic", "text")
+    places = map_texts(texts, word_rows, _WORDS).groupBy("word", "place").agg(F.sum("n").alias("n"))
     counts = places.groupBy("word").agg(
         F.count_if(F.col("place") >= 0).alias("places"),
         F.sum(F.when(F.col("place") == -1, F.col("n")).otherwise(0)).alias("t"),
         F.sum(F.when(F.col("place").isNull(), F.col("n")).otherwise(0)).alias("c"),
     )
     lift = (F.col("t") / (toxic + 1)) / ((F.col("c") + 0.5) / (others + 1))
-    telling = counts.filter((F.least("places", "t") >= MINED_TEXTS) & (lift >= MINED_LIFT)).orderBy(F.desc("t"), "word").limit(most)
-    return frozenset(bytes(r["word"]) for r in telling.collect())
+    # Chernoff's bound on the chance of so many toxic texts among those with the word.
+    base = min(max(toxic / max(1, toxic + others), 1e-9), 1 - 1e-9)
+    hits = F.least("places", "t")
+    share = hits / (hits + F.col("c"))
+    away = F.when(F.col("c") > 0, F.col("c") * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    chance = F.exp(-(hits * F.log(share / base) + away))
+    return counts.filter((hits > 0) & (share > base) & (lift >= MINED_LIFT) & (chance <= MINED_CHANCE)).select("word")
+
+
+def mine(docs: DataFrame, labels: DataFrame) -> frozenset | DataFrame:
+    """The telling words: a set where it is small enough for every task, or else a table."""
+    words = materialise(telling_words(docs, labels), "mined-words")
+    size = words.agg(F.sum(F.octet_length("word") + WORD_BYTES).alias("size")).first()["size"] or 0
+    return words if size > MINED_BYTES else frozenset(bytes(r["word"]) for r in words.collect())
+
+
+def _with_mined(docs: DataFrame, mined: frozenset | DataFrame) -> DataFrame:
+    """``docs(doc_id, text)``, and where the mined words are a table those that each text holds."""
+    docs = docs.select("doc_id", "text")
+    if isinstance(mined, frozenset):
+        return docs
+
+    def held(columns: list[list]) -> Iterable[tuple]:
+        for digest, text in zip(*columns):
+            yield from ((digest, w) for w in set(plain_words(text)))
+
+    keyed = docs.withColumn("digest", F.coalesce(F.sha2("text", 256), F.lit("")))
+    hits = map_texts(keyed.select("digest", "text"), held, _HELD).join(mined, "word").groupBy("digest").agg(F.collect_set("word").alias("held"))
+    return keyed.join(hits, "digest", "left").select("doc_id", "text", F.coalesce("held", F.array().cast("array<binary>")).alias("held"))
+
+
+def _judged(columns: list[list], mined: frozenset) -> Iterable[tuple]:
+    """Each text's id, signals and plain words."""
+    for doc_id, text, *held in zip(*columns):
+        yield doc_id, *signals(text, frozenset(held[0]) if held else mined)
 
 
 class Model:
     """What scoring needs: mined words and the scorer's weights; and the labellers' accuracies."""
 
-    def __init__(self, mined: frozenset = frozenset(), weights: np.ndarray | None = None, accuracy: dict[str, float] | None = None):
+    def __init__(self, mined: frozenset | DataFrame = frozenset(), weights: np.ndarray | None = None, accuracy: dict[str, float] | None = None):
         self.mined, self.accuracy = mined, accuracy or {}
         self.weights = np.zeros(FEATURES + 1, np.float32) if weights is None else weights
 
 
-def train(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = TRAIN_ROWS, mine_rows: int = MINE_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = TRAIN_ROWS) -> Model:
     """The labellers vote on every document; what comes to the driver is the count of each
     pattern of votes, of which there are at most 3 to the number of labellers at any size. The
     scorer is then fitted on about ``train_rows`` documents, picked by a hash of their id.
     """
-    mined = mine(docs, labels, mine_rows) if labels is not None else frozenset()
+    mined = mine(docs, labels) if labels is not None else frozenset()
+    everywhere = mined if isinstance(mined, frozenset) else frozenset()
 
     def vote_rows(columns: list[list]) -> Iterable[tuple]:
-        for doc_id, text in zip(*columns):
-            yield doc_id, votes(signals(text, mined)[0])
+        for doc_id, values, _ in _judged(columns, everywhere):
+            yield doc_id, votes(values)
 
-    counted = _annotated(map_texts(docs, vote_rows, _VOTES), labels).groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()
+    counted = _annotated(map_texts(_with_mined(docs, mined), vote_rows, _VOTES), labels).groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()
     total = sum(r["n"] for r in counted)
     good, accuracy = dict.fromkeys((r["votes"] for r in counted), 1.0), {}
     for concern in CONCERNS:
@@ -284,12 +337,11 @@ def train(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = TR
     hasher = Hasher()
 
     def sample_rows(columns: list[list]) -> Iterable[tuple]:
-        for doc_id, text in zip(*columns):
-            values, tokens = signals(text, mined)
+        for doc_id, values, tokens in _judged(columns, everywhere):
             yield doc_id, votes(values), hasher.features(values, tokens)
 
     chosen = docs.filter(picked(F.col("doc_id"), train_rows / max(1, total)))
-    sample = _annotated(map_texts(chosen, sample_rows, _SAMPLE), labels).toArrow().sort_by([("doc_id", "ascending"), ("votes", "ascending")])
+    sample = _annotated(map_texts(_with_mined(chosen, mined), sample_rows, _SAMPLE), labels).toArrow().sort_by([("doc_id", "ascending"), ("votes", "ascending")])
     if not sample.num_rows:
         return Model(mined, accuracy=accuracy)
     lists = sample.column("features").combine_chunks()
@@ -299,17 +351,17 @@ def train(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = TR
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, votes, score)``; score is the scorer's probability that the text is good."""
-    shared, hasher = docs.sparkSession.sparkContext.broadcast((model.mined, model.weights)), Hasher()
+    everywhere = model.mined if isinstance(model.mined, frozenset) else frozenset()
+    shared, hasher = docs.sparkSession.sparkContext.broadcast((everywhere, model.weights)), Hasher()
 
     def rows(columns: list[list]) -> Iterable[tuple]:
         mined, w = shared.value
-        for doc_id, text in zip(*columns):
-            values, tokens = signals(text, mined)
+        for doc_id, values, tokens in _judged(columns, mined):
             at = hasher.features(values, tokens)
             z = WORD * float(w[at[: -len(RULES)]].sum()) + float(w[at[-len(RULES) :]].sum()) + float(w[-1])
             yield doc_id, votes(values), round(float(1 / (1 + np.exp(-np.clip(z, -60, 60)))), 6)
 
-    return map_texts(docs, rows, _SCORED)
+    return map_texts(_with_mined(docs, model.mined), rows, _SCORED)
 
 
 def classify(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = TRAIN_ROWS, keep: float = KEEP) -> DataFrame:

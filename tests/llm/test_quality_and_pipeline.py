@@ -55,6 +55,27 @@ def test_without_labels_junk_is_still_found(spark):
     assert shares[0] < 0.1 and shares[1] > 0.8
 
 
+def test_rare_words_of_toxic_texts_are_mined_from_all_annotated(spark):
+    """A word in one of 1,400 toxic texts, five texts of 7,000, beside 53,000 others."""
+    toxic = F.col("id") < 7000
+    text = F.when(toxic, F.concat(F.lit("a"), "id", F.lit(" rare"), F.col("id") % 1400, F.lit(" b"), "id")).otherwise(F.concat(F.lit("plain c"), "id"))
+    rows = spark.range(60_000)
+    docs = rows.select(F.col("id").alias("doc_id"), text.alias("text"))
+    labels = rows.select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), toxic.cast("int").alias("toxic"))
+    assert quality.mine(docs, labels) == {f"rare{i}".encode() for i in range(1400)}
+    copies = docs.withColumn("text", F.when(F.col("doc_id") < 7000, "one text often repeated").otherwise(F.col("text")))
+    assert quality.mine(copies, labels) == frozenset()
+
+
+def test_joined_words_give_what_words_in_every_task_give(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{SMALL_001}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.union(docs.limit(3)).union(docs.limit(1).withColumn("text", F.lit(None).cast("string")))
+    expected = sorted(map(tuple, quality.classify(docs, labels).collect()))
+    monkeypatch.setattr(quality, "MINED_BYTES", 0)
+    assert not isinstance(quality.mine(docs, labels), frozenset)
+    assert sorted(map(tuple, quality.classify(docs, labels).collect())) == expected
+
+
 def test_classifier_edges(spark, make_docs):
     rows = [(1, None), (2, ""), (None, "a text"), (3, "!!! ### $$$ " * 50_000), (4, "it is the same"), (4, "it is the same")]
     labels = spark.createDataFrame([(1, None, None), (None, 0, 1), (1, 1, 0), (1, 1, 0), (99, 0, 0)], LABELS)
