@@ -21,7 +21,7 @@ from motorpool.llm.common import map_texts
 from motorpool.llm.license import words as plain_words
 from motorpool.session import materialise
 
-#: Documents, picked by a hash of their id, that the scorer is trained on (about; a sample).
+#: Documents, picked by a hash of id and text, that the scorer is trained on (about; a sample).
 TRAIN_ROWS = 12_000
 #: A mined word's share of toxic texts is this many times that of others, and so large a share of the
 #: texts that hold it is toxic by chance this rarely. A text counts there only as far as the word
@@ -167,9 +167,9 @@ def accuracies(table: np.ndarray, prior_good: float) -> np.ndarray:
     return right / (right + wrong)
 
 
-def fit(features: np.ndarray, lengths: np.ndarray, target: np.ndarray, size: int = FEATURES, rounds: int = FIT_ROUNDS) -> np.ndarray:
+def fit(features: np.ndarray, lengths: np.ndarray, target: np.ndarray, copies: np.ndarray, size: int = FEATURES, rounds: int = FIT_ROUNDS) -> np.ndarray:
     """Weights of a logistic scorer, the last one its offset, by Adam on the whole sample: the
-    texts' features one after another, and how many each has."""
+    texts' features one after another, how many each has, and how often each text counts."""
     ends = np.cumsum(lengths)
     starts = ends - lengths
     used, at = np.unique(features, return_inverse=True)
@@ -178,13 +178,13 @@ def fit(features: np.ndarray, lengths: np.ndarray, target: np.ndarray, size: int
     for signal in range(1, len(RULES) + 1):
         x[ends - signal] = 1
     # Both classes weigh the same, whatever their shares.
-    share = np.clip(target.mean(), 1e-6, 1 - 1e-6)
-    weight = target * 0.5 / share + (1 - target) * 0.5 / (1 - share)
+    share = np.clip(np.average(target, weights=copies), 1e-6, 1 - 1e-6)
+    weight = copies * (target * 0.5 / share + (1 - target) * 0.5 / (1 - share))
     w = np.zeros(len(used) + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
         z = np.add.reduceat(w[at] * x, starts) + w[-1]
-        error = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - target) / len(target)
+        error = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - target) / copies.sum()
         g = np.append(np.bincount(at, error[row] * x, len(used)) + SHRINK * w[:-1], error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
@@ -196,7 +196,7 @@ def fit(features: np.ndarray, lengths: np.ndarray, target: np.ndarray, size: int
 _WORDS = pa.schema([("word", pa.binary()), ("place", pa.int64()), ("n", pa.int64())])
 _HELD = pa.schema([("digest", pa.string()), ("word", pa.binary())])
 _VOTES = pa.schema([("doc_id", pa.int64()), ("votes", pa.string())])
-_SAMPLE = pa.schema([("doc_id", pa.int64()), ("votes", pa.string()), ("features", pa.list_(pa.int32()))])
+_SAMPLE = pa.schema([("doc_id", pa.int64()), ("votes", pa.string()), ("features", pa.list_(pa.int32())), ("copies", pa.int64())])
 _SCORED = pa.schema([("doc_id", pa.int64()), ("votes", pa.string()), ("score", pa.float64())])
 
 
@@ -216,8 +216,17 @@ def _annotated(df: DataFrame, labels: DataFrame | None) -> DataFrame:
     return df.join(said, "doc_id", "left").withColumn("votes", F.concat("votes", F.coalesce("said", silent))).drop("said")
 
 
-def picked(doc_id: Column, share: float) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30)))
+def sampled(docs: DataFrame, rows: int, total: int) -> DataFrame:
+    """``(doc_id, text, copies)``: about ``rows`` of the ``total`` rows, picked by a hash of id and
+    text. Equal rows are one row that says how many of them are picked, at the same rate as others.
+    """
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
+    lot = F.pmod(F.col("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    copies = F.floor(F.count(F.lit(1)) * min(1.0, rows / max(1, total)) + lot)
+    # These are about ``rows`` at most, whatever the table.
+    chosen = keyed.groupBy("key").agg(copies.alias("copies")).filter("copies > 0")
+    one = keyed.join(F.broadcast(chosen), "key").groupBy("key", "copies")
+    return one.agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")).select("doc_id", "text", "copies")
 
 
 def _maybe_named(docs: DataFrame, named: DataFrame) -> DataFrame:
@@ -275,9 +284,9 @@ def mine(docs: DataFrame, labels: DataFrame) -> frozenset | DataFrame:
     return words if size > MINED_BYTES else frozenset(bytes(r["word"]) for r in words.collect())
 
 
-def _with_mined(docs: DataFrame, mined: frozenset | DataFrame) -> DataFrame:
-    """``docs(doc_id, text)``, and where the mined words are a table those that each text holds."""
-    docs = docs.select("doc_id", "text")
+def _with_mined(docs: DataFrame, mined: frozenset | DataFrame, *more: str) -> DataFrame:
+    """``docs(doc_id, text)`` and ``more``, and where the mined words are a table those that each text holds."""
+    docs = docs.select("doc_id", "text", *more)
     if isinstance(mined, frozenset):
         return docs
 
@@ -287,7 +296,7 @@ def _with_mined(docs: DataFrame, mined: frozenset | DataFrame) -> DataFrame:
 
     keyed = docs.withColumn("digest", F.coalesce(F.sha2("text", 256), F.lit("")))
     hits = map_texts(keyed.select("digest", "text"), held, _HELD).join(mined, "word").groupBy("digest").agg(F.collect_set("word").alias("held"))
-    return keyed.join(hits, "digest", "left").select("doc_id", "text", F.coalesce("held", F.array().cast("array<binary>")).alias("held"))
+    return keyed.join(hits, "digest", "left").select("doc_id", "text", *more, F.coalesce("held", F.array().cast("array<binary>")).alias("held"))
 
 
 def _judged(columns: list[list], mined: frozenset) -> Iterable[tuple]:
@@ -307,7 +316,7 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = TRAIN_ROWS) -> Model:
     """The labellers vote on every document; what comes to the driver is the count of each
     pattern of votes, of which there are at most 3 to the number of labellers at any size. The
-    scorer is then fitted on about ``train_rows`` documents, picked by a hash of their id.
+    scorer is then fitted on about ``train_rows`` documents, picked by a hash of id and text.
     """
     mined = mine(docs, labels) if labels is not None else frozenset()
     everywhere = mined if isinstance(mined, frozenset) else frozenset()
@@ -337,16 +346,17 @@ def train(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = TR
     hasher = Hasher()
 
     def sample_rows(columns: list[list]) -> Iterable[tuple]:
-        for doc_id, values, tokens in _judged(columns, everywhere):
-            yield doc_id, votes(values), hasher.features(values, tokens)
+        doc_ids, texts, copies, *held = columns
+        for n, (doc_id, values, tokens) in zip(copies, _judged([doc_ids, texts, *held], everywhere)):
+            yield doc_id, votes(values), hasher.features(values, tokens), n
 
-    chosen = docs.filter(picked(F.col("doc_id"), train_rows / max(1, total)))
-    sample = _annotated(map_texts(_with_mined(chosen, mined), sample_rows, _SAMPLE), labels).toArrow().sort_by([("doc_id", "ascending"), ("votes", "ascending")])
+    chosen = _with_mined(sampled(docs, train_rows, total), mined, "copies")
+    sample = _annotated(map_texts(chosen, sample_rows, _SAMPLE), labels).toArrow().sort_by([("doc_id", "ascending"), ("votes", "ascending")])
     if not sample.num_rows:
         return Model(mined, accuracy=accuracy)
     lists = sample.column("features").combine_chunks()
     target = np.array([good.get(p, 0.5) for p in sample.column("votes").to_pylist()])
-    return Model(mined, fit(lists.flatten().to_numpy(), lists.value_lengths().to_numpy(), target), accuracy)
+    return Model(mined, fit(lists.flatten().to_numpy(), lists.value_lengths().to_numpy(), target, sample.column("copies").to_numpy()), accuracy)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:

@@ -76,6 +76,17 @@ def test_joined_words_give_what_words_in_every_task_give(spark, monkeypatch):
     assert sorted(map(tuple, quality.classify(docs, labels).collect())) == expected
 
 
+def test_sample_of_rows_without_an_id_and_of_equal_rows(spark):
+    n = F.col("id")
+    doc_id = F.when(n % 4 == 0, None).when(n % 4 == 1, F.lit(7)).otherwise(n)
+    docs = spark.range(40_000).select(doc_id.cast("long").alias("doc_id"), F.when(n % 8 < 2, "same").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    found = quality.sampled(docs, 1000, 40_000).collect()
+    assert len(found) < 1000 and 850 < sum(r["copies"] for r in found) < 1150
+    assert {r["doc_id"]: r["copies"] for r in found if r["text"] == "same"} == {None: pytest.approx(125, abs=1), 7: pytest.approx(125, abs=1)}
+    for same_id in (None, 7):
+        assert 80 < sum(r["doc_id"] == same_id and r["text"] != "same" for r in found) < 170
+
+
 def test_classifier_edges(spark, make_docs):
     rows = [(1, None), (2, ""), (None, "a text"), (3, "!!! ### $$$ " * 50_000), (4, "it is the same"), (4, "it is the same")]
     labels = spark.createDataFrame([(1, None, None), (None, 0, 1), (1, 1, 0), (1, 1, 0), (99, 0, 0)], LABELS)
