@@ -139,8 +139,8 @@ def _compared(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> D
 
     def run(columns: list[list]) -> Iterable[tuple]:
         for a, b, text_a, text_b in zip(*columns):
-            if last[0] != a or last[1] is None:
-                last[:] = [a, shingler.set(text_a)]
+            if last[0] != (a, text_a):
+                last[:] = [(a, text_a), shingler.set(text_a)]
             one, other = last[1], shingler.set(text_b)
             missing = np.setdiff1d(one, other, assume_unique=True)
             both = len(one) - len(missing)
@@ -159,7 +159,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> D
 _SHINGLES = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
-def _shared_sizes(texts: DataFrame, words: int) -> DataFrame:
+def shared_sizes(texts: DataFrame, words: int) -> DataFrame:
     """``(node, alone)``: how many of a node's shingles no other node has.
 
     They cannot be in an intersection, which bounds what a node can be linked to without
@@ -217,37 +217,18 @@ def _pairs(members: DataFrame, others: DataFrame, percent: int) -> DataFrame:
     return x.join(y, wanted).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, n_bands: int = BANDS, rows: int = ROWS, words: int = WORDS, small: int = SMALL_BUCKET, centres: int = CENTRES) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: n_shingles, component_id, kept.
+def linked_in_buckets(buckets: DataFrame, texts: DataFrame, alone: DataFrame, percent: int, words: int, small: int = SMALL_BUCKET, centres: int = CENTRES) -> tuple[DataFrame, DataFrame]:
+    """Links ``(a, b)`` that connect all nodes with a link inside a bucket, and their components.
 
-    Documents link when ``100 * |A & B| >= percent * |A | B|`` on their sets of ``words``-word
-    shingles; component_id is the smallest doc_id reachable, and that document is kept.
+    ``buckets(key, node, n)`` are nodes that may link and the sizes of their sets, ``texts(node,
+    text)`` what they are verified on, ``alone(node, alone)`` how many of a node's shingles no
+    other node has, as far as that is known.
 
-    Equal sets are one class, found by digest, and only its smallest doc_id goes on. Classes
-    that share a band key meet in a bucket. A set's shingles that no other set has bound what it
-    can link to, which takes most sets without a partner out before pairs are made. Every link
-    between sets of one bucket is found, yet never all pairs of a large one:
-
-    1. each set is checked with the centre of its bucket, a star;
-    2. in a bucket that still holds several components, small ones have all pairs across
+    1. Each set is checked with the centre of its bucket, a star.
+    2. In a bucket that still holds several components, small ones have all pairs across
        components checked; in larger ones some centres are checked with all members of other
        components and then leave, until one component or a small bucket is left.
-
-    Only a bucket of many sets that are not alike takes many rounds. Texts of null, or without
-    words, have an empty set and stand alone; so does a null doc_id, whose component is null and
-    which is kept. Rows that repeat a doc_id are one document with several texts. An empty table
-    gives an empty result; other columns are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = materialise(sets_of(docs, n_bands, rows, words), "sets")
-    linked = sets.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = linked.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    keys = classes.select("node", "n", F.explode("bands").alias("key"))
-    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    buckets = materialise(keys.join(met, "key").select("key", "node", "n"), "buckets")
-    nodes = buckets.select("node").distinct()
-    texts = materialise(docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
-    alone = materialise(_shared_sizes(texts, words), "alone")
     bounded = buckets.join(alone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
     able = materialise(_linkable(bounded.filter(100 * F.col("shared") >= percent * F.col("n")), percent), "able")
 
@@ -290,6 +271,41 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n_bands: int = BAND
         checked = checked.unionByName(pairs)
         rest = many.select(columns).join(chosen.select("key", "node"), ["key", "node"], "left_anti")
         left = _linkable(rest, percent).select(columns)
+    return links, components
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, n_bands: int = BANDS, rows: int = ROWS, words: int = WORDS, small: int = SMALL_BUCKET, centres: int = CENTRES) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: n_shingles, component_id, kept.
+
+    Documents link when ``100 * |A & B| >= percent * |A | B|`` on their sets of ``words``-word
+    shingles; component_id is the smallest doc_id reachable, and that document is kept.
+
+    Equal sets are one class, found by digest, and only its smallest doc_id goes on. Classes
+    that share a band key meet in a bucket. A set's shingles that no other set has bound what it
+    can link to, which takes most sets without a partner out before pairs are made. Every link
+    between sets of one bucket is found, yet never all pairs of a large one:
+
+    1. each set is checked with the centre of its bucket, a star;
+    2. in a bucket that still holds several components, small ones have all pairs across
+       components checked; in larger ones some centres are checked with all members of other
+       components and then leave, until one component or a small bucket is left.
+
+    Only a bucket of many sets that are not alike takes many rounds. Texts of null, or without
+    words, have an empty set and stand alone; so does a null doc_id, whose component is null and
+    which is kept. Rows that repeat a doc_id are one document with several texts. An empty table
+    gives an empty result; other columns are not read.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets = materialise(sets_of(docs, n_bands, rows, words), "sets")
+    linked = sets.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
+    classes = linked.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    keys = classes.select("node", "n", F.explode("bands").alias("key"))
+    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    buckets = materialise(keys.join(met, "key").select("key", "node", "n"), "buckets")
+    nodes = buckets.select("node").distinct()
+    texts = materialise(docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
+    alone = materialise(shared_sizes(texts, words), "alone")
+    _, components = linked_in_buckets(buckets, texts, alone, percent, words, small, centres)
     named = classes.select("digest", "node").join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     found = sets.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(named, "digest", "left")
     component = F.coalesce("component_id", "doc_id")

@@ -7,12 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from motorpool.llm import bpe, chat, contamination, exact, html, license, near, pii, quality, urls
+from motorpool.llm import alignment, bpe, chat, contamination, exact, html, jaccard, license, near, periodic, pii, quality, urls
 from motorpool.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +56,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.runs_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_BPE, PIECES, public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -68,6 +81,9 @@ QUERIES: dict[str, Query] = {
         op8_byte_level_bpe,
         op9_html_extraction,
         op10_pii,
+        op11_ngram_jaccard_join,
+        op12_periodic_runs,
+        op13_cross_tokenizer_alignment,
     )
 }
 
@@ -76,19 +92,19 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _WORDS = f"[w for w in string_split_regex({_LOWER}, '[ \\t\\n\\x0B\\f\\r]+') if w <> '']"
 
 
-def _shingles(name: str, source: str, key: str) -> str:
-    """CTEs: distinct five-word shingles of each text, and their number."""
+def _shingles(name: str, source: str, key: str, k: int = 5) -> str:
+    """CTEs: distinct k-word shingles of each text, and their number."""
     return f"""
         {name}_w AS (SELECT {key}, {_WORDS} AS ws FROM {source}),
         {name} AS (
-            SELECT DISTINCT {key}, list_aggregate(list_slice(ws, i, i + 4), 'string_agg', ' ') AS shingle
-            FROM (SELECT {key}, ws, unnest(range(1, greatest(1, len(ws) - 4) + 1)) AS i FROM {name}_w WHERE len(ws) > 0)),
+            SELECT DISTINCT {key}, list_aggregate(list_slice(ws, i, i + {k - 1}), 'string_agg', ' ') AS shingle
+            FROM (SELECT {key}, ws, unnest(range(1, greatest(1, len(ws) - {k - 1}) + 1)) AS i FROM {name}_w WHERE len(ws) > 0)),
         {name}_n AS (SELECT {key}, count(*) AS n FROM {name} GROUP BY {key})"""
 
 
-ORACLES: dict[str, str] = {
-    "op2_minhash_near_dedup": f"""
-        WITH RECURSIVE {_shingles("s", "documents", "doc_id")},
+def _components(k: int) -> str:
+    """CTEs: the smallest document that links on k-word shingles reach, at 85 in a hundred."""
+    return f"""{_shingles("s", "documents", "doc_id", k)},
         pairs AS (
             SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
             FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL),
@@ -98,9 +114,18 @@ ORACLES: dict[str, str] = {
         reach AS (
             SELECT doc_id, doc_id AS other FROM documents
             UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
-        least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+        least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)"""
+
+
+ORACLES: dict[str, str] = {
+    "op2_minhash_near_dedup": f"""
+        WITH RECURSIVE {_components(5)}
         SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
         FROM documents JOIN least USING (doc_id) LEFT JOIN s_n USING (doc_id)""",
+    "op11_ngram_jaccard_join": f"""
+        WITH RECURSIVE {_components(4)}
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+        FROM documents JOIN least USING (doc_id) LEFT JOIN s_n USING (doc_id)""",
     "op6_chat_formatting": """
         WITH n AS (
             SELECT *, row_number() OVER (PARTITION BY conv_id
