@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 import sentencepiece
 import tiktoken
 import zstandard
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from motorpool.llm.common import slices
+from motorpool.llm.common import gather, slices
 from motorpool.session import materialise
 
 #: Texts of more bytes are cut into ranges of about this size, which are dealt to tasks.
@@ -143,6 +144,32 @@ class Tokenizers:
         a_ids, b_ids = np.array(a, np.int32), np.array(b, np.int32)
         return Tokens(a_ids, a_start + np.cumsum(self.size_a[a_ids]), b_ids, b_start + np.cumsum(self.size_b[b_ids])), whole
 
+    def spells(self, a: list[int], b: list[int], data: bytes) -> bool:
+        return b"".join([self.bytes_a[i] for i in a]) == data == b"".join([self.bytes_b[i] for i in b])
+
+    def align_each(self, texts: list[str]) -> Iterator[tuple[Fragment, tuple[int, str] | None]]:
+        """The complete fragment of each text, and its groups as text. Where no token of either goes
+        on over a blank, words are fragments of their own, and each distinct one is done once."""
+        known: dict[str, int] = {}
+        codes = [[known.setdefault(w, len(known)) for w in (_WORD.split(" " + text) if self.cuts else [" " + text])] if text else [] for text in texts]
+        words = list(known)
+        a_ids, b_ids = [self.encode_a(w) for w in words], self.pieces.encode([w[1:] for w in words], num_threads=1)
+        whole = [self.spells(a, b, w.encode()) for a, b, w in zip(a_ids, b_ids, words)]
+        a_ids, b_ids = ([ids if right else [] for ids, right in zip(side, whole)] for side in (a_ids, b_ids))
+        flat = [np.fromiter(chain.from_iterable(side), np.int32) for side in (a_ids, b_ids)]
+        lengths = [np.fromiter(map(len, side), np.int64, len(side)) for side in (a_ids, b_ids)]
+        starts = [np.cumsum(n) - n for n in lengths]
+        a_ends, b_ends = np.cumsum(self.size_a[flat[0]]), np.cumsum(self.size_b[flat[1]])
+        counts, told = groups_of_words(Tokens(flat[0], a_ends, flat[1], b_ends), np.concatenate([[0], a_ends])[np.cumsum(lengths[0])])
+        for own in codes:
+            if not own or not all([whole[c] for c in own]):
+                yield EMPTY, None
+                continue
+            at = np.array(own, np.int64)
+            a, b = (gather(f, s[at], n[at]) for f, s, n in zip(flat, starts, lengths))
+            tokens = Tokens(a, np.cumsum(self.size_a[a]), b, np.cumsum(self.size_b[b]))
+            yield Fragment(tokens, NOTHING, NOTHING, True), (int(counts[at].sum()), ";".join([told[c] for c in own]))
+
 
 def byte_letters() -> dict[int, str]:
     """The letter by which a byte-level vocabulary writes each byte: itself where it is printed
@@ -174,7 +201,8 @@ def built(shared: Broadcast) -> Tokenizers:
 #: A merge of neither tokenizer goes over a blank behind anything but white space; that of A
 #: needs a word right behind the blank, as it sees several blanks as a token of their own, and that
 #: of B something, as it puts no blank before an empty text.
-_CUT_A, _CUT_B = regex.compile(r"(?<=\S) (?=\S)"), regex.compile(r"(?s)(?<=[^ ]) (?=.)")
+_CUT_A, _CUT_B = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"(?s)(?<=[^ ]) (?=.)")
+_WORD = re.compile(r"(?<=\S)(?= \S)")
 
 
 def ranges(text: str, size: int, cuts: bool) -> list[tuple[int, int, str, str]]:
@@ -227,17 +255,30 @@ def links(tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
     return tokens.a[np.searchsorted(tokens.a_ends, ends)], tokens.b[np.searchsorted(tokens.b_ends, ends)]
 
 
-def groups_text(tokens: Tokens) -> tuple[int, str]:
-    """The number of groups, and ``a1,a2|b1;a3|b2`` over them."""
+def groups_of_words(tokens: Tokens, word_ends: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """The number of groups of each word, and ``a1,a2|b1;a3|b2`` over them. Words end at the given
+    bytes, where tokens of both end; those without tokens end where the word before does."""
     both = np.intersect1d(tokens.a_ends, tokens.b_ends, assume_unique=True)
-    a_cuts = np.searchsorted(tokens.a_ends, both, "right").tolist()
-    b_cuts = np.searchsorted(tokens.b_ends, both, "right").tolist()
-    a, b = list(map(str, tokens.a.tolist())), list(map(str, tokens.b.tolist()))
-    parts, i, k = [], 0, 0
-    for j, m in zip(a_cuts, b_cuts):
-        parts.append((a[i] if j == i + 1 else ",".join(a[i:j])) + "|" + (b[k] if m == k + 1 else ",".join(b[k:m])))
-        i, k = j, m
-    return len(both), ";".join(parts)
+    upto = np.searchsorted(both, word_ends, "right")
+    counts = np.diff(upto, prepend=0)
+    group = np.concatenate([np.searchsorted(both, tokens.a_ends) * 2, np.searchsorted(both, tokens.b_ends) * 2 + 1])
+    order = np.argsort(group, kind="stable")
+    side = group[order]
+    last = np.append(side[1:] != side[:-1], True) if len(side) else np.empty(0, bool)
+    behind = np.where(last, np.where(side % 2, 2, 1), 0)
+    closing = np.zeros(len(both) + 1, bool)
+    closing[upto[counts > 0] - 1] = True
+    behind[last & (side % 2 == 1) & closing[side // 2]] = 3
+    letters = np.array([",", "|", ";", "\n"])[behind].tolist()
+    ids = np.concatenate([tokens.a, tokens.b])[order].tolist()
+    found = iter("".join(chain.from_iterable(zip(map(str, ids), letters))).split("\n"))
+    return counts, [next(found) if n else "" for n in counts.tolist()]
+
+
+def groups_text(tokens: Tokens) -> tuple[int, str]:
+    """The number of groups of a text, and the groups."""
+    counts, told = groups_of_words(tokens, tokens.a_ends[-1:])
+    return int(counts[0]), told[0]
 
 
 _DOC = pa.struct([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string())])
@@ -252,11 +293,11 @@ class Chunks:
         self.next, self.most = (kind << 62) | (TaskContext.get().partitionId() << 32), most
         self.docs, self.links, self.size = [], [], 0
 
-    def add(self, doc_id: int | None, fragment: Fragment) -> Iterator[pa.RecordBatch]:
-        tokens = fragment.prefix + fragment.closed + fragment.suffix
+    def add(self, doc_id: int | None, fragment: Fragment, told: tuple[int, str] | None = None) -> Iterator[pa.RecordBatch]:
+        tokens = fragment.prefix + fragment.closed + fragment.suffix if len(fragment.closed.a) else fragment.prefix
         n_a, n_b = len(tokens.a), len(tokens.b)
         if fragment.whole and n_a and n_b:
-            n, text = groups_text(tokens)
+            n, text = told or groups_text(tokens)
             a, b = links(tokens)
             self.docs.append((doc_id, n_a, n_b, n, len(a), hashlib.sha256(text.encode()).hexdigest()))
             self.links.append((a.astype(np.int64) << 32) | b)
@@ -287,13 +328,8 @@ def _align_short(shared: Broadcast, most: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, chunks = built(shared), Chunks(0, most)
         for doc_ids, texts in slices(batches):
-            texts = [text or "" for text in texts]
-            for doc_id, text, b in zip(doc_ids, texts, t.pieces.encode(texts, num_threads=1)):
-                fragment = EMPTY
-                if text:
-                    data = (" " + text).encode()
-                    fragment = Fragment.of(*t.tokens(t.encode_a(" " + text), b, data, data))
-                yield from chunks.add(doc_id, fragment)
+            for doc_id, (fragment, told) in zip(doc_ids, t.align_each([text or "" for text in texts])):
+                yield from chunks.add(doc_id, fragment, told)
         if chunks.docs:
             yield chunks.flush()
 

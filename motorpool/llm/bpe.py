@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from motorpool.llm.common import slices
+from motorpool.llm.common import gather, slices
 
 #: Tokens of a chunk, the unit in which documents are taken apart and put together again. A
 #: chunk ends with the document that passes this; a longer document is a chunk of its own.
@@ -212,13 +212,6 @@ def _encode_buckets(vocabulary: Broadcast):
     return run
 
 
-def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The runs of ``flat`` that start and last as told, one after another."""
-    ends = np.cumsum(lengths)
-    shift = np.repeat(starts - (ends - lengths), lengths)
-    return flat[shift + np.arange(len(shift))]
-
-
 def _put_together(rows: pa.Table) -> pa.Table:
     """The documents of one chunk from its own row and the ids of its words."""
     found = rows.select(["bucket", "counts", "ids", *(name for name, _ in _CHUNK)]).to_pylist()
@@ -238,7 +231,7 @@ def _put_together(rows: pa.Table) -> pa.Table:
         part = codes[ends[first] : ends[last]]
         per_word = by_code[part]
         at = np.concatenate([[0], np.cumsum(per_word)])[ends[first : last + 1] - ends[first]]
-        lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(_gather(flat, starts[part], per_word), pa.int32()))
+        lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(gather(flat, starts[part], per_word), pa.int32()))
         pieces.append(pa.RecordBatch.from_arrays([pa.array(doc_ids[first:last], pa.int64()), lists], schema=_IDS))
         first = last
     return pa.Table.from_batches(pieces, schema=_IDS)
@@ -296,7 +289,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", name:
                 if len(flat) and not (flat.min() >= 0 and flat.max() < len(v.known) and v.known[flat].all()):
                     raise ValueError("an id has no token in the vocabulary")
                 lengths = v.lengths[flat]
-                data = _gather(v.bytes, v.starts[flat], lengths).tobytes()
+                data = gather(v.bytes, v.starts[flat], lengths).tobytes()
                 at = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], ends[first:last] - done])].tolist()
                 decoded = pa.array([data[a:b] for a, b in zip(at, at[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], decoded], names=[*others, name])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,32 @@ def map_texts(df: DataFrame, rows: Callable[[list[list]], Iterable[tuple]], sche
     return df.mapInArrow(run, from_arrow_schema(schema))
 
 
+def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that start and last as told, one after another."""
+    ends = np.cumsum(lengths)
+    shift = np.repeat(starts - (ends - lengths), lengths)
+    return flat[shift + np.arange(len(shift))]
+
+
+#: Bits, a power of two, of the map that keeps rows of other keys out of a shuffle.
+MAP_BITS = 1 << 25
+
+
+def maybe_among(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """``df`` without most rows whose ``column`` is not in the only column of ``keys``, by a bit map of
+    bounded size that goes to every task; a join with ``keys`` has to follow."""
+
+    def place(value: Column) -> tuple[Column, Column]:
+        bit = F.pmod(F.xxhash64(value), F.lit(MAP_BITS))
+        return F.shiftright(bit, 6), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
+
+    slot, bit = place(F.col(keys.columns[0]))
+    bits = keys.select(slot.alias("__slot"), bit.alias("__bit")).groupBy("__slot").agg(F.bit_or("__bit").alias("__bits"))
+    slot, bit = place(F.col(column))
+    found = df.filter(F.col(column).isNotNull()).join(F.broadcast(bits), slot == F.col("__slot"))
+    return found.filter(F.col("__bits").bitwiseAND(bit) != 0).drop("__slot", "__bits")
+
+
 def joined(parts: Column) -> Column:
     """Texts joined by commas; empty where there are none."""
     return F.coalesce(F.array_join(parts, ","), F.lit(""))

@@ -130,7 +130,7 @@ def connected_components(links: DataFrame) -> DataFrame:
             return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
+def compared(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
     """The pairs with whether their full shingle sets are as similar as asked, the size of a's set
     and, unless it is much, what b lacks of it. Both texts travel once to each pair; rows
     arrive by ``a``, whose set is kept while it repeats."""
@@ -153,7 +153,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> D
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
-    return _compared(pairs, texts, percent, words).filter("linked").select("a", "b")
+    return compared(pairs, texts, percent, words).filter("linked").select("a", "b")
 
 
 _SHINGLES = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
@@ -177,7 +177,7 @@ def shared_sizes(texts: DataFrame, words: int) -> DataFrame:
     return once.groupBy("node").agg(F.count(F.lit(1)).alias("alone")).join(several, "node", "left_anti")
 
 
-def _may_link(n: str, shared: str, m: str, other: str, percent: int) -> Column:
+def may_link(n: str, shared: str, m: str, other: str, percent: int) -> Column:
     """Whether sets of sizes ``n`` and ``m``, of which ``shared`` and ``other`` shingles are anywhere
     else, can be as similar as asked: the intersection has no more than the lesser of the two."""
     return (100 + percent) * F.least(shared, other) >= percent * (F.col(n) + F.col(m))
@@ -211,9 +211,9 @@ def _pairs(members: DataFrame, others: DataFrame, percent: int) -> DataFrame:
     first = F.col("x.key") == F.array_intersect("x.keys", "y.keys")[0]
     once = (~F.col("y.chosen") | (F.col("x.node") < F.col("y.node"))) & first
     common = F.col("x.ref_n") - F.size(F.array_union("x.missing", "y.missing")) + F.least("x.extra", "y.extra")
-    told = F.col("x.missing").isNotNull() & F.col("y.missing").isNotNull()
+    told = (F.col("x.ref") == F.col("y.ref")) & F.col("x.missing").isNotNull() & F.col("y.missing").isNotNull()
     alike = ~told | ((100 + percent) * common >= percent * (F.col("x.n") + F.col("y.n")))
-    wanted = (F.col("x.key") == F.col("y.key")) & apart & _may_link("x.n", "x.shared", "y.n", "y.shared", percent) & alike & once
+    wanted = (F.col("x.key") == F.col("y.key")) & apart & may_link("x.n", "x.shared", "y.n", "y.shared", percent) & alike & once
     return x.join(y, wanted).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
@@ -234,23 +234,38 @@ def linked_in_buckets(buckets: DataFrame, texts: DataFrame, alone: DataFrame, pe
 
     sizes = able.select(F.col("node").alias("centre"), F.col("n").alias("m"), F.col("shared").alias("other")).distinct()
     star = able.filter("centre != node").select("centre", "node", "n", "shared").distinct().join(sizes, "centre")
-    star = star.filter(_may_link("n", "shared", "m", "other", percent)).select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    compared = materialise(_compared(star, texts, percent, words), "links")
-    checked = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = compared.filter("linked").select("a", "b")
-    components = connected_components(links)
-    told = compared.select(F.col("a").alias("centre"), F.col("b").alias("node"), "ref_n", "missing")
+    star = star.filter(may_link("n", "shared", "m", "other", percent)).select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    stars = materialise(compared(star, texts, percent, words), "links")
+    checked = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = stars.filter("linked").select("a", "b")
     own = F.col("node") == F.col("centre")
-    left = able.select("key", "node", "n", "shared", "centre").join(told, ["centre", "node"], "left").withColumns({
-        "ref_n": F.when(own, F.col("n")).otherwise(F.col("ref_n")),
-        "missing": F.when(own, F.array().cast("array<bigint>")).otherwise(F.col("missing")),
-    })
-    columns = ["key", "node", "n", "shared", "ref_n", "missing", "extra"]
-    left = left.withColumn("extra", F.col("shared") - (F.col("ref_n") - F.size("missing"))).select(columns)
+    told = stars.select(F.col("a").alias("centre"), F.col("b").alias("node"), "ref_n", "missing")
+    told = able.select("key", "node", "n", "shared", "centre").join(told, ["centre", "node"], "left").select(
+        "key", "node", F.col("centre").alias("ref"), *against_ref(own)
+    )
+    return connect(able, told, ["key", "node"], texts, links, checked, percent, words, small, centres)
+
+
+def against_ref(own: Column) -> list[Column]:
+    """What a node lacks of the set it was compared with, and the most that it may share with
+    others outside of it; ``own`` tells that the set is its own."""
+    ref_n = F.when(own, F.col("n")).otherwise(F.col("ref_n"))
+    missing = F.when(own, F.array().cast("array<bigint>")).otherwise(F.col("missing"))
+    return [ref_n.alias("ref_n"), missing.alias("missing"), (F.col("shared") - (ref_n - F.size(missing))).alias("extra")]
+
+
+def connect(able: DataFrame, told: DataFrame, on: list[str], texts: DataFrame, links: DataFrame, checked: DataFrame, percent: int, words: int, small: int, centres: int) -> tuple[DataFrame, DataFrame]:
+    """``links`` and those that are still missing between the components of a bucket of
+    ``able(key, node, n, shared)``, and the components. ``told`` says by ``on`` what a node lacks of
+    a set ``ref``; ``checked(a, b)`` are pairs that need no second look."""
+    components = connected_components(links)
+    columns = ["key", "node", "n", "shared"]
+    left = able.select(columns)
     while True:
         members = left.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-        open_ = materialise(members.join(mixed.filter("low < high").select("key", "size"), "key"), "open")
+        among = members.join(mixed.filter("low < high").select("key", "size"), "key")
+        open_ = materialise(among.join(told, on, "left"), "open")
         if open_.isEmpty():
             break
         few, many = open_.filter(F.col("size") <= small), open_.filter(F.col("size") > small)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motorpool.llm.common import map_texts
+from motorpool.llm.common import map_texts, maybe_among
 from motorpool.llm.license import words as plain_words
 from motorpool.session import materialise
 
@@ -29,8 +29,6 @@ TRAIN_ROWS = 12_000
 MINED_LIFT, MINED_CHANCE = 20, 1e-3
 #: Mined words of up to this many bytes, ``WORD_BYTES`` more for each, go to every task; more are joined.
 MINED_BYTES, WORD_BYTES = 8 << 20, 64
-#: Bits, a power of two, of the map that keeps texts without an annotation out of the shuffle.
-MAP_BITS = 1 << 25
 #: Hashed features, a power of two; the weights go to every task.
 FEATURES = 1 << 18
 EM_ROUNDS, FIT_ROUNDS, RATE, SHRINK, WORD = 60, 150, 0.1, 2e-5, 0.3
@@ -229,19 +227,6 @@ def sampled(docs: DataFrame, rows: int, total: int) -> DataFrame:
     return one.agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")).select("doc_id", "text", "copies")
 
 
-def _maybe_named(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """``docs`` without most rows whose id is not in ``named``, by a bit map of bounded size."""
-
-    def place(doc_id: Column) -> tuple[Column, Column]:
-        bit = F.pmod(F.xxhash64(doc_id), F.lit(MAP_BITS))
-        return F.shiftright(bit, 6), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
-
-    slot, bit = place(F.col("doc_id"))
-    bits = named.select(slot.alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
-    found = docs.filter("doc_id IS NOT NULL").join(F.broadcast(bits), slot == F.col("slot"))
-    return found.filter(F.col("bits").bitwiseAND(bit) != 0).drop("slot", "bits")
-
-
 def telling_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(word)``: words that mark toxic texts, by their counts in all annotated documents."""
     named = _by_document(labels).select("doc_id", "toxic")
@@ -260,7 +245,7 @@ def telling_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 counts.update((w, None) for w in set(tokens))
         return ((w, place, n) for (w, place), n in counts.items())
 
-    texts = _maybe_named(docs, named).join(named, "doc_id").select("toxic", "text")
+    texts = maybe_among(docs, "doc_id", named.select("doc_id")).join(named, "doc_id").select("toxic", "text")
     places = map_texts(texts, word_rows, _WORDS).groupBy("word", "place").agg(F.sum("n").alias("n"))
     counts = places.groupBy("word").agg(
         F.count_if(F.col("place") >= 0).alias("places"),
