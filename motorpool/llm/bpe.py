@@ -268,8 +268,10 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", name:
 
     Every id is joined to its row of the token-byte table, which is as large as the vocabulary
     and so goes to every task; the bytes are laid out in the ids' order. Null ids give no
-    bytes; an id without a token is an error.
+    bytes; an id without a token is an error, and so is a ``name`` that another column has.
     """
+    if name.lower() in {c.lower() for c in encoded.columns if c != ids}:
+        raise ValueError(f"{name} is a column already")
     shared = shared_vocabulary(encoded.sparkSession, path, pattern)
     others = [c for c in encoded.columns if c != ids]
     ordered = encoded.select(*others, ids)

@@ -57,6 +57,26 @@ def map_texts(df: DataFrame, rows: Callable[[list[list]], Iterable[tuple]], sche
     return df.mapInArrow(run, from_arrow_schema(schema))
 
 
+def text_key(text: Column) -> Column:
+    """A 64-bit hash of a text, by which the drops name rows; null is a text of its own."""
+    return F.xxhash64(text)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it what is no column of ``df`` yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without_texts(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose text's key is in the only column of ``dropped``."""
+    key = free_name(docs, "text_key")
+    gone = dropped.select(F.col(dropped.columns[0]).alias(key)).distinct()
+    return docs.join(gone, text_key(F.col("text")) == F.col(key), "left_anti")
+
+
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The runs of ``flat`` that start and last as told, one after another."""
     ends = np.cumsum(lengths)

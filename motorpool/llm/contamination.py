@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motorpool.llm.common import map_texts
+from motorpool.llm.common import map_texts, text_key, without_texts
 from motorpool.llm.near import WORDS, Shingler
 from motorpool.session import materialise
 
@@ -117,6 +117,7 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = PERCENT, words:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` with all its columns, without documents that hold an item."""
-    dropped = contained(docs, items).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    """``docs`` with all its columns, without the rows whose text holds an item. A row is judged by
+    its own text, whatever its id: rows without an id go too, and others of an id stay."""
+    keyed = docs.select(text_key(F.col("text")).alias("doc_id"), "text")
+    return without_texts(docs, contained(keyed, items).select("doc_id"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motorpool.llm.common import lower_ascii
+from motorpool.llm.common import free_name, lower_ascii
 from motorpool.session import materialise
 
 #: A digest's rows are dealt to this many salts, so a text that fills a third of the table is
@@ -68,8 +68,9 @@ def mark_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256, sa
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns, without the rows that ``mark_copies`` drops."""
-    dropped = mark_copies(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (sha256(lower_ascii(F.col("text"))) == F.col("__digest"))
+    doc_id, digest = free_name(docs, "dropped_id"), free_name(docs, "dropped_digest")
+    dropped = mark_copies(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(doc_id), F.col("digest").alias(digest)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc_id)) & (sha256(lower_ascii(F.col("text"))) == F.col(digest))
     return docs.join(dropped, same, "left_anti")
 
 

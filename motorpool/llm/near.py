@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from motorpool.llm.common import map_texts
+from motorpool.llm.common import free_name, map_texts, text_key
 from motorpool.session import materialise
 
 WORDS = 5
@@ -29,7 +29,7 @@ _COLUMNS = 1024
 class Shingler:
     """Sets of shingle hashes; keeps the hashes of words seen before, up to a bound."""
 
-    def __init__(self, words: int = WORDS, known: int = 500_000):
+    def __init__(self, words: int = WORDS, known: int = 100_000):
         self.words, self.most, self.known = words, known, {}
 
     def hashes(self, text: str | None) -> np.ndarray:
@@ -328,6 +328,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n_bands: int = BAND
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` with all its columns; one document of each group stays."""
-    dropped = near_duplicates(docs, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    """``docs`` with all its columns; one document of each group stays.
+
+    Rows are grouped by their own texts, whatever their ids. Of a group the row with the smallest
+    doc_id stays, one without an id only if none has one; rows that repeat it, in id and text,
+    stay with it. Texts without words are in no group.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key")).distinct()
+    grouped = near_duplicates(docs.select(text_key(F.col("text")).alias("doc_id"), "text"), percent).filter("n_shingles > 0")
+    members = rows.join(grouped.select(F.col("doc_id").alias("key"), "component_id").distinct(), "key")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
+    first = members.groupBy("component_id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    doc_id, key = free_name(docs, "dropped_id"), free_name(docs, "dropped_key")
+    dropped = members.join(first, "component_id").filter(place != F.col("first")).select(F.col("doc_id").alias(doc_id), F.col("key").alias(key))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc_id)) & (text_key(F.col("text")) == F.col(key))
+    return docs.join(dropped, same, "left_anti")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motorpool.llm.common import map_texts, maybe_among
+from motorpool.llm.common import map_texts, maybe_among, text_key, without_texts
 from motorpool.llm.license import words as plain_words
 from motorpool.session import materialise
 
@@ -27,7 +27,8 @@ TRAIN_ROWS = 12_000
 #: texts that hold it is toxic by chance this rarely. A text counts there only as far as the word
 #: stands between other neighbours, so that copies of one text count once.
 MINED_LIFT, MINED_CHANCE = 20, 1e-3
-#: Mined words of up to this many bytes, ``WORD_BYTES`` more for each, go to every task; more are joined.
+#: Mined words, and words that may be, of up to this many bytes, ``WORD_BYTES`` more for each, go to
+#: every task; more are joined.
 MINED_BYTES, WORD_BYTES = 8 << 20, 64
 #: Hashed features, a power of two; the weights go to every task.
 FEATURES = 1 << 18
@@ -120,7 +121,7 @@ def votes(values: list[float]) -> str:
 class Hasher:
     """Feature numbers of a text: its distinct words and the level of each signal."""
 
-    def __init__(self, size: int = FEATURES, known: int = 500_000):
+    def __init__(self, size: int = FEATURES, known: int = 100_000):
         self.size, self.most, self.known = size, known, {}
 
     def number(self, feature: bytes) -> int:
@@ -193,6 +194,8 @@ def fit(features: np.ndarray, lengths: np.ndarray, target: np.ndarray, copies: n
 
 _WORDS = pa.schema([("word", pa.binary()), ("place", pa.int64()), ("n", pa.int64())])
 _HELD = pa.schema([("digest", pa.string()), ("word", pa.binary())])
+_NUMBERS = pa.schema([("doc_id", pa.int64()), ("numbers", pa.list_(pa.int64()))])
+_NUMBERED = pa.schema([("word", pa.binary()), ("number", pa.int64())])
 _VOTES = pa.schema([("doc_id", pa.int64()), ("votes", pa.string())])
 _SAMPLE = pa.schema([("doc_id", pa.int64()), ("votes", pa.string()), ("features", pa.list_(pa.int32())), ("copies", pa.int64())])
 _SCORED = pa.schema([("doc_id", pa.int64()), ("votes", pa.string()), ("score", pa.float64())])
@@ -228,38 +231,63 @@ def sampled(docs: DataFrame, rows: int, total: int) -> DataFrame:
 
 
 def telling_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(word)``: words that mark toxic texts, by their counts in all annotated documents."""
+    """``(word)``: words that mark toxic texts, by their counts in all annotated documents.
+
+    Words are counted in the toxic texts first, which are few. Those that could tell if no
+    other text had them are looked up in all other annotated texts; no text of these is
+    shuffled, only the numbers of the words that each holds.
+    """
     named = _by_document(labels).select("doc_id", "toxic")
     totals = {r["toxic"]: r["count"] for r in named.groupBy("toxic").count().collect()}
     toxic, others = totals.get(1, 0), totals.get(0, 0)
 
-    def word_rows(columns: list[list]) -> Iterable[tuple]:
+    def places(columns: list[list]) -> Iterable[tuple]:
         counts: Counter = Counter()
-        for is_toxic, text in zip(*columns):
+        for _, text in zip(*columns):
             tokens = plain_words(text)
-            if is_toxic:
-                around = [b"", *tokens, b""]
-                counts.update({(w, xxhash.xxh3_64_intdigest(a + b" " + b) >> 1) for a, w, b in zip(around, tokens, around[2:])})
-                counts.update((w, -1) for w in set(tokens))
-            else:
-                counts.update((w, None) for w in set(tokens))
+            around = [b"", *tokens, b""]
+            counts.update({(w, xxhash.xxh3_64_intdigest(a + b" " + b) >> 1) for a, w, b in zip(around, tokens, around[2:])})
+            counts.update((w, -1) for w in set(tokens))
         return ((w, place, n) for (w, place), n in counts.items())
 
-    texts = maybe_among(docs, "doc_id", named.select("doc_id")).join(named, "doc_id").select("toxic", "text")
-    places = map_texts(texts, word_rows, _WORDS).groupBy("word", "place").agg(F.sum("n").alias("n"))
-    counts = places.groupBy("word").agg(
-        F.count_if(F.col("place") >= 0).alias("places"),
-        F.sum(F.when(F.col("place") == -1, F.col("n")).otherwise(0)).alias("t"),
-        F.sum(F.when(F.col("place").isNull(), F.col("n")).otherwise(0)).alias("c"),
+    def among(toxicity: int) -> DataFrame:
+        ids = named.filter(F.col("toxic") == toxicity).select("doc_id")
+        return maybe_among(docs, "doc_id", ids).select("doc_id", "text")
+
+    texts = among(1).join(named.filter("toxic = 1"), "doc_id").select("doc_id", "text")
+    placed = map_texts(texts, places, _WORDS).groupBy("word", "place").agg(F.sum("n").alias("n"))
+    counts = placed.groupBy("word").agg(
+        F.count_if(F.col("place") >= 0).alias("places"), F.sum(F.when(F.col("place") == -1, F.col("n")).otherwise(0)).alias("t")
     )
-    lift = (F.col("t") / (toxic + 1)) / ((F.col("c") + 0.5) / (others + 1))
-    # Chernoff's bound on the chance of so many toxic texts among those with the word.
     base = min(max(toxic / max(1, toxic + others), 1e-9), 1 - 1e-9)
-    hits = F.least("places", "t")
-    share = hits / (hits + F.col("c"))
-    away = F.when(F.col("c") > 0, F.col("c") * F.log((1 - share) / (1 - base))).otherwise(0.0)
-    chance = F.exp(-(hits * F.log(share / base) + away))
-    return counts.filter((hits > 0) & (share > base) & (lift >= MINED_LIFT) & (chance <= MINED_CHANCE)).select("word")
+
+    def telling(c: Column) -> Column:
+        lift = (F.col("t") / (toxic + 1)) / ((c + 0.5) / (others + 1))
+        # Chernoff's bound on the chance of so many toxic texts among those with the word.
+        hits = F.least("places", "t")
+        share = hits / (hits + c)
+        away = F.when(c > 0, c * F.log((1 - share) / (1 - base))).otherwise(0.0)
+        chance = F.exp(-(hits * F.log(share / base) + away))
+        return (hits > 0) & (share > base) & (lift >= MINED_LIFT) & (chance <= MINED_CHANCE)
+
+    sought = materialise(counts.filter(telling(F.lit(0))), "sought-words")
+    size = sought.agg(F.sum(F.octet_length("word") + WORD_BYTES).alias("size")).first()["size"] or 0
+    known = None if size > MINED_BYTES else frozenset(_word_number(bytes(r["word"])) for r in sought.select("word").collect())
+
+    def held(columns: list[list]) -> Iterable[tuple]:
+        for doc_id, text in zip(*columns):
+            numbers = set(map(_word_number, plain_words(text)))
+            yield doc_id, list(numbers if known is None else numbers & known)
+
+    clean = map_texts(among(0), held, _NUMBERS).join(named.filter("toxic = 0").select("doc_id"), "doc_id")
+    with_word = clean.select(F.explode("numbers").alias("number")).groupBy("number").agg(F.count(F.lit(1)).alias("c"))
+    numbered = map_texts(sought.select("word"), lambda columns: ((w, _word_number(w)) for w in columns[0]), _NUMBERED, text=0)
+    counted = sought.join(numbered, "word").join(with_word, "number", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    return counted.filter(telling(F.col("c"))).select("word")
+
+
+def _word_number(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) >> 1
 
 
 def mine(docs: DataFrame, labels: DataFrame) -> frozenset | DataFrame:
@@ -372,6 +400,8 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, train_rows: int =
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """``docs`` with all its columns, without documents that the classifier rejects."""
-    dropped = classify(docs, labels).filter(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    """``docs`` with all its columns, without the rows whose text the classifier rejects. The score
+    is that of the text alone, so rows without an id go too, and others of an id stay."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keyed = rows.select(text_key(F.col("text")).alias("doc_id"), "text")
+    return without_texts(docs, score_documents(keyed, train(rows, labels)).filter(F.col("score") < KEEP).select("doc_id"))

@@ -4,7 +4,7 @@ from pyspark.sql import types as T
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
 #: A column of every name that the operators make themselves.
-CLASHING = ("kept", "keep_id", "component_id", "digest", "norm", "salt", "row", "key", "node", "n", "spans", "score", "pos", "gram", "votes", "ids")
+CLASHING = ("kept", "keep_id", "component_id", "digest", "norm", "salt", "row", "key", "node", "n", "spans", "score", "pos", "gram", "votes", "ids", "__id", "__digest", "dropped_id", "dropped_key", "text_key", "runs", "sample")
 
 
 @pytest.fixture(scope="session")

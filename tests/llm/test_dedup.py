@@ -119,7 +119,24 @@ def test_near_null_ids_repeats_and_nothing(make_docs):
     found = sorted(map(tuple, near.near_duplicates(make_docs(rows)).collect()), key=str)
     assert found == sorted([(None, 3, None, True)] * 2 + [(3, 3, 2, False)] * 2 + [(2, 3, 2, True)], key=str)
     assert near.near_duplicates(make_docs([])).collect() == []
-    assert sorted(r["doc_id"] or 0 for r in near.drop_near_duplicates(make_docs(rows)).collect()) == [0, 0, 2]
+
+
+def test_near_links_both_texts_of_an_id(make_docs):
+    one, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, one), (1, other), (2, other + " c"), (3, one + " c")]
+    assert {r["component_id"] for r in near.near_duplicates(make_docs(rows)).collect()} == {1}
+
+
+def test_near_drop_goes_by_rows(make_docs):
+    """Rows without an id, repeated rows, two texts of an id, and columns of the names inside."""
+    one, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(None, one), (None, one + " c"), (3, one), (3, one), (2, one + " d"), (2, other), (None, other + " c"), (None, "alone " * 9), (5, ""), (6, None), (7, "")]
+    docs = make_docs(rows, clashing=True)
+    kept = near.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    expected = [(2, one + " d"), (2, other), (None, "alone " * 9), (5, ""), (6, None), (7, "")]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(expected, key=str)
+    assert near.drop_near_duplicates(make_docs([])).collect() == []
 
 
 def test_components_of_a_long_chain(spark):

@@ -96,6 +96,29 @@ def test_classifier_edges(spark, make_docs):
     assert quality.classify(make_docs([]), spark.createDataFrame([], LABELS)).collect() == []
 
 
+def test_rejected_rows_go_by_their_text(spark, make_docs):
+    good = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL_001}/documents.parquet").filter("doc_id < 300").select("doc_id", "text").collect()]
+    labels = spark.read.parquet(f"{SMALL_001}/labels.parquet")
+    junk = "### $$$ !!! %% && " * 40
+    rows = good + [(None, junk), (good[0][0], junk), *((None, t) for _, t in good[1:30])]
+    docs = make_docs(rows, clashing=True)
+    kept = quality.drop_rejected(docs, labels)
+    found = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    judged = {r["doc_id"]: r["kept"] for r in quality.classify(make_docs(rows), labels).filter("doc_id IS NOT NULL").collect() if r["doc_id"] != good[0][0]}
+    assert kept.columns == docs.columns and not any(t == junk for _, t in found) and good[0] in found
+    unnamed = sorted(t for i, t in found if i is None)
+    assert unnamed == sorted(t for i, t in good[1:30] if judged[i]) and unnamed
+    assert {i for i, _ in found} - {None, good[0][0]} == {i for i, k in judged.items() if k}
+
+
+def test_words_that_toxic_texts_share_with_others_are_counted_in_all(spark, monkeypatch):
+    """The same words whether the sought ones go to every task or not."""
+    docs, labels = (spark.read.parquet(f"{SMALL_001}/{t}.parquet") for t in ("documents", "labels"))
+    expected = sorted(bytes(r["word"]) for r in quality.telling_words(docs, labels).collect())
+    monkeypatch.setattr(quality, "MINED_BYTES", 0)
+    assert expected and sorted(bytes(r["word"]) for r in quality.telling_words(docs, labels).collect()) == expected
+
+
 def test_stages_over_the_smallest_tables(spark):
     """Each stage against brute force on what the one before it kept."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("kept", F.lit("clash"))
@@ -134,7 +157,7 @@ def test_run_is_the_stages_one_after_another(spark):
     assert found.columns == ["doc_id", "n_tokens", "ids", "text"] and found.count() > 0
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", range(1, 14))
 def test_every_operator_has_one_query(n):
     assert len([q for q in QUERIES if q.startswith(f"op{n}_")]) == 1
 

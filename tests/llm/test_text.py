@@ -214,3 +214,20 @@ def test_contamination_of_nothing_and_sql(spark, make_docs, sql):
     tables = {t: f"{SMALL}/{t}.parquet" for t in ("documents", "benchmark")}
     df = contamination.contained(*(spark.read.parquet(p) for p in tables.values()))
     assert canonical(df) == sql(tables, ORACLES["op7_decontamination"])
+
+
+def test_contaminated_rows_go_by_their_text(make_docs, spark):
+    """Rows without an id, and several texts of an id."""
+    item = "one two three four five six seven eight nine ten"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, "so " + item), (None, "clean text of its own here"), (4, "x " + item), (4, "another clean text of it"), (5, None)]
+    docs = make_docs(rows, clashing=True)
+    kept = contamination.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
+
+
+def test_decoding_refuses_a_name_that_is_taken(spark):
+    given = spark.createDataFrame([(1, [5], "x")], "doc_id long, ids array<int>, decoded string")
+    with pytest.raises(ValueError, match="column already"):
+        bpe.decode(given, VOCABULARY, public_tokenizers.PATTERN)
