@@ -34,7 +34,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the text that the ids decode to."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe.encode(docs, path, pattern)
+    # Smaller chunks than for the encoder alone: the workers still hold what earlier stages left.
+    encoded = bpe.encode(docs, path, pattern, chunk_tokens=2_000_000)
     sized = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("ids").alias("again"))
     decoded = bpe.decode(sized, path, pattern, ids="again", name="text")
     return decoded.withColumn("text", F.decode("text", "utf-8"))
