@@ -8,6 +8,7 @@ from motorpool.operators import changes as C
 from motorpool.schemas import SOURCE_TABLES, struct
 from motorpool.session import scratch_path
 from motorpool.sources.tables import load_table
+from motorpool.streaming import stateful
 from motorpool.streaming import telemetry as S
 
 EVENTS = SOURCE_TABLES["events"]
@@ -37,6 +38,20 @@ def _(src: Source):
     return S.read_positions(src.spark, f"{path}/rows", schema, "user_id", "ts")
 
 
+# Keys whose last reading the watermark has left behind by the silence are gone.
+@query(
+    "k02_latest_positions_timed",
+    """SELECT user_id, max(ts) AS ts, arg_max(event_id, ts) AS event_id, arg_max(value, ts) AS value FROM events GROUP BY user_id
+       HAVING max(ts) + INTERVAL 20 MINUTE >= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+)
+def _(src: Source):
+    path = scratch_path(src.spark, "timed")
+    readings = _stream(src).select("user_id", "ts", "event_id", "value")
+    stateful.write_changes(stateful.latest_positions(readings, "user_id", "ts", "10 minutes", 20), f"{path}/rows", f"{path}/checkpoint")
+    schema = struct("user_id:long ts:ts event_id:long value:double gone:bool batch_id:long")
+    return stateful.current(src.spark.read.schema(schema).parquet(f"{path}/rows"), "user_id", "ts")
+
+
 def _rules():
     return {
         "type": C.in_enum("event_type", ["click", "view", "signup", "purchase"]),
@@ -95,6 +110,14 @@ def _(src: Source):
     return S.read_charging(src.spark, path, EVENTS).select("event_id", "charging")
 
 
+@query("k04_charging_stateful", _CHARGING)
+def _(src: Source):
+    path = scratch_path(src.spark, "stateful")
+    marked = stateful.charging_state(_stream(src), "user_id", "ts", "value")
+    S.ingest_telemetry(marked, f"{path}/rows.parquet", f"{path}/checkpoint")
+    return src.spark.read.parquet(f"{path}/rows.parquet").select("event_id", "charging")
+
+
 @query(
     "l01_map_batches",
     """SELECT event_id, b AS battery_pct, round(b * 1.2::DOUBLE, 1) AS battery_range_mi

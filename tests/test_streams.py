@@ -10,6 +10,7 @@ from motorpool.operators import changes as C
 from motorpool.schemas import SOURCE_TABLES
 from motorpool.session import scratch_path
 from motorpool.sources.tables import load_table
+from motorpool.streaming import stateful
 from motorpool.streaming import telemetry as S
 
 EVENTS = SOURCE_TABLES["events"]
@@ -117,3 +118,54 @@ def test_a_late_reading_changes_no_state(spark):
     got = {r.event_id: r.charging for r in S.read_charging(spark, path, EVENTS).collect()}
     assert got == {1: True, 3: True, 4: False}
     assert [r.event_id for r in S.read_late(spark, path, EVENTS).collect()] == [2]
+
+
+def test_stateful_charging_equals_batch_and_resumes(spark, src, parts):
+    """Over four files, then over a fifth by a second run from the same checkpoint."""
+    path = scratch_path(spark, "stateful")
+
+    def run():
+        marked = stateful.charging_state(stream(spark, parts), "user_id", "ts", "value", 20, 80, "1 hour", 60 * 24 * 60)
+        return S.ingest_telemetry(marked, f"{path}/rows.parquet", f"{path}/checkpoint")
+
+    query = run()
+    assert stateful.state_rows(query) == src.events.select("user_id").distinct().count()
+    later = src.events.filter("event_id % 50 = 0").withColumn("ts", F.expr("ts + INTERVAL 31 DAY")).withColumn("event_id", F.col("event_id") + 1_000_000)
+    later.coalesce(1).write.mode("append").parquet(parts)
+    run()
+    got = spark.read.parquet(f"{path}/rows.parquet")
+    assert got.filter("late").count() == 0
+    batch = S.charging_state(src.events.unionByName(later), "user_id", "ts", "value", 20, 80)
+    pairs = lambda df: sorted(map(tuple, df.select("event_id", "charging").collect()))
+    assert pairs(got) == pairs(batch)
+
+
+def test_stateful_charging_tells_late_readings_and_forgets_silent_keys(spark):
+    path = scratch_path(spark, "silent")
+    rows = [event(1, 10, value=5.0), event(2, 5, value=95.0), event(3, 20, value=50.0), event(4, 21, user=2, value=5.0)]
+    rows += [event(5, 50, user=2, value=50.0), event(6, 51, value=50.0), event(7, 2, user=2, value=50.0)]
+    one_by_one(spark, f"{path}/in", rows)
+    marked = stateful.charging_state(stream(spark, f"{path}/in"), "user_id", "ts", "value", delay="10 minutes", silence_minutes=15)
+    query = S.ingest_telemetry(marked, f"{path}/rows.parquet", f"{path}/checkpoint")
+    got = {r.event_id: (r.charging, r.late) for r in spark.read.parquet(f"{path}/rows.parquet").collect()}
+    # Key 1 is silent from 00:20 on; at 00:50 the watermark is 00:40 and it is forgotten.
+    assert got == {1: (True, False), 2: (None, True), 3: (True, False), 4: (True, False), 5: (True, False), 6: (False, False)}
+    assert stateful.dropped_as_late(query) == 1 and stateful.state_rows(query) == 2
+
+
+def test_silent_keys_leave_the_positions_and_their_state(spark):
+    path = scratch_path(spark, "timed")
+    one_by_one(spark, f"{path}/in", [event(1, 1, user=1), event(2, 2, user=2), event(3, 30, user=2), event(4, 28, user=2), event(5, 31, user=3)])
+
+    def run():
+        changes = stateful.latest_positions(stream(spark, f"{path}/in"), "user_id", "ts", "5 minutes", 10)
+        return stateful.write_changes(changes, f"{path}/rows", f"{path}/checkpoint")
+
+    assert stateful.state_rows(run()) == 2
+    schema = S._versioned(spark.read.parquet(f"{path}/rows").drop("batch_id").schema)
+    read = lambda: spark.read.schema(schema).parquet(f"{path}/rows")
+    assert sorted((r.user_id, r.event_id) for r in stateful.current(read(), "user_id", "ts").collect()) == [(2, 3), (3, 5)]
+    assert [(r.user_id, r.event_id) for r in read().filter("gone").collect()] == [(1, 1)]
+    one_by_one(spark, f"{path}/in", [event(6, 40, user=1), event(7, 59, user=4)])
+    assert stateful.state_rows(run()) == 1
+    assert [(r.user_id, r.event_id) for r in stateful.current(read(), "user_id", "ts").collect()] == [(4, 7)]
