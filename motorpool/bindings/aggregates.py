@@ -186,11 +186,12 @@ def _(src: Source):
 @query(
     "d12_status_map",
     """
-    SELECT string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS counts
-    FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)""",
+    SELECT string_agg(k || '=' || n, ',' ORDER BY k = 'other', k) AS counts
+    FROM (SELECT CASE WHEN event_type IN ('view', 'click', 'error', 'refund') THEN event_type ELSE 'other' END AS k, count(*) AS n
+          FROM events GROUP BY 1)""",
 )
 def _(src: Source):
-    counts = A.status_map(src.events, "event_type", ["view", "click", "purchase", "signup", "error", "refund"])
+    counts = A.status_map(src.events, "event_type", ["view", "click", "error", "refund"])
     pairs = F.transform(F.map_entries("counts"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
     return counts.select(F.array_join(pairs, ",").alias("counts"))
 

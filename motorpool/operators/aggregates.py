@@ -105,12 +105,17 @@ def pivot_counts(df: DataFrame, keys: Sequence[str], column: str, values: Sequen
     return df.groupBy(*keys).agg(*counts) if keys else df.agg(*counts)
 
 
-def status_map(df: DataFrame, column: str, values: Sequence[str], name: str = "counts") -> DataFrame:
-    """The counts of the listed values that occur, as one MAP, in one pass. What is not listed is
-    not counted, so the map is as small as the list, whatever the column holds."""
+def status_map(df: DataFrame, column: str, values: Sequence[str], name: str = "counts", other: str = "other") -> DataFrame:
+    """The counts of the listed values that occur, as one MAP, in one pass. Whatever is not listed,
+    and NULL, counts as ``other``, so the map adds up to all rows and is as small as the list."""
     listed = sorted(values)
-    counts = df.agg(*[F.count_if(F.col(column) == v).alias(f"__{i}") for i, v in enumerate(listed)])
-    entries = F.array(*[F.struct(F.lit(v).alias("key"), F.col(f"__{i}").alias("value")) for i, v in enumerate(listed)])
+    if other in listed:
+        raise ValueError(f"{other!r} is a listed value; give another name for the rest")
+    found = F.coalesce(F.col(column).isin(listed), F.lit(False)) if listed else F.lit(False)
+    counted = [F.count_if(F.col(column) == v) for v in listed] + [F.count_if(~found)]
+    counts = df.agg(*[c.alias(f"__{i}") for i, c in enumerate(counted)])
+    keys = [*listed, other]
+    entries = F.array(*[F.struct(F.lit(v).alias("key"), F.col(f"__{i}").alias("value")) for i, v in enumerate(keys)])
     return counts.select(F.map_from_entries(F.filter(entries, lambda e: e["value"] > 0)).alias(name))
 
 

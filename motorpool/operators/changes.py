@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from motorpool import values
 from motorpool.functions.scalars import col, moment
@@ -100,6 +101,13 @@ def _unknown_key(commands: DataFrame, table: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _place(commands: DataFrame, order: str) -> Column:
+    """A command's place among those of its key: its order, and where that is equal the whole
+    command, so that the outcome does not hang on the order of tasks."""
+    rest = [f.name for f in commands.schema.fields if isinstance(f.dataType, T.AtomicType) and f.name != order]
+    return F.struct(F.col(order), *sorted(rest))
+
+
 def transition_status(
     table: DataFrame,
     commands: DataFrame,
@@ -115,6 +123,7 @@ def transition_status(
 ) -> tuple[DataFrame, DataFrame]:
     """Set a status from commands (key, status, order); the last command per key wins.
 
+    Of commands of equal order the greatest by their other columns, taken by name, wins.
     ``stamp`` names a time column set to ``as_of`` by the ``stamped`` statuses, also by one
     that a later command of the batch replaces; with ``reset`` only the last command counts
     and any other status clears it. ``carry`` columns are taken from the last command.
@@ -123,7 +132,7 @@ def transition_status(
     permitted = F.coalesce(F.col(status).isin(*allowed), F.lit(False))
     valid = commands.filter(permitted)
     last = valid.groupBy(F.col(key).alias("__key")).agg(
-        F.max_by(F.struct(F.col(status), *carry), F.col(order)).alias("__cmd"),
+        F.max_by(F.struct(F.col(status), *carry), _place(commands, order)).alias("__cmd"),
         F.bool_or(F.col(status).isin(*stamped)).alias("__stamped"),
     )
     joined = table.join(last, F.col(key) == F.col("__key"), "left")
@@ -151,7 +160,8 @@ def patch_rows(
     touched: str | None = "updated_at",
     stamps: Mapping[str, tuple[str, str]] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Partial updates: NULL or empty keeps the old value, later commands overlay earlier ones.
+    """Partial updates: NULL or empty keeps the old value, later commands overlay earlier ones, and
+    of equal order the greatest by their other columns, taken by name.
 
     A command with nothing to set and one for an unknown key are refused. ``touched`` is set
     to ``as_of`` on every change; ``stamps`` maps a time column to the (field, value) that
@@ -162,7 +172,7 @@ def patch_rows(
     valid = commands.filter(sets_any)
     stamps = stamps or {}
     merged = valid.groupBy(F.col(key).alias("__key")).agg(
-        *[F.max_by(g, F.when(g.isNotNull(), F.col(order))).alias(f"__{f}") for f, g in given.items()],
+        *[F.max_by(g, F.when(g.isNotNull(), _place(commands, order))).alias(f"__{f}") for f, g in given.items()],
         *[
             F.coalesce(F.bool_or(F.col(f) == F.lit(v)), F.lit(False)).alias(f"__stamp_{name}")
             for name, (f, v) in stamps.items()

@@ -63,30 +63,51 @@ def range_join(
     keys: Sequence[str] = (),
     how: str = "inner",
     bucket_minutes: int = 60,
-    salts: int = 8,
+    salts: int = 4,
 ) -> DataFrame:
     """Points inside ``[start, end)``.
 
-    Windows are laid over time buckets, so the join is an equi join on the bucket (and
-    ``keys``) with the exact bounds as a residual test. Points are dealt to ``salts`` shares of
-    their bucket and windows go to each, so one crowded hour is split among tasks.
-    ``how="semi"`` keeps each point that lies in any window, once; only then are equal windows
-    folded into one first.
+    Windows are laid over time blocks, so the join is an equi join on the block (and ``keys``)
+    with the exact bounds as a residual test. For an inner join a window takes blocks of 1, 4,
+    16 ... minutes, of the size that covers it with 17 at most, whatever its length; a point
+    takes the block it lies in for each of the sizes that the windows use, mostly one or two.
+    Otherwise a point must not be copied, and all blocks have ``bucket_minutes``.
+
+    Points are dealt to ``salts`` shares of their block and windows go to each, so one crowded
+    block is split among tasks. ``how="semi"`` keeps each point that lies in any window, once;
+    only then are equal windows folded into one first. A window column that points have too is
+    refused, unless it is one of ``keys``.
     """
+    clashing = [c for c in windows.columns if c in points.columns and c not in keys]
+    if how != "semi" and clashing:
+        raise ValueError(f"points and windows both have {', '.join(clashing)}; rename them first")
     spans = windows.filter(F.col(start) < F.col(end))
     if how == "semi":
         spans = spans.select(*keys, start, end).distinct()
-    buckets = F.sequence(
-        F.floor(minute_number(start) / bucket_minutes), F.floor(minute_number(end) / bucket_minutes)
-    )
+    if how == "inner":
+        minutes = minute_number(end) - minute_number(start) + 1
+        spans = spans.withColumn("__level", F.greatest(F.lit(0), F.floor(F.log2(minutes) / 2) - 1).cast("int"))
+        buckets = F.sequence(_block(minute_number(start)), _block(minute_number(end)))
+    else:
+        spans = spans.withColumn("__level", F.lit(0))
+        buckets = F.sequence(
+            F.floor(minute_number(start) / bucket_minutes), F.floor(minute_number(end) / bucket_minutes)
+        )
     spans = spans.withColumn("__bucket", F.explode(buckets))
+    if how == "inner":
+        levels = spans.agg(F.collect_set("__level").alias("levels")).scalar()
     spans = spans.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("w")
     near = points if how == "left" else _within_reach(points, ts, windows, start, end)
     others = [f.name for f in points.schema.fields if f.name != ts and isinstance(f.dataType, T.AtomicType)]
-    placed = near.withColumn("__bucket", F.floor(minute_number(ts) / bucket_minutes))
+    if how == "inner":
+        placed = near.withColumn("__levels", levels).withColumn("__level", F.explode("__levels")).drop("__levels")
+        placed = placed.withColumn("__bucket", _block(minute_number(ts)))
+    else:
+        placed = near.withColumn("__level", F.lit(0)).withColumn("__bucket", F.floor(minute_number(ts) / bucket_minutes))
     placed = placed.withColumn("__salt", F.pmod(F.xxhash64(ts, *others), F.lit(salts)).cast("int")).alias("p")
     match = (
-        (F.col("p.__bucket") == F.col("w.__bucket"))
+        (F.col("p.__level") == F.col("w.__level"))
+        & (F.col("p.__bucket") == F.col("w.__bucket"))
         & (F.col("p.__salt") == F.col("w.__salt"))
         & (F.col(f"p.{ts}") >= F.col(f"w.{start}"))
         & (F.col(f"p.{ts}") < F.col(f"w.{end}"))
@@ -94,9 +115,14 @@ def range_join(
     for key in keys:
         match = match & (F.col(f"p.{key}") == F.col(f"w.{key}"))
     if how == "semi":
-        return placed.join(spans, match, "left_semi").drop("__bucket", "__salt")
-    right = [F.col(f"w.{c}") for c in windows.columns if c not in keys and c not in points.columns]
-    return placed.join(spans, match, how).select("p.*", *right).drop("__bucket", "__salt")
+        return placed.join(spans, match, "left_semi").drop("__level", "__bucket", "__salt")
+    right = [F.col(f"w.{c}") for c in windows.columns if c not in keys]
+    return placed.join(spans, match, how).select("p.*", *right).drop("__level", "__bucket", "__salt")
+
+
+def _block(minute: Column) -> Column:
+    """The number of the block of ``4 ** __level`` minutes that a minute lies in."""
+    return F.call_function("shiftright", minute.cast("long"), (F.col("__level") * 2).cast("int"))
 
 
 def range_stats(
@@ -246,8 +272,11 @@ def latest_per_key(
 ) -> DataFrame:
     """The newest row of each key, within a lookback when one is given.
 
-    ``all`` keeps every row at the newest time; ``one`` keeps a single row.
+    ``all`` keeps every row at the newest time; ``one`` keeps a single row, the first by
+    ``tie_break``, which it needs.
     """
+    if ties == "one" and not tie_break:
+        raise ValueError("ties='one' needs a tie_break")
     if minutes is not None:
         df = filter_since(df, ts, as_of, minutes=minutes)
     w = W.partitionBy(key).orderBy(F.col(ts).desc(), *(tie_break if ties == "one" else ()))

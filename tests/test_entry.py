@@ -34,8 +34,8 @@ def test_entry_without_the_text_operators(blocked):
     assert int(said[0]) > 150 and said[1:] == ["False", "True"]
 
 
-def test_a_missing_library_is_not_swallowed():
+def test_a_library_that_only_text_operators_need_is_told():
     if not (ROOT / "motorpool" / "llm").exists():
         pytest.skip("the text operators are not here")
-    _, error = run(["tiktoken"])
-    assert "tiktoken" in error
+    said, error = run(["tiktoken"])
+    assert int(said[0]) > 150 and said[1:] == ["False", "True"] and "tiktoken" in error

@@ -87,6 +87,7 @@ def test_range_join_equals_nested_loop(spark, points, keys):
     rows, df = points
     windows = [(*w, random.Random(w[0]).choice(["hot", "a", "b"])) for w in random_windows(40, 500)]
     frame = literal_rows(spark, windows, struct("wid:int s:ts e:ts grp:str"))
+    frame = frame if keys else frame.withColumnRenamed("grp", "wanted")
     pairs = {(r.id, r.wid) for r in J.range_join(df, frame, "ts", "s", "e", keys=keys).collect()}
     expected = {
         (i, wid)
@@ -516,3 +517,56 @@ def test_charging_state_equals_a_loop(spark, chunk_minutes):
     df = literal_rows(spark, rows, struct("k:str ts:ts level:int"))
     got = charging_state(df, "k", "ts", "level", chunk_minutes=chunk_minutes).collect()
     assert {(r.k, r.ts): r.charging for r in got} == expected
+
+
+def test_a_long_window_takes_few_blocks(spark):
+    """A window of a year, one of a minute and one of no length, against all pairs."""
+    start = dt.datetime(2024, 1, 1)
+    windows = literal_rows(
+        spark,
+        [(1, start, start + dt.timedelta(days=365)), (2, start + dt.timedelta(hours=5), start + dt.timedelta(hours=5, minutes=1)), (3, start, start), (4, dt.datetime(1960, 1, 1), dt.datetime(1960, 3, 1))],
+        struct("w:int a:ts b:ts"),
+    )
+    hours = [(i, start + dt.timedelta(hours=i)) for i in range(-2, 24 * 365 + 2, 5)] + [(-99, dt.datetime(1960, 2, 1, 3, 4, 5))]
+    points = literal_rows(spark, hours, struct("id:int ts:ts"))
+    joined = J.range_join(points, windows, "ts", "a", "b")
+    bounds = {1: (start, start + dt.timedelta(days=365)), 2: (start + dt.timedelta(hours=5), start + dt.timedelta(hours=5, minutes=1)), 4: (dt.datetime(1960, 1, 1), dt.datetime(1960, 3, 1))}
+    expected = [(i, w) for i, t in hours for w, (a, b) in bounds.items() if a <= t < b]
+    assert sorted((r.id, r.w) for r in joined.collect()) == sorted(expected)
+    for days in (1, 30, 365, 3650):
+        minutes = days * 1440 + 1
+        level = max(0, int(__import__("math").log2(minutes) / 2) - 1)
+        assert minutes / 4**level + 1 <= 18
+
+
+def test_window_columns_that_points_have_are_refused(spark):
+    points = literal_rows(spark, [(1, T0, "p")], struct("id:int ts:ts name:str"))
+    windows = literal_rows(spark, [(T0, T0 + dt.timedelta(hours=1), "w")], struct("a:ts b:ts name:str"))
+    with pytest.raises(ValueError, match="name"):
+        J.range_join(points, windows, "ts", "a", "b")
+    assert J.range_join(points, windows, "ts", "a", "b", how="semi").count() == 1
+
+
+def test_status_map_adds_up(spark):
+    df = literal_rows(spark, [("x",), ("y",), (None,), ("x",)], struct("c:str"))
+    assert A.status_map(df, "c", ["x", "z"]).first().counts == {"x": 2, "other": 2}
+    assert A.status_map(df, "c", []).first().counts == {"other": 4}
+    with pytest.raises(ValueError):
+        A.status_map(df, "c", ["other"])
+
+
+def test_commands_of_equal_order_do_not_hang_on_tasks(spark):
+    table = literal_rows(spark, [("k", "open", None)], struct("id:str status:str note:str"))
+    rows = [("k", "closed", "a", 1), ("k", "held", "b", 1), ("k", "closed", "c", 1)]
+    for order in (rows, rows[::-1]):
+        commands = literal_rows(spark, order, struct("id:str status:str note:str at:int")).repartition(3)
+        updated, _ = C.transition_status(table, commands, "id", "at", ["closed", "held"], "2024-01-01", carry=["note"])
+        assert tuple(updated.first()) == ("k", "closed", "c")
+        patched, _ = C.patch_rows(table, commands, "id", "at", ["status", "note"], "2024-01-01", touched=None)
+        assert tuple(patched.first()) == ("k", "closed", "c")
+
+
+def test_one_of_equal_times_needs_a_tie_break(spark):
+    df = literal_rows(spark, [(1, T0)], struct("k:int ts:ts"))
+    with pytest.raises(ValueError, match="tie_break"):
+        J.latest_per_key(df, "k", "ts", ties="one")
