@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motorpool.llm.common import map_texts, maybe_among
-from motorpool.llm.near import CENTRES, SMALL_BUCKET, Shingler, against_ref, compared, connect, connected_components, may_link
+from motorpool.llm.near import Shingler, against_ref, compared, connect, connected_components, may_link
 from motorpool.session import materialise
 
 WORDS, PERCENT = 4, 85
+#: Under a shingle with up to this many members all pairs across components are looked at in one
+#: round; of more, so many members a round. Bounds leave few to verify, so rounds are the cost.
+SMALL_BUCKET, CENTRES = 2048, 1024
 
 #: Shingles whose hash is among the least of this share judge which sets can have a link at all.
 SHARE = 0.25
