@@ -60,16 +60,35 @@ def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return pages.select(url_tokens(F.col("url"), host, path).alias("tokens"), named.alias("named")).join(given, "named").select("tokens", "label")
 
 
+def alike_tokens(examples: DataFrame, least: float) -> DataFrame:
+    """``(item, alike, n)``: tokens of at least ``least`` examples, those that always occur together
+    as one item under the first of them. Occurrences are compared by their number and two sums of hashes."""
+    seen = examples.select("row", F.explode("tokens").alias("token"))
+    sums = (F.sum(F.xxhash64(F.lit(seed), "row").cast("decimal(20,0)")).alias(f"sum{seed}") for seed in (1, 2))
+    tokens = seen.groupBy("token").agg(F.count(F.lit(1)).alias("n"), *sums).filter(F.col("n") >= least)
+    alike = F.sort_array(F.collect_list("token"))
+    return tokens.groupBy("n", "sum1", "sum2").agg(alike.alias("alike")).select(F.col("alike")[0].alias("item"), "alike", "n")
+
+
 def mine_rules(examples: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST_PAGES) -> DataFrame:
     """Rules ``antecedent -> verdict`` from ``examples(tokens, label)``: frequent sets of tokens and a
     label by FP-growth, kept where frequent and right enough, and better than every rule that
-    has one token less, down to the label's share of all."""
-    examples = materialise(examples, "examples")
+    has one token less, down to the label's share of all.
+
+    Tokens that always occur together are one item: a rule with two of them is no better than
+    with one, so none is kept, and without this their subsets would all be frequent. ``alike``
+    lists, for each token of the antecedent, those that stand for it as well.
+    """
+    examples = materialise(examples.select(F.monotonically_increasing_id().alias("row"), "tokens", "label"), "examples")
     total = examples.count()
     if not total:
-        return examples.sparkSession.createDataFrame([], _RULES)
-    items = examples.select(F.concat("tokens", F.array(F.concat(F.lit("label="), F.col("label")))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / total)), minConfidence=confidence).fit(items)
+        return examples.sparkSession.createDataFrame([], f"{_RULES}, alike array<array<string>>")
+    share = min(1.0, max(support, least / total))
+    items = materialise(alike_tokens(examples, share * total - 1e-6), "items")
+    held = examples.select("row", F.explode("tokens").alias("item")).join(items.select("item"), "item").groupBy("row").agg(F.collect_list("item").alias("held"))
+    label = F.array(F.concat(F.lit("label="), F.col("label")))
+    baskets = examples.select("row", "label").join(held, "row", "left").select(F.coalesce(F.concat("held", label), label).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(baskets)
     found = model.associationRules.filter(F.col("consequent")[0].startswith("label=")).select(
         F.array_sort("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], 7, 100).alias("verdict"), "confidence", "support"
     )
@@ -79,13 +98,13 @@ def mine_rules(examples: DataFrame, support: float = SUPPORT, confidence: float
     parents = rules.select(F.col("antecedent").alias("less"), "verdict", F.col("confidence").alias("parent")).unionByName(shares)
     fewer = rules.select("*", F.explode("antecedent").alias("out")).withColumn("less", F.array_remove("antecedent", F.col("out")))
     beaten = fewer.join(parents, ["less", "verdict"]).filter(F.col("parent") >= F.col("confidence")).select("antecedent", "verdict").distinct()
-    counts = examples.select(F.explode("tokens").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     kept = rules.join(beaten, ["antecedent", "verdict"], "left_anti")
-    rarest = kept.select("antecedent", "verdict", F.explode("antecedent").alias("key")).join(counts, "key")
-    rarest = rarest.groupBy("antecedent", "verdict").agg(F.min(F.struct("n", "key"))["key"].alias("key"))
-    return kept.join(rarest, ["antecedent", "verdict"]).select(
-        F.array_join("antecedent", " ").alias("rule"), "key", "antecedent", F.lit("").alias("path"), "verdict", F.lit(False).alias("base"), "confidence", "support"
-    )
+    told = kept.select("antecedent", "verdict", F.posexplode("antecedent").alias("at", "item")).join(items, "item").groupBy("antecedent", "verdict")
+    told = told.agg(F.min(F.struct("n", "item"))["item"].alias("key"), F.sort_array(F.collect_list(F.struct("at", "alike")))["alike"].alias("alike"))
+    return kept.join(told, ["antecedent", "verdict"]).select(
+        F.array_join("antecedent", " ").alias("rule"), "key", "antecedent", F.lit("").alias("path"), "verdict", F.lit(False).alias("base"),
+        "confidence", "support", "alike",
+    )
 
 
 def base_rules(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
@@ -97,10 +116,12 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     """One row per row of ``pages(page_id, url)``: host, path, base rule and verdict, and the mined
     rule that would decide.
 
-    The index lists each rule under its rarest token, so a page meets a rule at most once, and
-    only where it has that token; the rest of the rule is checked then. Of the base rules that
+    The index lists each rule under its rarest token, so a page meets a rule only where it has
+    that token; the rest of the rule is checked then. Of the base rules that
     fit the longest wins; without one the surest mined rule decides, then the more frequent
-    one, then the one of more tokens; without any, ``default``.
+    one, then the one of more tokens; without any, ``default``. Where rules have ``alike``, any
+    token listed there serves for its place in the antecedent, and the rule is listed under each
+    that serves for its key.
 
     A url of null, or without ``://``, has empty host and path, and fits no rule. Each repeated
     row is returned; a null page_id is kept; an empty table gives an empty result; other columns
@@ -110,8 +131,11 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     read = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))
     tokens = F.when(F.col("url").contains("://"), url_tokens(F.col("url"), F.col("host"), F.col("path"))).otherwise(F.array().cast("array<string>"))
     told = read.select(F.monotonically_increasing_id().alias("row"), "page_id", "host", "path", tokens.alias("tokens"))
-    index = materialise(rules, "index").select(
-        "key", "antecedent", F.col("path").alias("prefix"), "base",
+    alone = F.transform("antecedent", lambda t: F.array(t))
+    alike = F.coalesce(F.col("alike"), alone) if "alike" in rules.columns else alone
+    keys = F.flatten(F.filter("serve", lambda tokens: F.array_contains(tokens, F.col("key"))))
+    index = materialise(rules.withColumn("serve", alike).withColumn("key", F.explode(keys)), "index").select(
+        "key", "serve", F.col("path").alias("prefix"), "base",
         F.struct(
             F.when(F.col("base"), F.length("rule")).otherwise(0).alias("length"), "confidence", "support",
             F.size("antecedent").alias("tokens"), "rule", "verdict",
@@ -120,7 +144,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     if index.count() <= BROADCAST_RULES:
         index = F.broadcast(index)
     met = told.select("*", F.posexplode_outer("tokens").alias("at", "key")).join(index, "key", "left")
-    fits = F.coalesce(F.forall("antecedent", lambda t: F.array_contains("tokens", t)) & F.col("path").startswith(F.col("prefix")), F.lit(False))
+    fits = F.coalesce(F.forall("serve", lambda t: F.arrays_overlap("tokens", t)) & F.col("path").startswith(F.col("prefix")), F.lit(False))
     best = met.filter(fits | (F.coalesce("at", F.lit(0)) == 0)).groupBy("row", "page_id", "host", "path").agg(
         F.max(F.when(fits & F.col("base"), F.col("choice"))).alias("set"), F.max(F.when(fits & ~F.col("base"), F.col("choice"))).alias("mined")
     )
@@ -130,4 +154,4 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = BASE_RULES) -> DataFrame:
     mined = mine_rules(labelled(pages, labels))
-    return judge(pages, base_rules(pages.sparkSession, rules).unionByName(mined))
+    return judge(pages, base_rules(pages.sparkSession, rules).unionByName(mined, allowMissingColumns=True))

@@ -73,6 +73,37 @@ def test_mined_rules_against_counts(spark):
     assert found == kept and ("a b", "block") in found
 
 
+def test_tokens_that_occur_together_are_mined_as_one(spark):
+    rnd = random.Random(3)
+    fields = [f"query:f{i:02}=x" for i in range(40)]
+    examples = []
+    for _ in range(300):
+        tokens = [t for t in ("a", "b") if rnd.random() < 0.5]
+        tokens += ["c", "d"] if "a" in tokens else []
+        examples.append((tokens + fields * (rnd.random() < 0.3), "block" if "a" in tokens and "b" in tokens or rnd.random() < 0.2 else "allow"))
+    df = spark.createDataFrame(examples, "tokens array<string>, label string")
+    rules = urls.mine_rules(df, 0.02, 0.5)
+    found = {(frozenset(one), r["verdict"]): r["confidence"] for r in rules.collect() for one in itertools.product(*r["alike"])}
+    rates, total = {}, len(examples)
+    tokens = ["a", "b", "c", "d", *fields]  # no kept rule has more than one of a class, so three tokens are the most
+    for n in range(4):
+        for ante in map(frozenset, itertools.combinations(tokens, n)):
+            if len(ante & {"a", "c", "d"}) < 2 and len(ante & set(fields)) < 2:
+                holding = [label for held, label in examples if ante <= set(held)]
+                for label in ("allow", "block"):
+                    rates[ante, label] = (holding.count(label) / max(1, len(holding)), holding.count(label) / total)
+    kept = {}
+    for (ante, label), (confidence, share) in rates.items():
+        less = [rates[ante - {t}, label] for t in ante]
+        if ante and confidence >= 0.5 and share * total >= 10 and all(c < confidence or (c < 0.5 and len(ante) > 1) for c, _ in less):
+            kept[ante, label] = pytest.approx(confidence)
+    assert found == kept and (frozenset("bd"), "block") in found
+    pages = spark.createDataFrame([(1, "http://h.com/p/1.html?u=1&v=2", ""), (2, "http://h.com/q/2.html?v=2", ""), (3, "http://h.com/q/3", "")], PAGES)
+    rule = [("query:u=1", "query:u=1", ["query:u=1"], "", "block", False, 0.9, 0.1, [["query:u=1", "query:v=2"]])]
+    judged = urls.judge(pages, spark.createDataFrame(rule, f"{urls._RULES}, alike array<array<string>>"))
+    assert {r["page_id"]: r["verdict"] for r in judged.collect()} == {1: "block", 2: "block", 3: "allow"}
+
+
 def test_a_mined_rule_decides_where_no_base_rule_fits(spark):
     rules = spark.createDataFrame(
         [
