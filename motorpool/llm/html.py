@@ -28,29 +28,90 @@ HOLDS = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".sp
 #: An element that ends when a like one starts, within the nearest of its containers.
 ENDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 LIKE = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
-#: Elements, and words in a class or id, that mark what is not the article.
+#: Elements that are not the article, and words that say so where a class, id or role ends in them.
 ASIDE = frozenset("nav aside form footer menu".split())
 ASIDE_WORDS = frozenset(
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu "
     "modal nav navbar navigation newsletter notice pagination popup promo promoted related replies reply share sharing sidebar social sponsor "
     "sponsored subscribe toolbar topbar widget".split()
 )
+#: Of these, what readers write; and words that say so only by their place or a repeated structure.
+COMMENT_WORDS = frozenset("comment comments disqus replies reply".split())
+READER_WORDS = frozenset("conversation discuss discussion discussions feedback reactions respond responses reviews thread".split())
+#: Words that may follow the one that counts (``comment-list``), and those that tell of a state (``has-sidebar``).
+PART_WORDS = frozenset(
+    "area bar block body bottom box button buttons column container content group holder icon icons inner item items js left link links list "
+    "main message outer page panel post posts reader readers right row section site slot text title top unit user users wrap wrapper".split()
+)
+STATE_WORDS = frozenset("has no with without not non is hide hidden show enabled disabled open closed allow allows".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Containers that repeat where readers' comments follow each other.
+REPEATED = frozenset("div li article section dd".split())
 #: A path is content from this share of the page's mean score, weighted by text.
 THRESHOLD = 0.5
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.DOTALL)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_WORD = re.compile(r"[a-z0-9]+")
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，]")
 
 
-class _Mark:
-    """What an element holds whose names say that it is beside the article."""
+def _words(name: str) -> list[str]:
+    return [w.lower() for w in _WORD.findall(name)]
+
 
-    __slots__ = ("plain", "holds")
+def _names(attributes: str) -> Iterator[tuple[str, list[str]]]:
+    """The names in class, id and role, each as its words."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id", "role"):
+            for name in html.unescape(m[2] or m[3] or m[4] or "").split():
+                yield m[1].lower(), _words(name)
 
-    def __init__(self):
-        self.plain, self.holds = 0, False
+
+def _tells(kind: str, words: list[str]) -> str | None:
+    """The word by which a name says that its element is beside the article. It is the last one but
+    for parts, as ``related-work`` is work; an id, often made of a heading, has no other words."""
+    small = [w for w in words if not (w.isdigit() or len(w) == 1)]
+    if not STATE_WORDS.isdisjoint(small):
+        return None
+    if kind == "id" and any(w not in ASIDE_WORDS and w not in READER_WORDS and w not in PART_WORDS for w in small):
+        return None
+    while len(small) > 1 and small[-1] in PART_WORDS and small[-1] not in ASIDE_WORDS:
+        small.pop()
+    return small[-1] if small and (small[-1] in ASIDE_WORDS or small[-1] in READER_WORDS) else None
+
+
+class _Mark:
+    """What is known of an element whose names say that it is beside the article."""
+
+    __slots__ = ("comment", "weak", "inside", "topic", "plain", "holds", "first", "last", "repeats", "steps", "away")
+
+    def __init__(self, told: list[tuple[str, list[str], str]], inside: set[str]):
+        words = [word for _, _, word in told]
+        self.comment = not COMMENT_WORDS.isdisjoint(words)
+        self.weak = READER_WORDS.issuperset(words)
+        self.inside = inside  # which of article and main are around it
+        # Named by an id alone, it may be a section whose heading gave the name.
+        self.topic = told[0][1] if all(kind == "id" for kind, _, _ in told) else None
+        self.plain, self.holds, self.first, self.last = 0, False, None, -1
+        self.repeats, self.steps = False, set()
+
+    def judge(self, total: int, articles: set[str], after: int) -> None:
+        """Sets whether the names are right; ``articles`` are the kinds that the page has, and
+        ``after`` is where its last block without a mark is."""
+        heads = self.first is not None and self.first["path"].rsplit("/", 1)[-1].split(".")[0] in HEADINGS
+        topic = heads and not self.comment and self.topic == _words(self.first["text"])
+        if self.holds:
+            self.away = False
+        elif self.weak:
+            outside = bool(articles) and ("article" if "article" in articles else "main") not in self.inside
+            self.away = outside or self.repeats or (self.last > after and not topic)
+        elif topic and (self.inside or not articles):
+            self.away = False
+        elif self.comment:
+            self.away = bool(articles) or self.plain < total
+        else:
+            self.away = (bool(articles) and not self.inside) or 2 * self.plain <= total
 
 
 class _Page:
@@ -60,7 +121,7 @@ class _Page:
         # Element, its step in the path, and whether it is beside the article: by its element, or a
         # mark where only its names say so.
         self.open: list[tuple[str, str, bool | _Mark]] = []
-        self.articles: list[list[_Mark]] = []  # the marks around each article and main
+        self.articles: list[tuple[str, list[_Mark]]] = []  # each article and main, with the marks around it and its own
         self.parts: list[str] = []
         self.linked = self.links = 0
         self.inline: dict[str, int] = {}  # open elements inside the line, by name
@@ -88,19 +149,28 @@ class _Page:
 
     def judge(self) -> None:
         """Marks that names gave go from what holds an article or main, of those with the fewest
-        marks around them, or most of the page's text that is no link."""
+        marks around them, or most of the page's text that is no link; those that tell of readers
+        by what else speaks for it."""
         plain = [b["chars"] - b["linked"] for b in self.blocks]
-        for block, n in zip(self.blocks, plain):
+        marks, after = [], -1
+        for at, (block, n) in enumerate(zip(self.blocks, plain)):
+            if not block["aside"]:
+                after = at
             for mark in block["aside"]:
                 if mark is not True:
+                    if mark.first is None:
+                        mark.first = block
+                        marks.append(mark)
+                    mark.last = at
                     mark.plain += n
-        fewest = min(map(len, self.articles), default=0)
-        for marks in self.articles:
-            for mark in marks if len(marks) == fewest else ():
-                mark.holds = True
-        total = sum(plain)
+        fewest = min((len(around) for _, around in self.articles), default=0)
+        outer = [(name, around) for name, around in self.articles if len(around) == fewest]
+        for mark in (mark for _, around in outer for mark in around):
+            mark.holds = True
+        for mark in marks:
+            mark.judge(sum(plain), {name for name, _ in outer}, after)
         for block in self.blocks:
-            block["aside"] = any(mark is True or not (mark.holds or 2 * mark.plain > total) for mark in block["aside"])
+            block["aside"] = any(mark is True or mark.away for mark in block["aside"])
 
     def hides_start(self, name: str, empty: bool) -> bool:
         """Whether an element that starts is hidden; a hidden one that cannot hold it ends."""
@@ -178,17 +248,25 @@ class _Page:
                 self.open.pop()
             if name in ENDS:
                 self.pop(LIKE.get(name, (name,)), ENDS[name])
-            words = sorted({w for m in _NAMES.finditer(attributes) for w in _WORD.findall("".join(filter(None, m.groups())).lower())})
-            inside = any(n in ("article", "main") for n, _, _ in self.open)
-            named = not ASIDE_WORDS.isdisjoint(words)
+            names = list(_names(attributes)) if "=" in attributes else []
+            words = sorted({w for _, parts in names for w in parts})
+            inside = {n for n, _, _ in self.open if n in ("article", "main")}
+            told = [(kind, parts, word) for kind, parts in names if (kind != "id" or name not in HEADINGS) and (word := _tells(kind, parts))]
+            around = [a for _, _, a in self.open if a]
+            step = ".".join([name, *words])
+            if words and name in REPEATED:
+                for mark in around:
+                    if mark is not True and mark.weak:
+                        mark.repeats |= step in mark.steps
+                        mark.steps.add(step)
             aside = name in ASIDE or (name == "header" and not inside)
-            if name in ("article", "main"):
-                around = [a for _, _, a in self.open if a]
-                if not named and True not in around:
-                    self.articles.append(around)
-            elif named and not aside and name not in ("html", "body"):
-                aside = _Mark()
-            self.open.append((name, ".".join([name, *words]), aside))
+            # Of articles only their own kind of names tells: a comment, an advert.
+            if told and not aside and name not in ("html", "body", "main"):
+                aside = _Mark(told, inside)
+                around = [*around, aside]
+            if name in ("article", "main") and True not in around:
+                self.articles.append((name, around))
+            self.open.append((name, step, aside))
         else:
             self.flush()
 
@@ -240,7 +318,8 @@ def _smooth(column: str, order: W) -> Column:
 
 
 def article_of(blocks: DataFrame) -> DataFrame:
-    """``(page_id, html_hash, article)``: the path of the element that holds each page's article.
+    """``(page_id, html_hash, article, also, but)``: the path of the element that holds each page's
+    article, the paths outside it whose blocks belong to it, and those inside it that do not.
 
     1. Text, punctuation and linked text are summed per page and root-to-leaf tag path, and
        divided by the blocks that have that path.
@@ -250,11 +329,16 @@ def article_of(blocks: DataFrame) -> DataFrame:
     4. Paths from ``THRESHOLD`` of the page's mean are content. The article is the element that
        holds all of them, or the outermost article or main around that, so no content path and no
        title or lead beside the body is left out.
+    5. Where no article or main marks its bounds, paths outside that element stay too unless most
+       of their text is links, if they are headings, stand as a paragraph right in an element
+       around it, or hold a sentence's marks: a low score alone does not drop a title or a last
+       short paragraph. Paths inside it that are mostly links go if they stand before or after
+       all content.
     """
     page = ["page_id", "html_hash"]
     seen = blocks.select(*page, F.posexplode("blocks").alias("at", "b")).select(*page, "at", "b.path", "b.aside", "b.chars", "b.marks", "b.linked").filter("NOT aside")
     paths = seen.groupBy(*page, "path").agg(
-        F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("marks").alias("marks"), F.sum("linked").alias("linked")
+        F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("marks").alias("marks"), F.sum("linked").alias("linked")
     )
     order = W.partitionBy(*page).orderBy("first")
     rated = paths.withColumn("text_ratio", F.col("chars") / F.col("n")).withColumn("mark_ratio", F.col("marks") / F.col("n"))
@@ -262,30 +346,45 @@ def article_of(blocks: DataFrame) -> DataFrame:
     fused = smooth.withColumn("score", F.col("text_ratio") * (1 + F.log1p("mark_ratio")) * (1 - F.col("linked") / F.col("chars")))
     whole = W.partitionBy(*page)
     mean = F.sum(F.col("score") * F.col("chars")).over(whole) / F.sum("chars").over(whole)
-    content = fused.withColumn("mean", mean).filter(F.col("score") >= THRESHOLD * F.col("mean"))
-    steps = F.split("path", "/")
+    steps, last = F.split("path", "/"), F.element_at(F.split("path", "/"), -1)
+    above = F.slice(steps, 1, F.size(steps) - 1)
     # The last step of a path is the block itself, unless the text stands right in its container.
-    in_container = F.element_at(steps, -1).rlike(r"^(article|main|body|html|div|section|td)(\.|$)")
-    holder = F.when(in_container, steps).otherwise(F.slice(steps, 1, F.size(steps) - 1))
+    holder = F.when(last.rlike(r"^(article|main|body|html|div|section|td)(\.|$)"), steps).otherwise(above)
+    rated = fused.withColumn("mean", mean).withColumn("holder", F.when(F.col("score") >= THRESHOLD * F.col("mean"), holder))
     # What the first and the last of them in order have in common, all have.
-    held = content.groupBy(*page).agg(F.min(holder).alias("low"), F.max(holder).alias("high"))
+    ends = {"low": F.min("holder"), "high": F.max("holder"), "begins": F.min(F.when(F.col("holder").isNotNull(), F.col("first")))}
+    ends["stops"] = F.max(F.when(F.col("holder").isNotNull(), F.col("last")))
+    held = rated.select("*", *(end.over(whole).alias(name) for name, end in ends.items())).filter("low IS NOT NULL")
     differ = F.array_position(F.zip_with("low", "high", lambda a, b: a.eqNullSafe(b)), False)
     common = F.slice("low", 1, F.when(differ == 0, F.size("low")).otherwise(differ - 1).cast("int"))
     marked = F.array_position(F.transform(common, lambda s: s.rlike(r"^(article|main)(\.|$)")), True)
-    return held.select(*page, F.array_join(F.when(marked > 0, F.slice(common, 1, marked.cast("int"))).otherwise(common), "/").alias("article"))
+    bounded = marked > 0
+    article = F.array_join(F.when(bounded, F.slice(common, 1, marked.cast("int"))).otherwise(common), "/")
+    beyond = (F.col("last") < F.col("begins")) | (F.col("first") > F.col("stops"))
+    links = ~F.coalesce(bounded, F.lit(False)) & (2 * F.col("linked") >= F.col("chars"))
+    placed = held.select(*page, "path", "marks", article.alias("article"), F.coalesce(bounded, F.lit(False)).alias("bounded"), links.alias("links"), (links & beyond).alias("out"))
+    sentence = (F.col("marks") > 0) & ~last.rlike(r"^li(\.|$)")
+    right_in = last.rlike(r"^(p|blockquote|pre)(\.|$)") & F.startswith(F.concat("article", F.lit("/")), F.concat(F.array_join(above, "/"), F.lit("/")))
+    belongs = ~F.col("bounded") & ~F.col("links") & (last.rlike(r"^h[1-6](\.|$)") | sentence | right_in)
+    return placed.groupBy(*page).agg(
+        F.min("article").alias("article"), F.collect_list(F.when(belongs, F.col("path"))).alias("also"), F.collect_list(F.when(F.col("out"), F.col("path"))).alias("but")
+    )
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages(page_id, url, html)``: page_id, url, text.
 
-    The text is every block inside the article's element but those beside the article by their
-    names, in page order; what is outside has a low score or such a name. Blocks are joined by
+    The text is every block inside the article's element, and outside it what ``article_of`` adds,
+    but not those beside the article by their names, in page order. Blocks are joined by
     line ends; white space within a block, line breaks among it, is one space. Pages are read
     twice, once for their paths and once for their text; the statistics that are shuffled hold
     no text, and a page is at most one row everywhere.
 
-    A name puts an element beside the article unless it holds an article or main, or most of the
-    page's text that is no link: then the name tells of something else, as ``has-sidebar`` does.
+    A name puts an element beside the article if it ends in a word for that (``has-sidebar`` and
+    ``related-work`` do not), unless the element holds the article or main, or most of the page's
+    text that is no link, or starts with a heading of its id's words. Headings are never judged by
+    their id. Words such as ``responses`` count only outside the article, after its last block, or
+    where containers of one name repeat in the element.
 
     Null and empty html, and pages of nothing but boilerplate, give an empty text. Unclosed
     elements, hidden ones among them, end with what holds them, and a hidden one that ends in
@@ -294,10 +393,11 @@ def extract(pages: DataFrame) -> DataFrame:
     an empty result; other columns are not read.
     """
     blocks = blocks_of(pages)
-    found = article_of(blocks).select(F.col("page_id").alias("id"), F.col("html_hash").alias("hash"), "article")
+    found = article_of(blocks).select(F.col("page_id").alias("id"), F.col("html_hash").alias("hash"), "article", "also", "but")
     same = F.col("page_id").eqNullSafe(F.col("id")) & F.col("html_hash").eqNullSafe(F.col("hash"))
     kept = blocks.select("page_id", "html_hash", "url", F.filter("blocks", lambda b: ~b["aside"]).alias("blocks")).join(found, same, "left")
-    inside = F.filter("blocks", lambda b: F.concat(b["path"], F.lit("/")).startswith(F.when(F.col("article") == "", "").otherwise(F.concat("article", F.lit("/")))))
+    start = F.when(F.col("article") == "", "").otherwise(F.concat("article", F.lit("/")))
+    inside = F.filter("blocks", lambda b: F.concat(b["path"], F.lit("/")).startswith(start) & ~F.array_contains("but", b["path"]) | F.array_contains("also", b["path"]))
     text = F.coalesce(F.array_join(F.transform(inside, lambda b: b["text"]), "\n"), F.lit(""))
     return kept.select("page_id", "url", text.alias("text"))
 

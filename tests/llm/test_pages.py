@@ -253,6 +253,44 @@ def test_html_names_of_wrappers_do_not_hide_the_article(spark):
     assert texts_of(spark, [f"<body><p>{said[0]}</p><div class='cookie-notice'><p>short, yes.</p></div></body>"]) == [flat(said[:1])]
 
 
+def test_html_reader_comments_go_and_sections_of_such_names_stay(spark):
+    said = paragraphs(5)
+    body, reader = marked_up(said), "<p>A reader, who disagrees, says so at length here.</p>"
+    comments = [
+        f"<body><main><article>{body}</article><article class='comment'>{reader}</article></main>",
+        f"<body><main><article>{body}</article><article class=CommentBody>{reader * 30}</article></main>",
+        *(f"<body><main><article>{body}</article><section id={name}><h2>{name}</h2>{reader}</section></main>" for name in ("responses", "discussion", "respond")),
+        *(f"<body><article>{body}<div id={name}>{reader}</div></article>" for name in ("responses", "discussion", "respond", "comments")),
+        f"<body><article>{body}<div id=discussion><h2>Discussion</h2><div class=c>{reader}</div><div class=c>{reader}</div></div></article>",
+        f"<body><article>{body}</article><div class='comments'>{reader * 90}</div>",
+        f"<body><div class=post>{body}</div><div id=comments><h2>Comments</h2>{reader}</div>",
+    ]
+    assert texts_of(spark, comments) == [flat(said)] * len(comments)
+    short = "<p>Few words.</p>"
+    sections = [
+        (f"<body><article>{body}<h2 id='related-work'>Related work</h2><p>Few words.</p>", ["Related work", "Few words."]),
+        (f"<body><article>{body}<section id='social-policy'><p>{said[0]}</p></section>", flat(said[:1])),
+        (f"<body><article>{body}<section id=cookies><h2>Cookies</h2>{short}</section>", ["Cookies", "Few words."]),
+        (f"<body><article>{body}<section id=discussion><h2>Discussion</h2>{short}</section>{marked_up(said[:1])}", ["Discussion", "Few words.", *flat(said[:1])]),
+        (f"<body><main class=content>{body}<h3 id=comments>Comments</h3>{short}</main>", ["Comments", "Few words."]),
+        (f"<body><article>{body}<section id='cookies'><p>We use cookies, as many do.</p></section>", []),
+        (f"<body><article>{body}<div class='mysite-newsletter-box'>{short}</div>", []),
+    ]
+    assert texts_of(spark, [page for page, _ in sections]) == [flat(said) + more for _, more in sections]
+
+
+def test_html_without_an_article_keeps_title_lead_and_last_words(spark):
+    said = paragraphs(5)
+    links = "<ul class=more><li><a href='/a'>One link, two</a></li><li><a href='/b'>another link.</a></li></ul>"
+    pages = [
+        f"<body><div id=wrap><h1>Title</h1><p class=lead>A lead</p><div class=body>{marked_up(said)}</div></div>{links}</body>",
+        f"<body>{links}<div><h2>Title</h2><p>{said[0]}</p></div><div class=x><p>Ends here.</p></div></body>",
+        f"<body><div class=top>My site</div><div class=body>{marked_up(said)}</div><div>Sign in</div></body>",
+    ]
+    found = texts_of(spark, pages)
+    assert found == [["Title", "A lead", *flat(said)], ["Title", *flat(said[:1]), "Ends here."], flat(said)]
+
+
 TURNS = "conv_id long, turn long, role string, text string, part long, speaker string"
 
 
