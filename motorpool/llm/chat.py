@@ -30,7 +30,7 @@ def rotate(turns: DataFrame, system: str = SYSTEM, part_turns: int = PART_TURNS)
 
     Turns are ordered by turn, role and text. Places come from numbering all rows over a range
     partitioning, so that a conversation that holds a third of all turns is spread over tasks;
-    it is rendered in parts of ``part_turns`` turns, each with its own offsets, and no task
+    it meets its speakers by blocks of ``part_turns`` turns and is rendered in parts of ``part_turns`` turns, each with its own offsets, and no task
     holds more than one part at once.
 
     Rows without a conv_id belong to no dialogue and are left out. A null turn comes first, a
@@ -40,9 +40,12 @@ def rotate(turns: DataFrame, system: str = SYSTEM, part_turns: int = PART_TURNS)
     """
     read = turns.filter("conv_id IS NOT NULL").select("conv_id", "turn", "role", "text")
     numbered = row_number_over(read, ["conv_id", "turn", "role", "text"], "rn")
-    starts = numbered.groupBy("conv_id").agg(F.min("rn").alias("first"))
+    block = lambda rn: F.floor(F.col(rn) / part_turns)
+    starts = numbered.groupBy("conv_id").agg(F.min("rn").alias("first"), F.max("rn").alias("last"))
     speakers = numbered.filter(F.col("role") != system).select("conv_id", F.col("role").alias("speaker")).distinct()
-    views = numbered.join(speakers.join(starts, "conv_id"), "conv_id")
+    # Speakers go to every block of turns, so that turns meet them by block and not by dialogue.
+    blocks = speakers.join(starts, "conv_id").select("conv_id", "speaker", "first", F.explode(F.sequence(block("first"), block("last"))).alias("block"))
+    views = numbered.withColumn("block", block("rn")).join(blocks, ["conv_id", "block"])
 
     mine = F.coalesce(F.col("role") == F.col("speaker"), F.lit(False))
     named = F.concat(F.lit("<|user name="), _safe(F.coalesce("role", F.lit(UNKNOWN))), F.lit("|>\n"))

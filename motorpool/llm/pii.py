@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -129,17 +130,32 @@ def score(text: str, kind: str, start: int, end: int) -> float:
     return round(min(1.0, max(0.0, value)), 3)
 
 
+def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover, in order."""
+    starts, ends = [], []
+    for start, end in sorted(spans):
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
 def spans_of(text: str | None) -> list[dict]:
-    """All spans of one text, by kind as listed and then by start."""
-    text, found, taken = text or "", [], []
+    """All spans of one text, by kind as listed and then by start; added ones do not overlap base ones."""
+    text = text or ""
+    base = {kind: list(PROPOSE[kind](text)) for kind in BASE}
+    starts, ends = _merged([span for spans in base.values() for span in spans])
+    found = []
     for kind in KINDS:
-        for start, end in PROPOSE[kind](text):
+        for start, end in base[kind] if kind in base else PROPOSE[kind](text):
             value = score(text, kind, start, end)
-            if kind in BASE:
-                taken.append((start, end))
-            elif value < ENOUGH or any(s < end and start < e for s, e in taken):
-                continue
-            found.append({"kind": kind, "start": start, "end": end, "score": value, "base": kind in BASE})
+            if kind not in base:
+                before = bisect_left(starts, end) - 1  # the last stretch that starts before the span's end
+                if value < ENOUGH or (before >= 0 and ends[before] > start):
+                    continue
+            found.append({"kind": kind, "start": start, "end": end, "score": value, "base": kind in base})
     return found
 
 
@@ -157,7 +173,8 @@ SCHEMA = pa.schema(
 def find_pii(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: its spans, offsets in code points, ends exclusive.
 
-    Nothing is shuffled; a text is read whole and once per kind, in time linear in its length.
+    Nothing is shuffled; a text is read whole and once per kind, in time linear in its
+    length but for the sorting of its spans.
     Null and empty texts have no spans, a null doc_id stays null, repeated rows give repeated
     rows, other columns are not read.
     """
@@ -189,4 +206,5 @@ def pii_digest(docs: DataFrame) -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     base = listed(F.filter("spans", lambda s: s["base"]))
-    return found.select("doc_id", *map(count, BASE), F.sha2(base, 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",")
+    return found.select("doc_id", *map(count, BASE), F.sha2(base, 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), scores.alias("scores"))

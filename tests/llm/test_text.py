@@ -72,6 +72,23 @@ def test_pii_query_and_edges(make_docs):
     assert pii.pii_digest(make_docs([])).collect() == []
 
 
+def test_added_spans_do_not_overlap_base_ones_and_scores_are_returned(make_docs):
+    rnd = random.Random(5)
+    pieces = ["a@b.c", "4111 1111 1111 1111", "378282246310005", "card", "token=0123456789abcdef0", "+1 555 123 4567", "1.2.3.4", "219-09-9999", "ssn", " ", ", "]
+    for _ in range(200):
+        text = "".join(rnd.choice(pieces) for _ in range(25))
+        base = base_spans(text)
+        expected = [(k, a, b) for k, a, b in base]
+        for kind in pii.KINDS[len(pii.BASE) :]:
+            sure = [(a, b) for a, b in pii.PROPOSE[kind](text) if pii.score(text, kind, a, b) >= pii.ENOUGH]
+            expected += [(kind, a, b) for a, b in sure if not any(s < b and a < e for _, s, e in base)]
+        assert [(s["kind"], s["start"], s["end"]) for s in pii.spans_of(text)] == expected
+    many = "mail ann@example.org or token=0123456789abcdef0 " * 5_000
+    found = {r["doc_id"]: r for r in pii.pii_digest(make_docs([(1, "mail a@b.c"), (2, many), (3, None)])).collect()}
+    assert found[1]["scores"] == "1.0" and found[3]["scores"] == ""
+    assert found[2]["n_email"] == 5_000 and len(found[2]["scores"].split(",")) == 10_000
+
+
 def test_added_kinds_need_their_checks():
     kinds = lambda t: [(s["kind"], t[s["start"] : s["end"]]) for s in pii.spans_of(t)]
     assert kinds("pay to DE89 3704 0044 0532 0130 00 AND more") == [("iban", "DE89 3704 0044 0532 0130 00")]
