@@ -9,6 +9,8 @@ from motorpool.bindings.registry import Source, query
 from motorpool.functions.scalars import case_map
 from motorpool.operators import changes as C
 from motorpool.operators.aggregates import count_by, kpi_row
+from motorpool.session import scratch_path
+from motorpool.sources import keyed
 
 
 @query(
@@ -122,6 +124,30 @@ def _(src: Source):
     return updated.select("alert_id", "status", "resolved_at")
 
 
+@query(
+    "j03_keyed_transition",
+    with_cte(
+        "surge_alerts",
+        f"""SELECT a.alert_id, coalesce(c.status, a.status) AS status
+            FROM surge_alerts a LEFT JOIN (SELECT alert_id, arg_max(status, seq) AS status FROM ({_COMMANDS})
+                                           WHERE status IN ('acknowledged', 'resolved', 'dismissed') AND alert_id % 5 = 0 GROUP BY 1) c USING (alert_id)""",
+    ),
+)
+def _(src: Source):
+    commands = src.lineitem.filter(F.col("l_orderkey") % 5 == 0).select(
+        F.col("l_orderkey").alias("alert_id"),
+        case_map("l_returnflag", {"A": "acknowledged", "R": "resolved"}, "reopened").alias("status"),
+        _seq().alias("seq"),
+    )
+    table = keyed.create_keyed(domain.surge_alerts(src), scratch_path(src.spark, "alerts"), "alert_id", 64)
+
+    def change(held):
+        return C.transition_status(held, commands, "alert_id", "seq", values.ALERT_TARGETS, domain.EVENTS_AS_OF)[0]
+
+    keyed.rewrite_touched(src.spark, table, commands.select("alert_id"), change)
+    return keyed.read_keyed(src.spark, table).select("alert_id", "status")
+
+
 @query(
     "j03_transition_rejects",
     with_cte(

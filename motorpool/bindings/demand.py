@@ -12,7 +12,8 @@ from motorpool.bindings.scalars import sql_hash, sql_uniform
 from motorpool.functions import hashing as H
 from motorpool.functions.scalars import text_time
 from motorpool.operators.joins import grid, left_default
-from motorpool.plans import fleet, forecasts, rebalance
+from motorpool.plans import callable as sql_functions
+from motorpool.plans import fleet, forecasts, rebalance, regression
 
 
 @query(
@@ -295,8 +296,12 @@ _DEMAND = """
       ON m.event_date = g.d AND m.zone = z.zone_id"""
 
 
+def _history(src: Source):
+    return src.events.select(domain.text("Z", F.col("user_id") % 25).alias("pickup_zone"), F.col("ts").alias("request_ts"))
+
+
 def _demand(src: Source):
-    rides = src.events.select(domain.text("Z", F.col("user_id") % 25).alias("pickup_zone"), F.col("ts").alias("request_ts"))
+    rides = _history(src)
     return forecasts.predict_demand(domain.zones(src), rides, domain.venue_events(src), GRID_DAY, 21, 3)
 
 
@@ -361,3 +366,81 @@ def _(src: Source):
     needed = _demand(src).groupBy("city", "zone_id").agg(F.floor(F.sum("vehicle_count") / 24).alias("needed"))
     moves = rebalance.optimize_rebalancing(rebalance.zone_supply(domain.vehicles(src)), needed)
     return moves.groupBy("city").agg(F.sum("vehicle_count").alias("moved"))
+
+
+@query(
+    "i15_demand_sums",
+    with_cte(
+        "zones venue_events",
+        """, hours AS (
+            SELECT z.zone_id, g.d, g.h, coalesce(r.n, 0) AS y, dayofweek(g.d) AS dow, greatest(coalesce(m.mult, 1.0::DOUBLE), 1.0::DOUBLE) - 1.0::DOUBLE AS ev,
+                   g.d - (DATE '2024-01-23' - 21) AS t
+            FROM zones z CROSS JOIN (SELECT d, h FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-23' - 21, DATE '2024-01-22', INTERVAL 1 DAY)) AS DATE) AS d) days
+                                     CROSS JOIN (SELECT unnest(range(0, 24)) AS h) hh) g
+            LEFT JOIN (SELECT 'Z' || (user_id % 25) AS zone, CAST(ts AS DATE) AS d, hour(ts) AS h, count(*) AS n FROM events GROUP BY 1, 2, 3) r
+              ON r.zone = z.zone_id AND r.d = g.d AND r.h = g.h
+            LEFT JOIN (SELECT event_date, zone, max(demand_multiplier) AS mult FROM venue_events GROUP BY 1, 2) m ON m.event_date = g.d AND m.zone = z.zone_id),
+        f AS (SELECT zone_id, d, h, h AS i, 1.0::DOUBLE AS x FROM hours
+              UNION ALL SELECT zone_id, d, h, dow + 23, 1.0 FROM hours WHERE dow > 0
+              UNION ALL SELECT zone_id, d, h, 30, ev FROM hours WHERE ev > 0
+              UNION ALL SELECT zone_id, d, h, 31, t FROM hours WHERE t > 0
+              UNION ALL SELECT zone_id, d, h, 32, y FROM hours)
+        SELECT a.zone_id, CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j, round(sum(a.x * b.x), 4) AS total
+        FROM f a JOIN f b ON a.zone_id = b.zone_id AND a.d = b.d AND a.h = b.h AND a.i <= b.i GROUP BY 1, 2, 3""",
+    ).replace("\n, hours", ", hours"),
+)
+def _(src: Source):
+    sums = regression.normal_equations(domain.zones(src), _history(src), domain.venue_events(src), GRID_DAY, 21)
+    return sums.withColumn("total", F.round("total", 4))
+
+
+# No SQL states a least squares solution of 32 unknowns; tests hold it against numpy.
+@query("i15_fitted_demand")
+def _(src: Source):
+    here = rebalance.zone_supply(domain.vehicles(src))
+    fitted = regression.predict_fitted(domain.zones(src), _history(src), domain.venue_events(src), here, GRID_DAY, 21, 3)
+    return fitted.withColumn("day", F.col("forecast_date").cast("string")).drop("forecast_date")
+
+
+# No SQL states the least total distance; tests hold it against all plans of small cities.
+@query("i16_cheapest_moves")
+def _(src: Source):
+    needed = _demand(src).groupBy("city", "zone_id").agg(F.floor(F.sum("vehicle_count") / 24).alias("needed"))
+    return rebalance.cheapest_rebalancing(rebalance.zone_supply(domain.vehicles(src)), needed, domain.zones(src))
+
+
+@query(
+    "l02_sql_functions",
+    with_cte(
+        "zones vehicles venue_events",
+        f""", demand AS (SELECT zone_id, city, d, h, CAST(ceil(round(expected / 2.0::DOUBLE, 6)) AS INT) AS n FROM ({_DEMAND})),
+        supply AS (SELECT city, current_zone AS zone_id, count(*) AS vehicles FROM vehicles GROUP BY 1, 2),
+        wanted AS (SELECT city, zone_id, sum(n) // 24 AS needed FROM demand GROUP BY 1, 2),
+        balance AS (SELECT city, zone_id, coalesce(vehicles, 0) - coalesce(needed, 0) AS spare FROM supply FULL JOIN wanted USING (city, zone_id)),
+        line AS (SELECT city, zone_id, spare > 0 AS gives, abs(spare) AS n,
+                        sum(abs(spare)) OVER (PARTITION BY city, spare > 0 ORDER BY abs(spare) DESC, zone_id) AS reach
+                 FROM balance WHERE spare <> 0)
+        SELECT 'demand' AS kind, zone_id AS a, strftime(d, '%Y-%m-%d') AS b, CAST(sum(n) AS BIGINT) AS vehicles, max(n) FILTER (WHERE h = 8) AS at_eight
+        FROM demand WHERE d >= DATE '2024-01-24' AND d < DATE '2024-01-26' GROUP BY zone_id, d
+        UNION ALL
+        SELECT 'move', g.zone_id, t.zone_id, CAST(least(g.reach, t.reach) - greatest(g.reach - g.n, t.reach - t.n) AS BIGINT), NULL
+        FROM line g JOIN line t ON g.city = t.city AND g.gives AND NOT t.gives
+        WHERE least(g.reach, t.reach) > greatest(g.reach - g.n, t.reach - t.n)""",
+    ).replace("\n, demand", ", demand"),
+)
+def _(src: Source):
+    demand = _demand(src)
+    needed = demand.groupBy("city", "zone_id").agg(F.floor(F.sum("vehicle_count") / 24).alias("needed"))
+    moves = rebalance.optimize_rebalancing(rebalance.zone_supply(domain.vehicles(src)), needed)
+    sql_functions.register_functions(src.spark, demand, moves)
+    domain.zones(src).createOrReplaceTempView("motorpool_zones")
+    return src.spark.sql(
+        """
+        SELECT 'demand' AS kind, z.zone_id AS a, CAST(p.forecast_date AS STRING) AS b, sum(p.vehicle_count) AS vehicles,
+               max(CASE WHEN p.hour = 8 THEN vehicles_needed(z.zone_id, p.forecast_date, 8) END) AS at_eight
+        FROM motorpool_zones z, LATERAL predict_demand(z.zone_id, DATE '2024-01-24', 2) p
+        GROUP BY z.zone_id, p.forecast_date
+        UNION ALL
+        SELECT 'move', m.from_zone, m.to_zone, m.vehicle_count, NULL
+        FROM (SELECT DISTINCT city FROM motorpool_zones) c, LATERAL optimize_rebalancing(c.city) m"""
+    )

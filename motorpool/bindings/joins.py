@@ -11,6 +11,8 @@ from motorpool.operators.aggregates import ratio_to_table_count
 from motorpool.operators.filters import at_latest_snapshot
 from motorpool.plans.dashboard import vehicle_detail
 from motorpool.schemas import struct
+from motorpool.session import scratch_path
+from motorpool.sources import keyed
 from motorpool.sources.tables import inline_table
 
 
@@ -361,6 +363,48 @@ def _(src: Source):
     return J.insert_if_absent(target, new, ["id"])
 
 
+def _keyed_orders(src: Source):
+    rows = src.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("owner"), F.col("o_totalprice").alias("price"))
+    return keyed.create_keyed(rows, scratch_path(src.spark, "keyed"), "id", 64)
+
+
+def _new_lines(src: Source):
+    return src.lineitem.select(
+        (F.col("l_orderkey") * 2).alias("id"),
+        F.col("l_suppkey").alias("owner"),
+        F.col("l_extendedprice").alias("price"),
+        "l_shipdate",
+        "l_linenumber",
+    )
+
+
+@query(
+    "c14_keyed_upsert",
+    """
+    WITH last AS (SELECT l_orderkey * 2 AS id, l_suppkey AS owner, l_extendedprice AS price FROM lineitem
+                  QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_suppkey DESC, l_extendedprice DESC) = 1)
+    SELECT id, owner, price FROM last
+    UNION ALL SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT id FROM last)""",
+)
+def _(src: Source):
+    table = _keyed_orders(src)
+    keyed.upsert(src.spark, table, _new_lines(src), ["l_shipdate", "l_linenumber"])
+    return keyed.read_keyed(src.spark, table)
+
+
+@query(
+    "c14_keyed_insert",
+    """
+    SELECT o_orderkey AS id, o_custkey AS owner, o_totalprice AS price FROM orders
+    UNION ALL SELECT l_orderkey * 2, min(l_suppkey), NULL FROM lineitem WHERE l_orderkey * 2 NOT IN (SELECT o_orderkey FROM orders) GROUP BY 1""",
+)
+def _(src: Source):
+    table = _keyed_orders(src)
+    new = _new_lines(src).select("id", "owner", F.lit(None).cast("double").alias("price"))
+    keyed.insert_missing(src.spark, table, new, ["owner"])
+    return keyed.read_keyed(src.spark, table)
+
+
 @query(
     "c15_orphans",
     "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",

@@ -8,6 +8,8 @@ from motorpool.bindings.registry import Source, query
 from motorpool.operators import ordering as O
 from motorpool.operators.joins import top_n_per_key
 from motorpool.schemas import struct
+from motorpool.session import scratch_path
+from motorpool.sources import pages
 from motorpool.sources.tables import inline_table, union_all
 
 
@@ -72,6 +74,19 @@ def _(src: Source):
     return O.paginate(listed, [F.col("o_orderdate").desc(), "o_orderkey"], page=3, per_page=25)
 
 
+@query(
+    "f02_kept_page",
+    """
+    SELECT o_orderkey, o_orderdate, (SELECT count(*) FROM orders) AS total
+    FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 25 OFFSET 1000""",
+)
+def _(src: Source):
+    kept = pages.keep_order(
+        src.orders.select("o_orderkey", "o_orderdate"), scratch_path(src.spark, "kept"), [("o_orderdate", True), ("o_orderkey", False)], 5_000
+    )
+    return pages.kept_page(src.spark, kept, page=41, per_page=25)
+
+
 @query(
     "f03_sort_whitelisted",
     "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey",

@@ -204,6 +204,36 @@ def _(src: Source):
     )
 
 
+# Steps that lack fields, have more of them, hold another kind of value, or are no objects.
+@query(
+    "h15_loose_steps",
+    """
+    SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 END AS steps, CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS first_step,
+           CASE o_orderkey % 4 WHEN 0 THEN 'scan' END AS first_tool, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey::VARCHAR END AS second_output,
+           CASE o_orderkey % 4 WHEN 0 THEN '{"extra":{"x":' || o_custkey || '},"step":1,"tool":"scan"}' WHEN 1 THEN '{"step":"2"}' END AS first_rest
+    FROM orders""",
+)
+def _(src: Source):
+    key = F.col("o_orderkey").cast("string")
+    chain = (
+        F.when(
+            F.col("o_orderkey") % 4 == 0,
+            F.concat(F.lit('[{"step": 1, "tool": "scan", "extra": {"x": '), F.col("o_custkey").cast("string"), F.lit('}}, {"output": '), key, F.lit("}]")),
+        )
+        .when(F.col("o_orderkey") % 4 == 1, '[{"step": "2"}, 5, null]')
+        .when(F.col("o_orderkey") % 4 == 2, "not json")
+        .otherwise('{"step": 1}')
+    )
+    return src.orders.select("o_orderkey", S.parse_steps_loosely(chain).alias("s")).select(
+        "o_orderkey",
+        F.when(F.col("s").isNotNull(), F.size("s")).alias("steps"),
+        F.get("s", F.lit(0))["step"].alias("first_step"),
+        F.get("s", F.lit(0))["tool"].alias("first_tool"),
+        F.get("s", F.lit(1))["output"].alias("second_output"),
+        F.get("s", F.lit(0))["rest"].alias("first_rest"),
+    )
+
+
 @query(
     "h15_json_props",
     "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events",

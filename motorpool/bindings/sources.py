@@ -118,6 +118,20 @@ def _(src: Source):
     return T.table_inventory({t: src[t] for t in SOURCE_TABLES})
 
 
+_BOUNDED = {"orders": "o_orderkey", "lineitem": "l_linenumber", "customer": "c_custkey", "events": "event_id", "documents": "doc_id", "conversations": "turn"}
+
+
+@query(
+    "a09_footer_bounds",
+    "\nUNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS row_count, count({c}) AS filled, min({c})::VARCHAR AS least, max({c})::VARCHAR AS greatest FROM {t}"
+        for t, c in _BOUNDED.items()
+    ),
+)
+def _(src: Source):
+    return T.footer_bounds(src.spark, {t: (f"{src.directory}/{t}.parquet", c) for t, c in _BOUNDED.items()})
+
+
 _SQL_TYPES = (
     "CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' "
     "WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE 'array<float>' END"

@@ -84,6 +84,17 @@ def _(src: Source):
     return S.stream_status(_checked(src), "events").drop("last_insert")
 
 
+@query(
+    "k03_measured_status",
+    """SELECT 'events' AS stream, 1 AS batches, count(*) FILTER (WHERE event_type <> 'error' AND value < 300) AS rows_inserted,
+              count(*) FILTER (WHERE event_type = 'error' OR value >= 300) AS errors FROM events""",
+)
+def _(src: Source):
+    path = scratch_path(src.spark, "measured")
+    S.ingest_checked(_stream(src), _rules(), f"{path}/rows", f"{path}/checkpoint", metrics=f"{path}/metrics")
+    return S.measured_status(S.read_metrics(src.spark, f"{path}/metrics"), "events").drop("last_insert")
+
+
 @query(
     "k05_skip_and_count_errors",
     """SELECT event_id, concat_ws(',', CASE WHEN event_type = 'error' THEN 'type' END, CASE WHEN value >= 300 THEN 'value' END) AS broken

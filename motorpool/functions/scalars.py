@@ -115,13 +115,15 @@ def headline_words(code: Column | str) -> Column:
     """``snake_case`` as title words: a letter is a capital where none stands before it."""
     words = F.replace(col(code), F.lit("_"), F.lit(" "))
     letters = F.split(words, "")
-    return F.array_join(
+    by_letter = F.array_join(
         F.transform(
             letters,
             lambda c, i: F.when((i > 0) & F.element_at(letters, F.greatest(i, F.lit(1))).rlike(r"\p{L}"), F.lower(c)).otherwise(F.upper(c)),
         ),
         "",
     )
+    # Nearly all codes are plain words, which need no look at each letter.
+    return F.when(words.rlike("^[A-Za-z ]*$"), F.initcap(words)).otherwise(by_letter)
 
 
 def parse_steps(text: Column | str) -> Column:
@@ -130,6 +132,21 @@ def parse_steps(text: Column | str) -> Column:
     return F.when(F.ltrim(text).startswith("["), F.from_json(text, STEPS))
 
 
+def parse_steps_loosely(text: Column | str) -> Column:
+    """JSON text as an array of steps in which every step keeps what it has: a field that is absent
+    or of another kind is NULL, and ``rest`` holds the whole step as JSON, with fields that the
+    steps' type does not know. A step that is no object has only ``rest``. Anything but a JSON
+    list gives NULL.
+    """
+    items = F.try_variant_get(F.try_parse_json(col(text)), "$", "array<variant>")
+
+    def step(v: Column) -> Column:
+        known = [F.try_variant_get(v, f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in STEPS.elementType.fields]
+        return F.struct(*known, F.to_json(v).alias("rest"))
+
+    return F.transform(items, step)
+
+
 def along(start: Column | str, end: Column | str, progress: Column | str) -> Column:
     """Coordinate at a progress in [0, 1] between two ends, 6 digits."""
     start, end = col(start), col(end)

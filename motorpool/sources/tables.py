@@ -97,6 +97,49 @@ def table_inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
+def footer_scan(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A Parquet table whose ``count``, ``min`` and ``max`` are answered from the files' footers.
+
+    Only aggregates of the whole table, or of partition columns, get there; with a filter on
+    other columns, and for the bounds of texts and times, Spark reads the column as usual. A
+    count over files without rows is NULL, as no footer offers any. The scan belongs to a session
+    of its own, so the caller's settings stay as they are.
+    """
+    quick = spark.newSession()
+    kept = [s for s in spark.conf.get("spark.sql.sources.useV1SourceList", "").split(",") if s not in ("", "parquet")]
+    quick.conf.set("spark.sql.sources.useV1SourceList", ",".join(kept))
+    quick.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    reader = quick.read if schema is None else quick.read.schema(schema)
+    return reader.parquet(path)
+
+
+def footer_bounds(spark: SparkSession, paths: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """One row per table with its row count, the filled values of one column of whole numbers or
+    days, and that column's least and greatest value: ``paths`` maps a table's name to
+    (path, column). No column is read; an empty table has counts of 0 and no bounds.
+    """
+
+    def one(name: str, path: str, column: str) -> DataFrame:
+        # Spark takes a pushed count for never NULL, so it is asked for only where there are rows.
+        any_row = spark.read.parquet(path).select().limit(1).agg(F.count(F.lit(1))).scalar()
+
+        def counted(c: Column) -> Column:
+            return F.when(any_row > 0, c).otherwise(F.lit(0))
+
+        least, greatest = F.min(column).alias("least"), F.max(column).alias("greatest")
+        asked = footer_scan(spark, path).agg(F.count(F.lit(1)).alias("row_count"), F.count(column).alias("filled"), least, greatest)
+        return asked.select(
+            F.lit(name).alias("table_name"),
+            F.lit(column).alias("column_name"),
+            counted(F.col("row_count")).alias("row_count"),
+            counted(F.col("filled")).alias("filled"),
+            F.col("least").cast("string").alias("least"),
+            F.col("greatest").cast("string").alias("greatest"),
+        )
+
+    return union_all(*[one(name, path, column) for name, (path, column) in paths.items()])
+
+
 def describe_columns(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Schemas as rows: table, ordinal, column, type, nullable."""
     spark = next(iter(tables.values())).sparkSession

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,15 +66,47 @@ def recent_batches(query: StreamingQuery, name: str) -> DataFrame:
 # --- checked ingest ----------------------------------------------------------------
 
 
+MEASURED = T.StructType(
+    [
+        T.StructField("rows_inserted", T.LongType()),
+        T.StructField("errors", T.LongType()),
+        T.StructField("last_insert", T.TimestampType()),
+        T.StructField("batch_id", T.LongType()),
+    ]
+)
+
+
 def ingest_checked(
-    sdf: DataFrame, rules: Mapping[str, Column], path: str, checkpoint: str, trigger: Mapping[str, object] | None = None
+    sdf: DataFrame,
+    rules: Mapping[str, Column],
+    path: str,
+    checkpoint: str,
+    trigger: Mapping[str, object] | None = None,
+    metrics: str | None = None,
 ) -> StreamingQuery:
-    """Append the stream with every row marked: bad rows are kept apart and counted, not fatal."""
+    """Append the stream with every row marked: bad rows are kept apart and counted, not fatal.
+
+    With ``metrics``, a folder, each batch leaves one row of counts there, observed while its rows
+    are written, so that no row is read again; see :func:`read_metrics`. A retried batch replaces
+    its rows and its counts.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         marked = flag_rows(batch, rules).withColumn("accepted", F.size("broken_rules") == 0)
         marked = marked.withColumn("ingested_at", F.current_timestamp())
+        seen = Observation()
+        if metrics:
+            marked = marked.observe(
+                seen,
+                F.count_if("accepted").alias("rows_inserted"),
+                F.count_if(~F.col("accepted")).alias("errors"),
+                F.max(F.when(F.col("accepted"), F.col("ingested_at"))).alias("last_insert"),
+            )
         marked.write.mode("overwrite").partitionBy("accepted").parquet(f"{path}/batch_id={batch_id}")
+        if metrics:
+            counted = T.StructType(MEASURED.fields[:3])
+            row = tuple(seen.get[f.name] for f in counted.fields)
+            batch.sparkSession.createDataFrame([row], counted).coalesce(1).write.mode("overwrite").parquet(f"{metrics}/batch_id={batch_id}")
 
     return _run(sdf.writeStream.foreachBatch(write), checkpoint, trigger)
 
@@ -93,6 +125,22 @@ def read_checked(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return spark.read.schema(full).parquet(path)
 
 
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The counts of every batch of a checked ingest: one small row a batch."""
+    return spark.read.schema(MEASURED).parquet(path)
+
+
+def measured_status(metrics: DataFrame, name: str) -> DataFrame:
+    """The row of :func:`stream_status` from the counts of the batches, whose rows stay unread."""
+    return metrics.agg(
+        F.lit(name).alias("stream"),
+        F.count(F.lit(1)).alias("batches"),
+        F.coalesce(F.sum("rows_inserted"), F.lit(0)).alias("rows_inserted"),
+        F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"),
+        F.max("last_insert").alias("last_insert"),
+    )
+
+
 def ingest_stats(checked: DataFrame, keys: Sequence[str] = ("batch_id",)) -> DataFrame:
     """Rows taken and errors per batch, or per any other keys."""
     return checked.groupBy(*keys).agg(

@@ -570,3 +570,24 @@ def test_one_of_equal_times_needs_a_tie_break(spark):
     df = literal_rows(spark, [(1, T0)], struct("k:int ts:ts"))
     with pytest.raises(ValueError, match="tie_break"):
         J.latest_per_key(df, "k", "ts", ties="one")
+
+
+def test_headlines_agree_with_python_titles(spark):
+    codes = ["fleet_audit", "a1b_c", "it's_so", "_x__y", "MIXED_case", "straße_über", "", "x-y_z", "tab\tend", "é_è1é"]
+    df = literal_rows(spark, [(c,) for c in codes], struct("c:str"))
+    got = {r.c: r.w for r in df.select("c", S.headline_words("c").alias("w")).collect()}
+    assert got == {c: "".join(x.lower() if i and w[i - 1].isalpha() else x.upper() for i, x in enumerate(w)) for c in codes for w in [c.replace("_", " ")]}
+
+
+def test_loose_steps_keep_what_each_step_has(spark):
+    texts = [
+        ('[{"step": 1, "tool": "a", "label": "l", "output": "o", "status": "s"}]',),
+        ('[{"step": "2", "more": [1]}, {"tool": {"deep": 1}}, 5, "x"]',),
+        ("[]",), ('{"step": 1}',), ("[broken",), ("",), (None,),
+    ]
+    rows = literal_rows(spark, texts, struct("t:str")).select("t", S.parse_steps_loosely("t").alias("s")).collect()
+    got = {r.t: r.s for r in rows}
+    assert [tuple(x)[:5] for x in got[texts[0][0]]] == [(1, "a", "l", "o", "s")]
+    mixed = got[texts[1][0]]
+    assert [x.step for x in mixed] == [2, None, None, None] and [x.rest for x in mixed] == ['{"more":[1],"step":"2"}', '{"tool":{"deep":1}}', "5", '"x"']
+    assert got["[]"] == [] and all(got[t] is None for t in ('{"step": 1}', "[broken", "", None))

@@ -17,11 +17,15 @@ def _canonical(columns, rows):
     return [columns[i] for i in order], sorted(tuple(_cell(r[i]) for i in order) for r in rows)
 
 
+#: Tested against numpy and against all plans in test_builds.py.
+NOT_IN_SQL = {"i15_fitted_demand", "i16_cheapest_moves"}
+
+
 def test_every_query_has_sql():
-    assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) - set(ORACLES) == NOT_IN_SQL and not set(ORACLES) - set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_agrees_with_sql(name, spark, duck):
     df = QUERIES[name](spark, SMALL)
     cursor = duck.execute(ORACLES[name])

@@ -169,3 +169,17 @@ def test_silent_keys_leave_the_positions_and_their_state(spark):
     one_by_one(spark, f"{path}/in", [event(6, 40, user=1), event(7, 59, user=4)])
     assert stateful.state_rows(run()) == 1
     assert [(r.user_id, r.event_id) for r in stateful.current(read(), "user_id", "ts").collect()] == [(4, 7)]
+
+
+def test_observed_counts_equal_the_reread_ones_after_many_batches(spark, src):
+    path, parts = scratch_path(spark, "measured"), scratch_path(spark, "many")
+    src.events.limit(520).repartition(104).write.parquet(parts)
+    n = len(glob.glob(f"{parts}/*.parquet"))
+    rules = {"value": F.col("value") < 60, "type": C.in_enum("event_type", ["click", "view"])}
+    S.ingest_checked(stream(spark, parts), rules, f"{path}/rows", f"{path}/checkpoint", metrics=f"{path}/metrics")
+    metrics, checked = S.read_metrics(spark, f"{path}/metrics"), S.read_checked(spark, f"{path}/rows", EVENTS)
+    assert n > 100 and metrics.count() == n
+    columns = ("batch_id", "rows_inserted", "errors")
+    reread = sorted(map(tuple, S.ingest_stats(checked).select(*columns).collect()))
+    assert sorted(map(tuple, metrics.select(*columns).collect())) == reread
+    assert S.measured_status(metrics, "events").first() == S.stream_status(checked, "events").first()
