@@ -431,12 +431,13 @@ def align(docs: DataFrame, json_path: str, model_path: str, pattern: str, range_
     # Written, so that a row's number and its ranges cannot change.
     numbered = chosen.filter(long_text).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     cut = materialise(numbered.mapInArrow(_cut_long(shared, range_bytes), from_arrow_schema(_CUT)), "ranges")
-    fragments = cut.repartition("row", "k").mapInArrow(_align_ranges(shared), from_arrow_schema(_FRAGMENT))
+    # Each step is written, so that no task feeds one Python worker from another and holds both.
+    fragments = materialise(cut.repartition("row", "k").mapInArrow(_align_ranges(shared), from_arrow_schema(_FRAGMENT)), "fragments")
     most = cut.agg(F.max("n")).first()[0] or 1
     while most > 1:
-        fragments = materialise(fragments, "fragments")
         near = fragments.groupBy("row", F.floor(F.col("k") / fan_in).alias("to"))
-        fragments, most = near.applyInArrow(_compose_neighbours(fan_in), from_arrow_schema(_FRAGMENT)), -(-most // fan_in)
+        composed = near.applyInArrow(_compose_neighbours(fan_in), from_arrow_schema(_FRAGMENT))
+        fragments, most = materialise(composed, "fragments"), -(-most // fan_in)
     long = fragments.mapInArrow(_chunk_long(chunk_links), from_arrow_schema(_CHUNK))
     chunks = materialise(short.unionByName(long), "chunks")
 
