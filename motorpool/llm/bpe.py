@@ -33,26 +33,38 @@ PIECE = 500_000
 
 class Vocabulary:
     """The ranks of a tiktoken file, and the byte string of every id laid end to end. It travels as
-    the file; a worker builds the rest once, when it first asks for it."""
+    the file; a worker builds each part once, when it first asks for it, and only the parts that
+    its step uses: taking apart needs the pattern, encoding the ranks, decoding the bytes."""
 
     def __init__(self, data: bytes, pattern: str):
-        self.data, self.pattern, self.built = data, pattern, False
+        self.data, self.pattern = data, pattern
 
-    def build(self) -> Vocabulary:
-        if self.built:
-            return self
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, self.data.splitlines())}
-        self.split = regex.compile(self.pattern).findall
-        self.encode = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        by_id = {rank: token for token, rank in ranks.items()}
-        tokens = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
-        self.known = np.array([i in by_id for i in range(len(tokens))])
-        self.lengths = np.array([len(t) for t in tokens], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.built = True
+    def _ranks(self) -> dict[bytes, int]:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, self.data.splitlines())}
+
+    def splitter(self) -> Vocabulary:
+        if "split" not in self.__dict__:
+            self.split = regex.compile(self.pattern).findall
+        return self
+
+    def encoder(self) -> Vocabulary:
+        if "encode" not in self.__dict__:
+            self.encode = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=self._ranks(), special_tokens={}).encode_ordinary
         return self
 
+    def decoder(self) -> Vocabulary:
+        if "bytes" not in self.__dict__:
+            by_id = {rank: token for token, rank in self._ranks().items()}
+            tokens = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+            self.known = np.array([i in by_id for i in range(len(tokens))])
+            self.lengths = np.array([len(t) for t in tokens], np.int64)
+            self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+            self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        return self
+
+    def build(self) -> Vocabulary:
+        return self.splitter().encoder().decoder()
+
 
 def shared_vocabulary(spark: SparkSession, path: str, pattern: str) -> Broadcast:
     """A vocabulary for every task. The file is read here, by the driver, and is bounded."""
@@ -87,9 +99,9 @@ def pack_ranks(ranks: np.ndarray) -> bytes:
     parts = [len(symbols).to_bytes(4, "little"), symbols]
     rare = ranks >= _FREQUENT
     for n in range(1, 32):
-        rest = over[rare & (bits == n)] - (1 << n)
+        rest = (over[rare & (bits == n)] - (1 << n)).astype(np.uint32)
         if len(rest):
-            parts.append(np.packbits(((rest[:, None] >> np.arange(n)) & 1).astype(np.uint8)).tobytes())
+            parts.append(np.packbits(((rest[:, None] >> np.arange(n, dtype=np.uint32)) & 1).astype(np.uint8)).tobytes())
     return b"".join(parts)
 
 
@@ -165,7 +177,7 @@ def _chunk(place: tuple[int, int], doc_ids: list, lengths: list[int], codes: arr
 
 def _take_apart(vocabulary: Broadcast, chunk_tokens: int, buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, task, number = vocabulary.value.build().split, TaskContext.get().partitionId(), 0
+        split, task, number = vocabulary.value.splitter().split, TaskContext.get().partitionId(), 0
         doc_ids, lengths, codes, known = [], [], array("i"), {}
         for columns in slices(batches):
             for doc_id, text in zip(*columns):
@@ -190,7 +202,7 @@ def _encode_buckets(vocabulary: Broadcast):
     """Rows come by bucket, so that a word of many chunks is encoded when it is first seen."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last, known = vocabulary.value.build().encode, None, {}
+        encode, last, known = vocabulary.value.encoder().encode, None, {}
         for batch in batches:
             for i in range(batch.num_rows):
                 bucket, chunk, packed, *own = (c[i].as_py() for c in batch.columns)
@@ -277,7 +289,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", name:
     ordered = encoded.select(*others, ids)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value.build()
+        v = shared.value.decoder()
         for batch in batches:
             lists = batch.column(len(others))
             ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))

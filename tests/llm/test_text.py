@@ -6,6 +6,7 @@ import random
 import re
 
 import public_tokenizers
+import numpy as np
 import pytest
 import tiktoken
 
@@ -248,3 +249,18 @@ def test_decoding_refuses_a_name_that_is_taken(spark):
     given = spark.createDataFrame([(1, [5], "x")], "doc_id long, ids array<int>, decoded string")
     with pytest.raises(ValueError, match="column already"):
         bpe.decode(given, VOCABULARY, public_tokenizers.PATTERN)
+
+
+def test_bpe_vocabulary_builds_only_what_a_step_uses():
+    """Taking apart needs the pattern alone; ranks and token bytes stay unbuilt in its workers."""
+    with open(VOCABULARY, "rb") as file:
+        v = bpe.Vocabulary(file.read(), public_tokenizers.PATTERN)
+    assert v.splitter().split("ab cd") == ["ab", " cd"]
+    assert not {"encode", "bytes", "known"} & set(vars(v))
+    assert v.encoder().encode("ab cd") == tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=v._ranks(), special_tokens={}).encode_ordinary("ab cd")
+    assert "bytes" not in vars(v) and v.decoder().bytes.size > 0
+
+
+def test_bpe_ranks_round_trip_in_32_bits():
+    ranks = np.array([0, 191, 192, 193, 255, 1 << 15, (1 << 20) + 7, (1 << 31) - 1, 3], np.int64)
+    assert (bpe.unpack_ranks(bpe.pack_ranks(ranks)) == ranks).all()
