@@ -69,8 +69,10 @@ def range_join(
 
     Windows are laid over time blocks, so the join is an equi join on the block (and ``keys``)
     with the exact bounds as a residual test. For an inner join a window takes blocks of 1, 4,
-    16 ... minutes, of the size that covers it with 17 at most, whatever its length; a point
-    takes the block it lies in for each of the sizes that the windows use, mostly one or two.
+    16 ... minutes, the largest size not longer than it, so 5 at most, whatever its length; a
+    point takes the block it lies in for each of the sizes that the windows use, mostly one or
+    two. Neighbouring points of a block meet the windows together, :data:`CHUNK` at a time, and
+    the rows come out in that order, a window's beside each other.
     Otherwise a point must not be copied, and all blocks have ``bucket_minutes``.
 
     Points are dealt to ``salts`` shares of their block and windows go to each, so one crowded
@@ -86,7 +88,7 @@ def range_join(
         spans = spans.select(*keys, start, end).distinct()
     if how == "inner":
         minutes = minute_number(end) - minute_number(start) + 1
-        spans = spans.withColumn("__level", F.greatest(F.lit(0), F.floor(F.log2(minutes) / 2) - 1).cast("int"))
+        spans = spans.withColumn("__level", F.floor(F.log2(minutes) / 2).cast("int"))
         buckets = F.sequence(_block(minute_number(start)), _block(minute_number(end)))
     else:
         spans = spans.withColumn("__level", F.lit(0))
@@ -104,20 +106,47 @@ def range_join(
         placed = placed.withColumn("__bucket", _block(minute_number(ts)))
     else:
         placed = near.withColumn("__level", F.lit(0)).withColumn("__bucket", F.floor(minute_number(ts) / bucket_minutes))
-    placed = placed.withColumn("__salt", F.pmod(F.xxhash64(ts, *others), F.lit(salts)).cast("int")).alias("p")
-    match = (
-        (F.col("p.__level") == F.col("w.__level"))
-        & (F.col("p.__bucket") == F.col("w.__bucket"))
-        & (F.col("p.__salt") == F.col("w.__salt"))
-        & (F.col(f"p.{ts}") >= F.col(f"w.{start}"))
-        & (F.col(f"p.{ts}") < F.col(f"w.{end}"))
-    )
-    for key in keys:
-        match = match & (F.col(f"p.{key}") == F.col(f"w.{key}"))
+    placed = placed.withColumn("__salt", F.pmod(F.xxhash64(ts, *others), F.lit(salts)).cast("int"))
+    cell = ["__level", "__bucket", "__salt", *keys]
+    if how == "inner":
+        placed = _chunked(placed, cell, ts, points.columns).alias("p")
+        match = (F.col("p.__last") >= F.col(f"w.{start}")) & (F.col("p.__first") < F.col(f"w.{end}"))
+    else:
+        placed = placed.alias("p")
+        match = (F.col(f"p.{ts}") >= F.col(f"w.{start}")) & (F.col(f"p.{ts}") < F.col(f"w.{end}"))
+    for name in cell:
+        match = match & (F.col(f"p.{name}") == F.col(f"w.{name}"))
     if how == "semi":
         return placed.join(spans, match, "left_semi").drop("__level", "__bucket", "__salt")
-    right = [F.col(f"w.{c}") for c in windows.columns if c not in keys]
-    return placed.join(spans, match, how).select("p.*", *right).drop("__level", "__bucket", "__salt")
+    added = [c for c in windows.columns if c not in keys]
+    right = [F.col(f"w.{c}") for c in added]
+    if how == "left":
+        return placed.join(spans, match, how).select("p.*", *right).drop("__level", "__bucket", "__salt")
+    bounds = [F.col(f"w.{start}").alias("__start"), F.col(f"w.{end}").alias("__end")]
+    pairs = placed.join(spans, match).select(
+        *[f"__of_{c}" for c in points.columns], *right, *bounds, F.posexplode(f"__of_{ts}").alias("__place", "__at")
+    )
+    inside = (F.col("__at") >= F.col("__start")) & (F.col("__at") < F.col("__end"))
+    return pairs.filter(inside).select(*[F.col(f"__of_{c}")[F.col("__place")].alias(c) for c in points.columns], *added)
+
+
+#: Points that meet a window together, and so the most that one row of a join holds.
+CHUNK = 128
+
+
+def _chunked(points: DataFrame, cell: Sequence[str], ts: str, columns: Sequence[str]) -> DataFrame:
+    """Each cell's points by time, up to :data:`CHUNK` in a row: their first and last time and a
+    list for each column, so that those nobody reads leave before the shuffle."""
+    place = F.row_number().over(W.partitionBy(*cell).orderBy(ts))
+    return (
+        points.withColumn("__chunk", F.floor((place - 1) / CHUNK))
+        .groupBy(*cell, "__chunk")
+        .agg(
+            F.min(ts).alias("__first"),
+            F.max(ts).alias("__last"),
+            *[F.collect_list(F.struct(c)).getField(c).alias(f"__of_{c}") for c in columns],  # as a struct a NULL stays
+        )
+    )
 
 
 def _block(minute: Column) -> Column:

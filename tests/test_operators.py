@@ -1,6 +1,8 @@
 """Invariants, brute-force comparisons, hot keys and edge cases."""
 
+import collections
 import datetime as dt
+import itertools
 import random
 
 import pytest
@@ -539,6 +541,29 @@ def test_a_long_window_takes_few_blocks(spark):
         assert minutes / 4**level + 1 <= 18
 
 
+@pytest.mark.parametrize("keys", [(), ("zone",)])
+def test_a_window_has_its_points_beside_each_other(spark, keys):
+    """Points of a crowded hour come a chunk at a time, all of them, with their NULLs and copies."""
+    start = dt.datetime(2024, 1, 1, 5)
+    at = [(i if i % 10 else None, start + dt.timedelta(seconds=9 * (i % 400)), i % 2, None) for i in range(3000)]
+    points = literal_rows(spark, [*at, *at[:50], (7, None, 0, None), (8, start, None, None)], struct("id:int ts:ts zone:int note:str"))
+    spans = [(w, start + dt.timedelta(minutes=w % 90 - 60), start + dt.timedelta(minutes=w % 90 + 30), w % 2) for w in range(180)]
+    windows = literal_rows(spark, [*spans, (None, *spans[0][1:])], struct("w:int a:ts b:ts zone:int"))
+    windows = windows if keys else windows.drop("zone")
+    joined = J.range_join(points, windows, "ts", "a", "b", keys=keys)
+    assert joined.columns == ["id", "ts", "zone", "note", "w", "a", "b"]
+    got = [(r.id, r.ts, r.zone, r.w) for r in joined.collect()]
+    expected = collections.Counter(
+        (i, t, z, w)
+        for i, t, z, _ in [*at, *at[:50], (8, start, None, None)]
+        for w, a, b, zone in [*spans, (None, *spans[0][1:])]
+        if a <= t < b and (not keys or z == zone)
+    )
+    assert collections.Counter(got) == expected
+    runs = [len([*same]) for _, same in itertools.groupby(r[3] for r in got)]
+    assert len(got) / len(runs) > 32
+
+
 def test_window_columns_that_points_have_are_refused(spark):
     points = literal_rows(spark, [(1, T0, "p")], struct("id:int ts:ts name:str"))
     windows = literal_rows(spark, [(T0, T0 + dt.timedelta(hours=1), "w")], struct("a:ts b:ts name:str"))
