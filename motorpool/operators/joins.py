@@ -111,6 +111,9 @@ def range_join(
     if how == "inner":
         placed = _chunked(placed, cell, ts, points.columns).alias("p")
         match = (F.col("p.__last") >= F.col(f"w.{start}")) & (F.col("p.__first") < F.col(f"w.{end}"))
+        # Spark does not compile a join with a lambda into one loop with the explode below, which
+        # would hold a chunk's rows with all its windows at once.
+        match = match & F.exists(f"p.__of_{ts}", lambda at: (at >= F.col(f"w.{start}")) & (at < F.col(f"w.{end}")))
     else:
         placed = placed.alias("p")
         match = (F.col(f"p.{ts}") >= F.col(f"w.{start}")) & (F.col(f"p.{ts}") < F.col(f"w.{end}"))
